@@ -103,13 +103,13 @@ def band_features(df: DataFrame, as7="as7", led="led", lif=schema.LIF,
     return df.withColumn("lif_normalised", ratio(F.col(lif), F.col("as7_broad_albedo")))
 
 
-def expert_features(df: DataFrame, out: str = "expert") -> DataFrame:
+def expert_features(df: DataFrame, out: str = "expert", grid=schema.SPEC_GRID) -> DataFrame:
     """Feature vector by each row's sensor mode: 8 (full), 9 (multispectral) or 17 (combined).
 
     A row lacking a block its mode calls for gets a null vector.
     """
     names = df.columns
-    full = spectral_features(df.withColumn("_mode", schema.detect_mode()))
+    full = spectral_features(df.withColumn("_mode", schema.detect_mode()), grid=grid)
     full = full.withColumn("_full", F.array(*SPECTRAL_FEATURES)).select(*names, "_mode", "_full")
     both = band_features(full).withColumn("_bands", F.array(*BAND_FEATURES))
     has_spec, has_as7 = F.col("spec").isNotNull(), F.col("as7").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import reflectance as R
 from ..functions import vectors as V
@@ -15,6 +16,15 @@ from .channels import collect_channels, explode_channels
 SMALL_REFERENCES = 2_000
 
 
+def _seconds(moment: Column, without_zone: bool) -> Column:
+    """Whole seconds on a scale that never runs backwards: a zone-less clock is read by its
+    fields, since moving it into a zone with summer time could reorder it."""
+    if not without_zone:
+        return F.unix_seconds(moment)
+    days = F.datediff(F.to_date(moment), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+
+
 def asof_match(frames: DataFrame, refs: DataFrame, by: str, ts: str, kind: str,
                kinds: tuple[str, ...], chunk_seconds: int = 3600) -> DataFrame:
     """For every distinct (by, ts) of ``frames``: the time of the latest reference of each kind
@@ -25,8 +35,9 @@ def asof_match(frames: DataFrame, refs: DataFrame, by: str, ts: str, kind: str,
     summary row per (session, chunk).
     """
     moment = F.col(ts)
-    chunk = F.floor(F.unix_micros(moment) / F.lit(chunk_seconds * 1_000_000))
-    empty = [F.lit(None).cast("timestamp").alias(f"{k}_ts") for k in kinds]
+    kind_of_time = frames.schema[ts].dataType
+    chunk = F.floor(_seconds(moment, isinstance(kind_of_time, T.TimestampNTZType)) / F.lit(chunk_seconds))
+    empty = [F.lit(None).cast(kind_of_time).alias(f"{k}_ts") for k in kinds]
     marks = [F.when(F.col(kind) == k, moment).alias(f"{k}_ts") for k in kinds]
     wanted = frames.select(by, ts).where(moment.isNotNull()).distinct().select(
         by, ts, F.lit(True).alias("_frame"), *empty)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from ..functions import vectors as V
 from .splits import ranked
 
 NAN = float("nan")
+#: Bound of the table of draws per bucket and replicate.
+MAX_BUCKETS = 16_384
 
 
 # ---------------------------------------------------------------- point metrics
@@ -113,7 +116,7 @@ def bootstrap_draws(df: DataFrame, key: str, stats: dict[str, Column], n: int =
 
 
 def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats: dict[str, Column],
-                      n: int = 500, seed: int = 0, buckets: int = 4096) -> DataFrame:
+                      n: int = 500, seed: int = 0, rows_per_bucket: int = 500_000) -> DataFrame:
     """Percentile intervals for statistics that are functions of sums, at any table size.
 
     The exact with-replacement draw in two levels: rows are filed by hash into buckets; how many
@@ -124,7 +127,7 @@ def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats
     ``stats`` are expressions over the moment names and ``n`` (rows drawn).
     """
     names = list(moments)
-    # Two independent digests: one files the row, the other orders it inside its bucket.
+    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket) or 1)
     filed = df.select(
         F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int").alias("_bucket"),
         *[c.cast("double").alias(m) for m, c in moments.items()])

@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import channels, sam
+from .. import schema
+from ..functions import kernels
 from ..functions import vectors as V
+from ..operators import channels, mixing, sam
+from ..session import bounded_rows
 
 #: Width of the given vectors and the wavelength grid they are read on.
 WIDTH = 64
@@ -49,12 +52,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, label, logits``: 30 x the dot products with the class means, in label order."""
+    """``vec_id, label, logits``: 120 x the dot products with the class means, in label order."""
     s = spectra(spark, sf_dir)
-    means = channels.class_means(s, "label", "spec").orderBy("label").collect()
-    from ..functions import kernels
-
-    matrix = 30.0 * np.array([r["spec"] for r in means])
+    means = bounded_rows(channels.class_means(s, "label", "spec").orderBy("label"), sam.MAX_REFERENCES)
+    matrix = 120.0 * np.array([r["spec"] for r in means])
     return s.select("vec_id", "label", kernels.linear_kernel(matrix)(F.col("spec")).alias("logits"))
 
 
@@ -106,9 +107,41 @@ def endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(names, F.col("label")).alias("endmember"), "spec")
 
 
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as canonical measurements of all three sensor modes."""
+    r = reflectance(spark, sf_dir)
+    mode = F.get(F.lit(list(schema.SENSOR_MODES)), F.pmod("label", F.lit(3)))
+    last = F.element_at("spec", -1)
+    full = F.transform(F.sequence(F.lit(0), F.lit(schema.SPEC_WIDTH - 1)), lambda i: F.get("spec", i % WIDTH))
+    r = mixing.band_response(r, GRID, schema.LED_NM, 25.0, out="led")
+    r = mixing.band_response(r, GRID, schema.AS7_NM, 20.0, out="as7")
+    klass = F.get(F.lit(list(schema.MINERAL_CLASSES)), F.pmod("label", F.lit(6)))
+    return r.select(
+        F.concat(F.lit("S"), F.pmod("vec_id", F.lit(50)).cast("string"), F.lit("_"), klass).alias("sample_id"),
+        F.col("vec_id").cast("string").alias("measurement_id"), F.lit("2024-01-01T00:00:00").alias("timestamp"),
+        klass.alias("mineral_class"), (F.col("label") / 10.0).alias("ilmenite_fraction"),
+        F.lit(100).alias("integration_time_ms"), F.lit(22.5).alias("ambient_temp_c"),
+        F.get(F.lit(list(schema.PACKING_DENSITIES)), F.pmod("label", F.lit(3))).alias("packing_density"),
+        mode.alias("sensor_mode"), F.when(mode != "multispectral", full).alias("spec"),
+        F.when(mode != "full", F.col("as7")).alias("as7"), F.array(last * 0.95, last * 0.88).alias("swir"), "led",
+        (V.mean(F.col("spec")) * 0.4).alias(schema.LIF))
+
+
+def digest(df: DataFrame, keys: list[str], column: str, digits: int = 4) -> DataFrame:
+    """Per row: element count, sum and position-weighted sum of an array."""
+    a = F.col(column)
+    return df.select(*keys, F.size(a).cast("bigint").alias("width"), rounded(V.total(a), digits).alias("total"),
+                     rounded(V.total(F.transform(a, lambda x, i: x * (i + 1))), digits).alias("position_sum"))
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 
+def digest_sql(a: str, digits: int = 4) -> str:
+    return (f"len({a}) AS width, {rd(f'list_sum({a})', digits)} AS total, "
+            f"{rd(f'list_dot_product({a}::DOUBLE[], range(1, len({a}) + 1)::DOUBLE[])', digits)} AS position_sum")
+
+
 def rd(expr: str, digits: int = DIGITS) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
@@ -133,7 +166,7 @@ b AS (SELECT vec_id, label, ref_label AS pred, angle FROM (
         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY angle, ref_label) AS rn FROM a) WHERE rn = 1)"""
 SCORED = ", ".join([SPECTRA, LONG, MEANS, REFS]) + "," + ANGLES + "," + BEST
 LOGITS = ", ".join([SPECTRA, LONG, MEANS, REFS]) + """,
-z AS (SELECT s.vec_id, s.label, list(30.0 * list_dot_product(spec, ref) ORDER BY r.label) AS logits
+z AS (SELECT s.vec_id, s.label, list(120.0 * list_dot_product(spec, ref) ORDER BY r.label) AS logits
       FROM s CROSS JOIN r GROUP BY s.vec_id, s.label)"""
 
 

@@ -251,13 +251,7 @@ e AS (SELECT vec_id, CASE {_MODE_SQL} WHEN 'full' THEN fv WHEN 'multispectral' T
   FROM s JOIN fv USING (vec_id) JOIN bv USING (vec_id))
 SELECT vec_id, unnest(range(len(e))) AS i, unnest(list_transform(e, lambda x: {rd('x')})) AS v FROM e""")
 def expert_features_by_mode(spark, sf):
-    df = _mode_mix(I.reflectance(spark, sf))
-    names = df.columns
-    full = FX.spectral_features(df, grid=I.GRID).select(*names, F.array(*FX.SPECTRAL_FEATURES).alias("_full"))
-    both = FX.band_features(full).withColumn("_bands", F.array(*FX.BAND_FEATURES))
-    e = F.when(F.col("sensor_mode") == "full", F.col("_full")).when(
-        F.col("sensor_mode") == "multispectral", F.col("_bands")).otherwise(F.concat("_full", "_bands"))
-    return I.long(both.withColumn("e", e), ["vec_id"], "e")
+    return I.long(FX.expert_features(_mode_mix(I.reflectance(spark, sf)), grid=I.GRID), ["vec_id"], "expert")
 
 
 @query("P1", "P2", "P3", "P5", sql=f"""WITH {_SENSORS},

@@ -165,7 +165,7 @@ def pack(df: DataFrame) -> DataFrame:
             empty = empty & p.isNull()
         # A block whose channels are all null in this row was not measured.
         packed = F.array(*parts)
-        return (F.when(~empty, packed) if b.name in ("as7", "swir") else packed).alias(b.name)
+        return F.when(~empty, packed).alias(b.name)
 
     meta = [F.col(f.name).cast(f.dataType).alias(f.name) for f in META.fields]
     stated = F.col("sensor_mode") if "sensor_mode" in have else F.lit(mode_from_columns(df.columns))

@@ -81,7 +81,8 @@ def append(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] |
 
 def run_ingest(lines: DataFrame, scorer: scoring.Scorer | None, out: str, checkpoint: str, session: str = "session",
                identity: list[str] | None = None, packing_density: Column | None = None,
-               timestamp: Column | None = None, trigger: dict | None = None) -> StreamingQuery:
+               timestamp: Column | None = None, trigger: dict | None = None,
+               widths: dict[str, int] | None = None) -> StreamingQuery:
     """Ingest a stream of lines into ``measurements``, ``quarantine`` and ``counters`` under ``out``.
 
     Each micro-batch is parsed and scored once and writes its own folders, which a replay
@@ -95,7 +96,7 @@ def run_ingest(lines: DataFrame, scorer: scoring.Scorer | None, out: str, checkp
         def put(df: DataFrame, name: str) -> None:
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
-        checked = WF.validate_lines(batch).persist()
+        checked = WF.validate_lines(batch, widths=widths).persist()
         if scorer is None:
             put(session_counters(checked, session), "counters")
         else:
