@@ -107,7 +107,7 @@ _CAL = _norm_sql("(value * 10.0 + (i - 1) * 100.0) * (wms / k)",
 o AS (SELECT *, CASE WHEN dark_ts IS NULL THEN 'no_dark_reference' WHEN white_ts IS NULL THEN 'no_white_reference'
         WHEN k <= 0 THEN 'bad_exposure' END AS reason FROM j),
 v AS (SELECT event_id, reason, CASE WHEN reason IS NULL THEN {_each(_CAL, 4)} END AS r FROM o)
-SELECT event_id, reason, {rd('list_sum(r)')} AS total, {rd('list_dot_product(r, [1.0, 2.0, 3.0, 4.0]::DOUBLE[])')} AS position_sum FROM v""")
+SELECT event_id, reason, {rd('list_sum(r)')} AS total, {rd('r[1] + 2 * r[2] + 3 * r[3] + 4 * r[4]')} AS position_sum FROM v""")
 def session_calibration(spark, sf):
     out = calibrate.calibrate(*_session_frames(spark, sf))
     r = F.col("reflectance")

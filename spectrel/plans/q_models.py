@@ -1 +1,119 @@
-"""Queries."""
+"""Queries over models: partial least squares, forest, augmentation, test-time averaging."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import vectors as V
+from ..operators import augment, models, scoring
+from ..session import materialise
+from . import inputs as I
+from .inputs import LONG, REFLECTANCE, digest_sql, rd
+from .registry import query
+from .train_evaluate import evaluate, train
+
+
+def _labelled(spark, sf):
+    """Spectra as features with the label as class and a tenth of it as the fraction."""
+    return I.reflectance(spark, sf).select(
+        "vec_id", F.col("spec").alias("features"), F.col("label").alias("class_index"),
+        (F.col("label") / 10.0).alias("ilmenite_fraction"))
+
+
+@query("M5", sql=f"""WITH {REFLECTANCE}, {LONG},
+st AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM l GROUP BY i),
+x AS (SELECT vec_id, label / 10.0 AS y, i, (v - mu) / sd AS x FROM l JOIN st USING (i)),
+yb AS (SELECT avg(label / 10.0) AS yb FROM s),
+w0 AS (SELECT i, sum(x * (y - yb)) AS w FROM x CROSS JOIN yb GROUP BY i),
+w AS (SELECT i, w / (SELECT sqrt(sum(w * w)) FROM w0) AS w FROM w0),
+t AS (SELECT vec_id, y, sum(x * w) AS t FROM x JOIN w USING (i) GROUP BY vec_id, y),
+q AS (SELECT sum(t * (y - yb)) / sum(t * t) AS q FROM t CROSS JOIN yb)
+SELECT vec_id, {rd('least(greatest(yb + q * t, 0.0), 1.0)')} AS prediction FROM t CROSS JOIN q CROSS JOIN yb""")
+def pls_one_component(spark, sf):
+    df = _labelled(spark, sf)
+    m = models.moments(df, I.WIDTH, target="ilmenite_fraction")
+    out = models.fit_pls(m, 1).predict(df)
+    return out.select("vec_id", I.rounded("prediction").alias("prediction"))
+
+
+@query("M5")
+def pls_eight_components(spark, sf):
+    df = _labelled(spark, sf)
+    out = models.fit_pls(models.moments(df, I.WIDTH, target="ilmenite_fraction"), 8).predict(df)
+    return out.select("vec_id", I.rounded("prediction").alias("prediction"))
+
+
+@query("M4", "M6", "X1")
+def forest_predictions(spark, sf):
+    df = _labelled(spark, sf)
+    model = models.fit_baseline(df, I.WIDTH, n_trees=50)
+    out = scoring.score(df.withColumnRenamed("class_index", "label").drop("ilmenite_fraction"), model)
+    return out.select("vec_id", "label", "class_index", I.rounded("confidence").alias("confidence"),
+                      I.rounded("ilmenite_fraction").alias("ilmenite_fraction"), "status")
+
+
+@query("M2", "M3", "M6", "M7", "A16")
+def trained_split_metrics(spark, sf):
+    run = train(_trainable(spark, sf), "full", n_trees=20, seed=0)
+    return run.metrics.select("split", "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "ilm_rmse", "ilm_r2")])
+
+
+@query("A14", "A16", "D12")
+def trained_test_report(spark, sf):
+    report = evaluate(train(_trainable(spark, sf), "full", n_trees=20, seed=0), "test", n=200)
+    return report["metrics"].join(report["intervals"]).select(
+        "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "accuracy_lo", "accuracy_hi", "ilm_rmse", "rmse_lo", "rmse_hi")])
+
+
+def _trainable(spark, sf):
+    """All measurements in full mode: the 288-channel form of every vector."""
+    m = I.measurements(spark, sf)
+    r = I.reflectance(spark, sf).select(F.col("vec_id").cast("string").alias("measurement_id"), F.col("spec").alias("_s"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(schema.SPEC_WIDTH - 1)), lambda i: F.get("_s", i % I.WIDTH))
+    out = m.drop("spec").join(r, "measurement_id").withColumn("spec", full).drop("_s")
+    return materialise(out.withColumn("sensor_mode", F.lit("full")), "trainable")
+
+
+@query("M3", sql=f"""WITH {I.REFLECTANCE}, {LONG}, g AS (SELECT unnest(range(64)) AS i, unnest({I.doubles(I.GRID)}) AS nm),
+bw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {25.0 / 2.3548200450309493!r}) ** 2) AS w
+  FROM (SELECT unnest(range(12)) AS j, unnest({I.doubles(schema.LED_NM)}) AS centre) c CROSS JOIN g),
+aw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {20.0 / 2.3548200450309493!r}) ** 2) AS w
+  FROM (SELECT unnest(range(18)) AS j, unnest({I.doubles(schema.AS7_NM)}) AS centre) c CROSS JOIN g),
+bl AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN bw USING (i) GROUP BY ALL),
+al AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN aw USING (i) GROUP BY ALL),
+bp AS (SELECT vec_id, list(v ORDER BY j) AS led FROM bl GROUP BY vec_id), ap AS (SELECT vec_id, list(v ORDER BY j) AS as7 FROM al GROUP BY vec_id),
+f AS (SELECT s.vec_id, list_concat(as7, list_concat(led, [list_avg(spec) * 0.4])) AS x FROM s JOIN bp USING (vec_id) JOIN ap USING (vec_id) WHERE label % 3 > 0)
+SELECT vec_id, {digest_sql('x')} FROM f""")
+def multispectral_model_input(spark, sf):
+    m = I.measurements(spark, sf).where("as7 IS NOT NULL").withColumn("vec_id", F.col("measurement_id").cast("bigint"))
+    return I.digest(models.baseline_features(m, "multispectral"), ["vec_id"], "features")
+
+
+@query("M3")
+def full_model_input(spark, sf):
+    m = I.measurements(spark, sf).where("sensor_mode = 'full'").withColumn("vec_id", F.col("measurement_id").cast("bigint"))
+    return I.digest(models.baseline_features(m, "full"), ["vec_id"], "features")
+
+
+@query("F44", "W3")
+def augmented_spectra(spark, sf):
+    out = augment.augment_spectra(I.reflectance(spark, sf), I.WIDTH, copies=2, key="vec_id")
+    return I.digest(out, ["vec_id", "copy"], "spec")
+
+
+@query("F45")
+def augmented_measurements(spark, sf):
+    out = augment.augment(I.measurements(spark, sf).where("spec IS NOT NULL"), copies=1)
+    return out.select("measurement_id", "copy", I.rounded(V.total(F.col("led"))).alias("led_total"),
+                      I.rounded(V.total(F.col("swir"))).alias("swir_total"), I.rounded(schema.LIF).alias("lif"))
+
+
+@query("M9")
+def averaged_noisy_predictions(spark, sf):
+    lif = V.mean(F.col("features"))
+    logits = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: -F.abs(lif * 10.0 - j.cast("double")))
+    scorer = scoring.ColumnScorer(V.softmax(logits), lif)
+    out = augment.tta(_labelled(spark, sf), scorer, I.WIDTH, 6, key="vec_id")
+    return out.select("vec_id", "class_index", "tta_n", I.rounded("confidence").alias("confidence"),
+                      I.rounded("ilmenite_fraction").alias("ilmenite_fraction"), "status")

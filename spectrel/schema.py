@@ -160,12 +160,8 @@ def pack(df: DataFrame) -> DataFrame:
         if b.columns[0] not in have:
             return F.lit(None).cast("array<double>").alias(b.name)
         parts = [F.col(c).cast("double") for c in b.columns]
-        empty = F.lit(True)
-        for p in parts:
-            empty = empty & p.isNull()
         # A block whose channels are all null in this row was not measured.
-        packed = F.array(*parts)
-        return F.when(~empty, packed).alias(b.name)
+        return F.when(F.coalesce(*parts).isNotNull(), F.array(*parts)).alias(b.name)
 
     meta = [F.col(f.name).cast(f.dataType).alias(f.name) for f in META.fields]
     stated = F.col("sensor_mode") if "sensor_mode" in have else F.lit(mode_from_columns(df.columns))
