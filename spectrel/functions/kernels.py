@@ -64,6 +64,43 @@ def keyed_kernel(fn: Callable[[Matrix, np.ndarray], Matrix], width: int):
     return kernel
 
 
+def pixelwise(fn: Callable[..., np.ndarray], arrays: int):
+    """A Column function of ``arrays`` array columns followed by scalar columns, pixel by pixel.
+
+    Rows may differ in width. A row comes out null when an input is null or its arrays differ in
+    length; scalars are repeated along the pixels of their row.
+    """
+    @F.arrow_udf("array<double>")
+    def kernel(*columns: pa.Array) -> pa.Array:
+        vectors, scalars = columns[:arrays], columns[arrays:]
+        sizes = [pc.list_value_length(v) for v in vectors]
+        good = pc.is_valid(sizes[0])
+        for size in sizes[1:]:
+            good = pc.and_(good, pc.fill_null(pc.equal(size, sizes[0]), False))
+        for s in scalars:
+            good = pc.and_(good, pc.is_valid(s))
+        counts = sizes[0].filter(good).to_numpy(zero_copy_only=False)
+        flat = [v.filter(good).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for v in vectors]
+        spread = [np.repeat(s.filter(good).cast(pa.float64()).to_numpy(zero_copy_only=False), counts) for s in scalars]
+        kept = good.to_numpy(zero_copy_only=False).astype(bool)
+        steps = np.zeros(len(kept), dtype=np.int64)
+        steps[kept] = counts
+        offsets = np.concatenate([[0], np.cumsum(steps)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(fn(*flat, *spread)), mask=pa.array(~kept))
+
+    return kernel
+
+
+def in_blocks(fn: Callable[[Matrix], Matrix], rows: int = 2048) -> Callable[[Matrix], Matrix]:
+    """Apply ``fn`` to blocks of rows: kernels with several work arrays stay small and in cache."""
+    def apply(m: Matrix) -> Matrix:
+        if len(m) <= rows:
+            return fn(m)
+        return np.concatenate([fn(m[i:i + rows]) for i in range(0, len(m), rows)])
+
+    return apply
+
+
 def linear_kernel(weights: Matrix, offset: Matrix | None = None):
     """Constant linear map ``x -> weights @ x + offset`` (one BLAS call per batch)."""
     w = np.ascontiguousarray(np.asarray(weights, dtype=np.float64).T)
@@ -186,7 +223,7 @@ def asls(width: int, lam: float = 1e5, p: float = 0.01, n_iter: int = 10):
             w = np.where(y > z, p, np.where(y < z, 1.0 - p, 0.0))
         return z.T
 
-    return array_kernel(apply, width)
+    return array_kernel(in_blocks(apply), width)
 
 
 def upper_hull(m: Matrix, x: np.ndarray) -> Matrix:
@@ -227,7 +264,7 @@ def continuum_removal(grid):
     x = np.asarray(grid, dtype=float)
     if x.size < 3:
         return array_kernel(np.ones_like, x.size)
-    return array_kernel(lambda m: m / np.maximum(upper_hull(m, x), 1e-9), x.size)
+    return array_kernel(in_blocks(lambda m: m / np.maximum(upper_hull(m, x), 1e-9)), x.size)
 
 
 # ---------------------------------------------------------------- bands

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,25 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` mentions it.
+
+    Higher-order functions are interpreted and their arguments are not shared, so an expression
+    named inside a lambda would be recomputed for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    A filter on an ordinary column is pushed below the projection that makes it, which repeats
+    the whole expression in the filter. Output of a generator stays where it is.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def literal(values: Sequence[float]) -> Column:
     return F.lit([float(v) for v in values])
 
@@ -81,6 +100,10 @@ def all_finite(a: Column) -> Column:
 
 def softmax(z: Column) -> Column:
     """Max-shifted softmax of an array."""
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    def exponentials(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    return let(let(z, exponentials), shares)

@@ -62,15 +62,17 @@ def attach_references(frames: DataFrame, refs: DataFrame, by: str = "session_id"
     """Frames with the latest dark and white frame of their session (null when none).
 
     ``refs`` holds (by, ts, kind, counts, integration_ms, temp_c). The wide frames are shuffled
-    once, on (session, time); references follow by broadcast when few, else by a second join.
+    once, on (session, time); references follow by broadcast when few, else by a second join,
+    where adaptive execution splits the frames of a reference that serves very many.
     """
     match = asof_match(frames, refs, by, ts, kind, ("dark", "white"), chunk_seconds)
     out = frames.join(match, [by, ts], "left")
     # Two references of one kind at one instant: keep a fixed one of them.
-    one = refs.groupBy(by, kind, ts).agg(F.max(F.struct("counts", "integration_ms", "temp_c")).alias("ref"))
+    one = pinned(refs.where(F.col(kind).isin("dark", "white")).groupBy(by, kind, ts).agg(
+        F.max(F.struct("counts", "integration_ms", "temp_c")).alias("ref")), SMALL_REFERENCES)
     for k in ("dark", "white"):
         side = one.where(F.col(kind) == k).select(by, F.col(ts).alias(f"{k}_ts"), F.col("ref").alias(k))
-        out = out.join(pinned(side, SMALL_REFERENCES), [by, f"{k}_ts"], "left")
+        out = out.join(side, [by, f"{k}_ts"], "left")
     return out
 
 
@@ -92,11 +94,13 @@ def calibrate(frames: DataFrame, refs: DataFrame, by: str = "session_id", ts: st
         .when((F.size("dark.counts") != F.size(counts)) | (F.size("white.counts") != F.size(counts)),
               F.lit("width_mismatch"))
     )
+    out = V.once(out, "reason", reason)
+    usable = lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    # Inputs of unusable frames are nulled: a kernel runs on every row whatever surrounds it.
     value = R.calibrated(
-        counts, exposure, temp, F.col("dark.counts"), F.col("dark.integration_ms"),
-        F.col("dark.temp_c"), F.col("white.counts"), F.col("white.integration_ms"))
-    out = out.withColumn("reason", reason)
-    return out.withColumn("reflectance", F.when(F.col("reason").isNull(), value)).drop("dark", "white")
+        counts, usable(exposure), temp, F.col("dark.counts"), usable("dark.integration_ms"),
+        F.col("dark.temp_c"), F.col("white.counts"), usable("white.integration_ms"))
+    return out.withColumn("reflectance", value).drop("dark", "white")
 
 
 def fit_dark_profiles(sweeps: DataFrame, profile: str = "profile_id", counts: str = "counts",
@@ -126,13 +130,13 @@ def fit_dark_profiles(sweeps: DataFrame, profile: str = "profile_id", counts: st
     fits = moments.join(lines, profile, "left").select(
         profile, "n_temperatures_fitted", "reason",
         *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("dark_intercept", "dark_slope")])
+    fits = pinned(fits, SMALL_REFERENCES)
     # Residuals need the fitted lines next to the frames: one more pass, arrays kept whole.
     predicted = F.zip_with("dark_intercept", "dark_slope", lambda a, b: a + b * F.col("_t"))
     misfit = F.zip_with(F.col(counts), predicted, lambda y, p: F.abs(y - p))
     residuals = (
         sweeps.select(profile, counts, (F.col(temp) - reference_c).alias("_t"))
-        .join(pinned(fits.where("reason is null").select(profile, "dark_intercept", "dark_slope"),
-                     SMALL_REFERENCES), profile)
+        .join(fits.where("reason is null").select(profile, "dark_intercept", "dark_slope"), profile)
         .groupBy(profile).agg((F.sum(V.total(misfit)) / F.sum(F.size(counts))).alias("fit_residual_mean"))
     )
     return fits.join(residuals, profile, "left").withColumn("reference_temp_c", F.lit(float(reference_c)))
@@ -146,11 +150,11 @@ def calibrate_with_profiles(frames: DataFrame, profiles: DataFrame, profile: str
         profile, "dark_intercept", "dark_slope", "white", "white_integration_ms",
         "dark_integration_ms", "reference_temp_c"), SMALL_REFERENCES)
     out = frames.join(side, profile, "left")
-    usable = F.col("dark_intercept").isNotNull() & F.col("white").isNotNull() & (F.col(exposure) > 0)
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     value = R.calibrated_with_profile(
-        counts, exposure, temp, "dark_intercept", "dark_slope", "reference_temp_c",
-        "dark_integration_ms", "white", "white_integration_ms")
-    return out.withColumn("reflectance", F.when(usable, value)).drop(
+        counts, positive(exposure), temp, "dark_intercept", "dark_slope", "reference_temp_c",
+        positive("dark_integration_ms"), "white", positive("white_integration_ms"))
+    return out.withColumn("reflectance", value).drop(
         "dark_intercept", "dark_slope", "white", "white_integration_ms", "dark_integration_ms",
         "reference_temp_c")
 

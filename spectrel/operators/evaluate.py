@@ -105,13 +105,14 @@ def bootstrap_draws(df: DataFrame, key: str, stats: dict[str, Column], n: int =
     rows; :func:`bootstrap_moments` avoids that for statistics built from sums.
     """
     hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_all", F.lit(0))
-    rows = ranked(hashed, "_all", "_h").drop("_h", "_all")
-    # Every ranked row owns draws number rank-1 of all replicates, so no draw list is kept anywhere.
-    draws = rows.select("n", (F.col("rank") - 1).alias("_j")).select(
-        "n", "_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"))
+    rows = ranked(hashed, "_all", "_h").drop("_h", "_all", "n")
+    total = df.count()
+    # Draw number i is draw i % total of replicate i // total.
+    draws = df.sparkSession.range(total * n).select(
+        F.floor(F.col("id") / F.lit(max(total, 1))).alias("_b"), F.pmod("id", F.lit(max(total, 1))).alias("_j"))
     word = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_b", "_j")), 1, 15)
-    picked = draws.select("_b", (F.pmod(F.conv(word, 16, 10).cast("long"), F.col("n")) + 1).alias("rank"))
-    replicates = picked.join(rows.drop("n"), "rank").groupBy("_b").agg(*[s.alias(k) for k, s in stats.items()])
+    picked = draws.select("_b", (F.pmod(F.conv(word, 16, 10).cast("long"), F.lit(max(total, 1))) + 1).alias("rank"))
+    replicates = picked.join(rows, "rank").groupBy("_b").agg(*[s.alias(k) for k, s in stats.items()])
     return _interval(replicates, list(stats))
 
 

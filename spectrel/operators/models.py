@@ -36,6 +36,10 @@ def baseline_features(df: DataFrame, mode: str = "full", include_swir: bool = Fa
 # ---------------------------------------------------------------- moments
 
 
+#: Most summaries the last merging task may receive.
+MAX_FAN = 1_024
+
+
 @dataclass(frozen=True)
 class Moments:
     """Sums over rows of ``[1, x, y]`` outer products: everything the linear models need."""
@@ -59,12 +63,12 @@ def _merge(a, b):
     return n, ma + d * (nb / n), sa + sb + np.outer(d, d) * (na * nb / n)
 
 
-def moments(df: DataFrame, width: int, features: str = "features", target: str = "target", fan_in: int = 64) -> Moments:
+def moments(df: DataFrame, width: int, features: str = "features", target: str = "target") -> Moments:
     """Count, mean and covariance of the features and the target in one pass over the rows.
 
     Each task streams its batches into one summary of (width + 1)^2 numbers. Summaries are
-    merged ``fan_in`` at a time in a tree of small jobs' stages, so neither a task nor the driver
-    ever receives one summary per input partition. Only the final summary is collected.
+    merged on as many tasks as the session shuffles to (at most :data:`MAX_FAN`), and those few
+    by a last task, so no task or driver receives one summary per input partition.
     """
     columns = "n double, mean array<double>, scatter array<double>"
     k = width + 1
@@ -96,11 +100,8 @@ def moments(df: DataFrame, width: int, features: str = "features", target: str =
             yield emit(total)
 
     rows = df.select(F.col(features).alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")
-    parts = rows.mapInArrow(summarise, columns)
-    count = _input_partitions(rows)
-    while count > fan_in:
-        count = -(-count // fan_in)
-        parts = parts.repartition(count).mapInArrow(combine, columns)
+    fan = min(MAX_FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = rows.mapInArrow(summarise, columns).repartition(fan).mapInArrow(combine, columns)
     final = parts.repartition(1).mapInArrow(combine, columns).collect()
     if not final:
         raise ValueError("no rows to fit on")
@@ -108,13 +109,6 @@ def moments(df: DataFrame, width: int, features: str = "features", target: str =
     return Moments(n, np.array(mean), np.array(scatter).reshape(k, k) / n)
 
 
-def _input_partitions(df: DataFrame) -> int:
-    """Upper estimate of the task count, for sizing the merge tree."""
-    conf = df.sparkSession.conf
-    return max(int(conf.get("spark.sql.shuffle.partitions")), len(df.inputFiles()) or 1,
-               df.sparkSession.sparkContext.defaultParallelism)
-
-
 # ---------------------------------------------------------------- partial least squares
 
 

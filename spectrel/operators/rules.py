@@ -75,7 +75,7 @@ def frame_rules(widths: dict[str, int] | None = None) -> Rules:
 def check(df: DataFrame, rules: Rules, out: str = "violations") -> DataFrame:
     """Add the names of the violated rules (empty for a good row)."""
     named = [F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]
-    return df.withColumn(out, F.array_compact(F.array(*named)))
+    return V.once(df, out, F.array_compact(F.array(*named)))
 
 
 def good(checked: DataFrame, column: str = "violations") -> DataFrame:
@@ -89,6 +89,7 @@ def quarantined(checked: DataFrame, column: str = "violations") -> DataFrame:
 def require(df: DataFrame, rules: Rules) -> DataFrame:
     """The rows, with the first bad one failing the job in the same pass that uses them."""
     checked = check(df, rules)
+    # The filter keeps the check alive when later steps read only a few columns.
     guard = F.when(F.size("violations") > 0, F.raise_error(
         F.concat(F.lit("invalid measurement: "), F.array_join("violations", ", ")))).otherwise(F.lit(True))
     return checked.where(guard).drop("violations")

@@ -11,6 +11,7 @@ from ..functions import kernels
 from ..functions import vectors as V
 from ..operators import channels, mixing, sam
 from ..session import bounded_rows
+from ..sources.layout import spread
 
 #: Width of the given vectors and the wavelength grid they are read on.
 WIDTH = 64
@@ -65,7 +66,7 @@ def payload_number() -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("k", payload_number())
+    return spread(table(spark, sf_dir, "events")).withColumn("k", payload_number())
 
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,8 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order line as an eight-pixel raw frame with its own dark and white frames."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax"))
     pixel = F.sequence(F.lit(0), F.lit(7))
     return line.select(
         "l_orderkey", "l_linenumber", "l_suppkey",

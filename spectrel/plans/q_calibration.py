@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import calibrate, channels
 from ..session import scratch_path
 from ..sources import stores
+from ..sources.layout import spread
 from . import inputs as I
 from .inputs import COUNTS, EVENTS, digest_sql, rd
 from .registry import query
@@ -119,7 +120,7 @@ def session_calibration(spark, sf):
 
 
 def _sweeps(spark, sf):
-    return I.table(spark, sf, "lineitem").select(
+    return spread(I.table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")).select(
         F.col("l_suppkey").alias("profile_id"), F.col("l_quantity").alias("temp_c"),
         F.array(F.col("l_extendedprice") / 100.0, F.col("l_discount") * 100.0, F.col("l_tax") * 100.0).alias("counts"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from ..functions import vectors as V
 from ..operators import rules
 
 CORRUPT = "_corrupt"
@@ -18,15 +19,16 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     kept = lines.where(F.length(F.trim(line)) > 0)
     target = T.StructType(schema.FRAME.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(F.col(line), target, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return kept.withColumn("_f", parsed).select(*lines.columns, "_f.*")
+    return V.once(kept, "_f", parsed).select(*lines.columns, "_f.*")
 
 
 def check_frames(frames: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
     """Frames with the list of violated rules; a line that did not parse has the single reason
     ``malformed``."""
-    checked = rules.check(frames, rules.frame_rules(widths))
-    return checked.withColumn("violations", F.when(
-        F.col(CORRUPT).isNotNull(), F.array(F.lit("malformed"))).otherwise(F.col("violations")))
+    # A line that did not parse breaks many rules; only the parse failure is reported.
+    parsed = {name: F.col(CORRUPT).isNull() & F.coalesce(bad, F.lit(True))
+              for name, bad in rules.frame_rules(widths).items()}
+    return rules.check(frames, {"malformed": F.col(CORRUPT).isNotNull(), **parsed})
 
 
 def validate_lines(lines: DataFrame, line: str = "value", widths: dict[str, int] | None = None) -> DataFrame:
