@@ -43,7 +43,8 @@ def ranked(df: DataFrame, group: str, key: str, digits: int = 3) -> DataFrame:
 
 def split_samples(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.15, seed: int = 0,
                   sample: str = "sample_id", klass: str = "mineral_class") -> DataFrame:
-    """The ``(class, sample, split)`` table, with the digest that ordered it.
+    """The ``(class, sample, split)`` table, with the digest that ordered it and ``opens``, true
+    for the first sample of its class's val or test part.
 
     Within each class the samples are shuffled by digest; the first go to train, the next to
     val, the last to test. Sizes round half to even; classes of three or more samples give at
@@ -71,15 +72,22 @@ def split_samples(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.15
         .when(F.col("rank") <= train + F.col("_v2"), F.lit("val"))
         .otherwise(F.lit("test"))
     )
-    return sized.select(klass, sample, split.alias("split"), "digest")
+    opens = ((F.col("rank") == train + 1) & (F.col("_v2") > 0)) | (
+        (F.col("rank") == train + F.col("_v2") + 1) & (F.col("_t2") > 0))
+    return sized.select(klass, sample, split.alias("split"), "digest", opens.alias("opens"))
 
 
 def split_cutoffs(splits: DataFrame, klass: str = "mineral_class") -> DataFrame:
-    """Per class, the first digest of val and of test: all that is needed to place a row."""
-    return splits.groupBy(klass).agg(
-        F.coalesce(F.min(F.when(F.col("split") == "val", F.col("digest"))), F.lit(NEVER)).alias("val_from"),
-        F.coalesce(F.min(F.when(F.col("split") == "test", F.col("digest"))), F.lit(NEVER)).alias("test_from"),
-    )
+    """Per class, the first digest of val and of test: all that is needed to place a row.
+
+    Only the two opening samples of a class are aggregated; classes too small to have any are
+    listed by a distinct.
+    """
+    opening = splits.where("opens").groupBy(klass).agg(
+        F.min(F.when(F.col("split") == "val", F.col("digest"))).alias("val_from"),
+        F.min(F.when(F.col("split") == "test", F.col("digest"))).alias("test_from"))
+    return splits.select(klass).distinct().join(opening, klass, "left").select(
+        klass, *[F.coalesce(c, F.lit(NEVER)).alias(c) for c in ("val_from", "test_from")])
 
 
 def assign_split(df: DataFrame, cutoffs: DataFrame, seed: int = 0, sample: str = "sample_id",
@@ -115,11 +123,21 @@ def in_split(df: DataFrame, splits: DataFrame, name: str, sample: str = "sample_
 
 
 def leaked_samples(splits: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Samples found in more than one split. Empty for a sound split."""
-    return splits.groupBy(sample).agg(
-        F.countDistinct("split").alias("n_splits"),
-        F.min("split").alias("first_split"), F.max("split").alias("last_split"),
-    ).where("n_splits > 1")
+    """Samples found in more than one split. Empty for a sound split.
+
+    Splits are gathered as bits of one integer, which a hash aggregate can update in place.
+    """
+    bit = F.lit(0)
+    for n, name in enumerate(sorted(SPLITS)):
+        bit = F.when(F.col("split") == name, F.lit(1 << n)).otherwise(bit)
+    seen = splits.groupBy(sample).agg(F.bit_or(bit).alias("_seen")).where(F.bit_count("_seen") > 1)
+
+    def named(order: list[str]) -> Column:
+        return F.coalesce(*[
+            F.when(F.col("_seen").bitwiseAND(1 << sorted(SPLITS).index(n)) > 0, F.lit(n)) for n in order])
+
+    return seen.select(sample, F.bit_count("_seen").cast("bigint").alias("n_splits"),
+                       named(sorted(SPLITS)).alias("first_split"), named(sorted(SPLITS, reverse=True)).alias("last_split"))
 
 
 def assert_no_leakage(splits: DataFrame, sample: str = "sample_id") -> None:

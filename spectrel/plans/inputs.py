@@ -69,12 +69,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events")).withColumn("k", payload_number())
 
 
-def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shots(events: DataFrame) -> DataFrame:
     """Each event as a scored shot of its user: five pseudo-probabilities and a fraction."""
     weights = F.array(*[F.exp(-F.abs(F.col("value") / 40.0 - F.lit(float(j)))) for j in range(5)])
-    e = events(spark, sf_dir).withColumn("w", weights)
+    e = events.withColumn("w", weights)
     return e.select("event_id", "user_id", "event_type", "ts",
-                    F.transform("w", lambda x: x / V.total(F.col("w"))).alias("probabilities"),
+                    V.let(V.total(F.col("w")), lambda s: F.transform("w", lambda x: x / s)).alias("probabilities"),
                     (F.col("k") / 100.0).alias("ilmenite_fraction"))
 
 
@@ -102,11 +102,9 @@ def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean reflectances of labels 0 to 4, named after the five event types."""
-    names = F.lit(list(EVENT_TYPES))
-    means = channels.class_means(reflectance(spark, sf_dir), "label", "spec")
-    return means.where(F.col("label") < len(EVENT_TYPES)).select(
-        F.get(names, F.col("label")).alias("endmember"), "spec")
+    """Mean reflectances of the labels dealt out to the five event types."""
+    name = F.get(F.lit(list(EVENT_TYPES)), F.pmod("label", F.lit(len(EVENT_TYPES))))
+    return channels.class_means(reflectance(spark, sf_dir).withColumn("endmember", name), "endmember", "spec")
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +194,8 @@ c AS (SELECT l_orderkey, l_linenumber, l_suppkey,
 FRACTIONS = """
 n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
 f AS (SELECT user_id AS sample_id, event_type AS endmember, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS fraction FROM n)"""
-ENDMEMBERS = ", ".join([REFLECTANCE, LONG, MEANS]) + f""",
-em AS (SELECT {list(EVENT_TYPES)!r}[label + 1] AS endmember, i, v FROM m WHERE label < {len(EVENT_TYPES)})"""
+ENDMEMBERS = ", ".join([REFLECTANCE, LONG]) + f""",
+em AS (SELECT {list(EVENT_TYPES)!r}[label % {len(EVENT_TYPES)} + 1] AS endmember, i, avg(v) AS v FROM l GROUP BY 1, 2)"""
 
 
 def entropy_sql(p: str) -> str:

@@ -70,7 +70,7 @@ def saturated_pixels(spark, sf):
 
 def _session_frames(spark, sf):
     """Sign-ups are dark frames, purchases white frames, other events the frames to calibrate."""
-    e = I.events(spark, sf).withColumnRenamed("user_id", "session_id")
+    e = I.table(spark, sf, "events").withColumn("k", I.payload_number()).withColumnRenamed("user_id", "session_id")
     px = F.sequence(F.lit(0), F.lit(3))
     kind = F.when(F.col("event_type") == "signup", "dark").when(F.col("event_type") == "purchase", "white")
     e = e.withColumn("kind", kind)

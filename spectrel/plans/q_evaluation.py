@@ -253,7 +253,7 @@ SELECT user_id, class_index, {rd('confidence')} AS confidence, {rd('entropy')} A
 
 
 def _fused(spark, sf, method):
-    out = fusion.fuse(I.shots(spark, sf), 5, "user_id", method=method)
+    out = fusion.fuse(I.shots(I.events(spark, sf)), 5, "user_id", method=method)
     return out.select("user_id", "class_index", *[I.rounded(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],
                       "status", "fused_n")
 

@@ -119,29 +119,14 @@ g AS (SELECT unnest(range(11)) AS i, unnest({I.doubles(_DOC_GRID)}) AS nm)
 SELECT event_type AS spectrum_id, i, {rd('least(greatest(CASE WHEN nm < x OR x2 IS NULL THEN y ELSE y + (y2 - y) * (nm - x) / (x2 - x) END, 0.0), 1.0)')} AS v
 FROM seg JOIN g ON (nm >= x OR x0 IS NULL) AND (nm < x2 OR x2 IS NULL)""")
 def ascii_library(spark, sf):
-    """Curves written as two-column text files, with one broken file among them, read back on a grid."""
+    """Curves written as folders of two-column text, with a broken one among them, read back on a grid."""
     path = scratch_path(spark, "library")
     points = I.events(spark, sf).groupBy("event_type", "k").agg((F.avg("value") / 500.0).alias("y"))
     text = points.select("event_type", F.concat_ws(" ", F.col("k").cast("string"), F.col("y").cast("string")).alias("line"))
-    for name in I.EVENT_TYPES:
-        part = text.where(F.col("event_type") == name).select("line").coalesce(1)
-        _one_text_file(part, path, f"{name}.txt")
-    _one_text_file(text.where("event_type = 'click'").select(F.concat("line", F.lit(" oops")).alias("line")).coalesce(1), path, "broken.txt")
-    return I.long(SL.read_ascii_library(spark, path, _DOC_GRID), ["spectrum_id"], "spec")
-
-
-def _one_text_file(df: DataFrame, folder: str, name: str) -> None:
-    """Write ``df`` as the text file ``folder/name`` through the cluster's file system."""
-    spark = df.sparkSession
-    staging = f"{folder}-{name}"
-    df.write.text(staging)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs = target.getFileSystem(conf)
-    fs.mkdirs(target.getParent())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staging}/part-*")):
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, status.getPath(), fs, target, False, conf)
+    broken = text.select(F.lit("broken").alias("event_type"), F.concat("line", F.lit(" oops")).alias("line"))
+    text.unionByName(broken).write.partitionBy("event_type").text(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "event_type=([^/]+)/", 1)
+    return I.long(SL.read_ascii_library(spark, path, _DOC_GRID, name=folder), ["spectrum_id"], "spec")
 
 
 @query("S12", sql="SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
@@ -264,11 +249,7 @@ def streaming_session_counters(spark, sf):
 @query("R5", sql=FUSED_MEAN_SQL)
 def streaming_fused_shots(spark, sf):
     path = scratch_path(spark, "fusion")
-    e = event_stream(spark, sf)
-    weights = F.array(*[F.exp(-F.abs(F.col("value") / 40.0 - F.lit(float(j)))) for j in range(5)])
-    shots = e.withColumn("w", weights).select(
-        "user_id", F.transform("w", lambda x: x / V.total(F.col("w"))).alias("probabilities"),
-        (F.col("k") / 100.0).alias("ilmenite_fraction"))
+    shots = I.shots(event_stream(spark, sf))
     ingest.write_updates(ingest.fused_sums(shots, 5, "user_id"), path, f"{path}-checkpoint").awaitTermination()
     out = ingest.finish_fusion(ingest.latest_updates(spark, path, ["user_id"]), 5, "user_id")
     return out.select("user_id", "class_index", *[I.rounded(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],

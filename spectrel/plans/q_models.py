@@ -37,6 +37,28 @@ def pls_one_component(spark, sf):
     return out.select("vec_id", I.rounded("prediction").alias("prediction"))
 
 
+@query("M5", sql=f"""WITH {REFLECTANCE}, {LONG},
+st AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM l GROUP BY i),
+yb AS (SELECT avg(label / 10.0) AS yb FROM s),
+x AS (SELECT vec_id, label / 10.0 - yb AS y, i, (v - mu) / sd AS x FROM l JOIN st USING (i) CROSS JOIN yb),
+w0 AS (SELECT i, sum(x * y) AS w FROM x GROUP BY i),
+w AS (SELECT i, w / (SELECT sqrt(sum(w * w)) FROM w0) AS w FROM w0),
+t AS (SELECT vec_id, y, sum(x * w) AS t FROM x JOIN w USING (i) GROUP BY vec_id, y),
+q AS (SELECT sum(t * y) / sum(t * t) AS q, sum(t * t) AS tt FROM t),
+pl AS (SELECT i, sum(x * t) / any_value(tt) AS p FROM x JOIN t USING (vec_id) CROSS JOIN q GROUP BY i),
+x2 AS (SELECT x.vec_id, x.y - q * t AS y, x.i, x - t * p AS x FROM x JOIN t USING (vec_id) JOIN pl USING (i) CROSS JOIN q),
+v0 AS (SELECT i, sum(x * y) AS w FROM x2 GROUP BY i),
+v AS (SELECT i, w / (SELECT sqrt(sum(w * w)) FROM v0) AS w FROM v0),
+t2 AS (SELECT vec_id, any_value(y) AS y, sum(x * w) AS t FROM x2 JOIN v USING (i) GROUP BY vec_id),
+q2 AS (SELECT sum(t * y) / sum(t * t) AS q FROM t2)
+SELECT vec_id, {rd('least(greatest(yb + q.q * t.t + q2.q * t2.t, 0.0), 1.0)')} AS prediction
+FROM t JOIN t2 USING (vec_id) CROSS JOIN q CROSS JOIN q2 CROSS JOIN yb""")
+def pls_two_components(spark, sf):
+    df = _labelled(spark, sf)
+    out = models.fit_pls(models.moments(df, I.WIDTH, target="ilmenite_fraction"), 2).predict(df)
+    return out.select("vec_id", I.rounded("prediction").alias("prediction"))
+
+
 @query("M5")
 def pls_eight_components(spark, sf):
     df = _labelled(spark, sf)

@@ -33,7 +33,7 @@ def _event_rows(spark, sf):
 
 @query("M1", "W1", sql=f"WITH {split_sql('embeddings', .15, .15, 0, 'label', 'vec_id')} SELECT label, vec_id, split FROM sp")
 def split_of_samples(spark, sf):
-    return S.split_samples(I.spectra(spark, sf), sample="vec_id", klass="label").drop("digest")
+    return S.split_samples(I.spectra(spark, sf), sample="vec_id", klass="label").drop("digest", "opens")
 
 
 @query("M1", "M2", "P4", sql=f"""WITH {_USERS}, {_EVENT_ROWS},{split_sql('ev', .2, .25, 7, 'klass', 'user_id')}

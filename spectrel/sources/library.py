@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip
@@ -10,15 +10,17 @@ from ..operators import library as L
 from ..operators.mixing import with_swir
 
 
-def read_ascii_points(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+def read_ascii_points(spark: SparkSession, path: str, pattern: str = "*.txt", name: Column | None = None) -> DataFrame:
     """Points ``(spectrum_id, nm, reflectance)`` of a folder of two-column text files.
 
+    Spectra are named after their files, or by ``name``, an expression over ``_metadata``.
+
     A file with a line that is not two or more numbers, with unequal line lengths, or with fewer
     than two points is left out whole. ``#`` starts a comment.
     """
     lines = (
         spark.read.option("pathGlobFilter", pattern).text(path)
-        .select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("spectrum_id"),
+        .select((F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1) if name is None else name).alias("spectrum_id"),
                 F.trim(F.regexp_replace("value", "#.*$", "")).alias("text"))
         .where(F.length("text") > 0)
         .select("spectrum_id", F.split("text", r"\s+").alias("parts"))
@@ -33,9 +35,9 @@ def read_ascii_points(spark: SparkSession, path: str, pattern: str = "*.txt") ->
     return points.join(sound, "spectrum_id", "left_semi").select("spectrum_id", "nm", "reflectance")
 
 
-def read_ascii_library(spark: SparkSession, path: str, grid, pattern: str = "*.txt") -> DataFrame:
+def read_ascii_library(spark: SparkSession, path: str, grid, pattern: str = "*.txt", name: Column | None = None) -> DataFrame:
     """Folder of text spectra resampled to ``grid`` and clipped to [0, 1]."""
-    spectra = L.resample(read_ascii_points(spark, path, pattern), grid)
+    spectra = L.resample(read_ascii_points(spark, path, pattern, name), grid)
     return spectra.withColumn("spec", F.transform("spec", lambda x: clip(x, 0.0, 1.0)))
 
 
