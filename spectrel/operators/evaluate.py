@@ -128,22 +128,23 @@ def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats
     ``stats`` are expressions over the moment names and ``n`` (rows drawn).
     """
     names = list(moments)
-    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket) or 1)
-    filed = df.select(
-        F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int").alias("_bucket"),
-        *[c.cast("double").alias(m) for m, c in moments.items()])
-    sizes = filed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).orderBy("_bucket").collect()
+    # Sizes are taken once on a fine division; small tables then use fewer, merged buckets.
+    fine = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(MAX_BUCKETS)).cast("int")
+    sizes = df.groupBy(fine.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
-        spark = df.sparkSession
-        return spark.range(1).select(*[
+        return df.sparkSession.range(1).select(*[
             F.lit(NAN).alias(f"{s}_{side}") for s in stats for side in ("lo", "hi")])
-    count = np.array([r["_n"] for r in sizes], dtype=np.int64)
-    total = int(count.sum())
+    total = sum(r["n"] for r in sizes)
+    buckets = min(MAX_BUCKETS, math.ceil(total / rows_per_bucket))
+    count = np.zeros(buckets, dtype=np.int64)
+    for r in sizes:
+        count[r["b"] * buckets // MAX_BUCKETS] += r["n"]
+    filed = df.select(
+        F.floor(fine * F.lit(buckets) / F.lit(MAX_BUCKETS)).cast("int").alias("_bucket"),
+        *[c.cast("double").alias(m) for m, c in moments.items()])
     rng = np.random.default_rng(seed)
     share = rng.multinomial(total, count / total, size=n)
-    allotted = {r["_bucket"]: share[:, i].astype(np.int64) for i, r in enumerate(sizes)}
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(allotted)
+    shared = df.sparkSession.sparkContext.broadcast(share.T.astype(np.int64))
     schema = ", ".join(["_b int", "_n bigint", *[f"{m} double" for m in names]])
 
     def resample(table: pa.Table) -> pa.Table:

@@ -100,7 +100,7 @@ def sam_nearest_tiled(df: DataFrame, refs: DataFrame, key: str, spec: str = "spe
     """
     tiles = max(1, math.ceil(refs.count() / tile))
     library = (
-        refs.select(F.pmod(F.xxhash64(F.col(name)), F.lit(tiles)).alias("tile"),
+        refs.select(F.pmod(F.xxhash64(F.col(name), F.col(spec)), F.lit(tiles)).alias("tile"),
                     F.struct(F.col(name).alias("n"), F.col(spec).alias("s")).alias("r"))
         .groupBy("tile").agg(F.collect_list("r").alias("refs"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -13,6 +13,23 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000
 
 
+#: Settings these operators count on; all can be changed on a running session.
+SETTINGS = {
+    # Skewed joins (frames of one reference, rows of one sample) are split at run time.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Whole spectra are wide rows: smaller Arrow batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see, as named by ``spark.checkpoint.dir``.
 
