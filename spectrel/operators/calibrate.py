@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import reflectance as R
 from ..functions import vectors as V
 from ..session import pinned
-from .channels import collect_channels, explode_channels
+from .channels import collect_channels
 
 #: References are whole spectra; this many fit comfortably in every task.
 SMALL_REFERENCES = 2_000
@@ -110,33 +110,31 @@ def fit_dark_profiles(sweeps: DataFrame, profile: str = "profile_id", counts: st
     Profiles with fewer than two frames, or with all temperatures alike, get null coefficients
     and a reason. ``fit_residual_mean`` is the mean absolute residual over frames and pixels.
     """
-    moments = sweeps.groupBy(profile).agg(
-        F.count(temp).alias("n_temperatures_fitted"), F.min(temp).alias("_lo"), F.max(temp).alias("_hi"),
-        F.min(F.size(counts)).alias("_narrow"), F.max(F.size(counts)).alias("_wide"))
-    close = (F.col("_hi") - F.col("_lo")) <= 1e-8 + 1e-5 * F.abs(F.col("_lo") - reference_c)
+    warm = F.col("_t")
+    rows = sweeps.select(profile, counts, (F.col(temp) - reference_c).alias("_t"))
+    # One pass: the lines and what is needed to tell whether they mean anything.
+    per_pixel = rows.select(profile, "_t", F.posexplode_outer(counts).alias("i", "v")).groupBy(profile, "i").agg(
+        F.regr_intercept("v", warm).alias("a"), F.regr_slope("v", warm).alias("b"),
+        F.count(warm).alias("n"), F.min(warm).alias("lo"), F.max(warm).alias("hi"))
+    packed = collect_channels(per_pixel, [profile], "i", "a", "b", "n", "lo", "hi")
+    lo, hi = F.array_min("lo"), F.array_max("hi")
     reason = (
-        F.when(F.col("n_temperatures_fitted") < 2, F.lit("fewer_than_two_frames"))
-        .when(close, F.lit("identical_temperatures"))
-        .when(F.col("_narrow") != F.col("_wide"), F.lit("mixed_widths"))
+        F.when(F.array_max("i").isNull(), F.lit("no_pixels"))
+        .when(F.get("i", F.lit(0)).isNull(), F.lit("mixed_widths"))
+        .when(F.array_max("n") < 2, F.lit("fewer_than_two_frames"))
+        .when((hi - lo) <= 1e-8 + 1e-5 * F.abs(lo), F.lit("identical_temperatures"))
+        .when(F.array_min("n") != F.array_max("n"), F.lit("mixed_widths"))
     )
-    moments = moments.select(profile, "n_temperatures_fitted", reason.alias("reason"))
-    warm = F.col("_t")
-    long = explode_channels(
-        sweeps.select(profile, counts, (F.col(temp) - reference_c).alias("_t")), counts, [profile, "_t"])
-    lines = collect_channels(
-        long.groupBy(profile, "i").agg(
-            F.regr_intercept("v", warm).alias("dark_intercept"), F.regr_slope("v", warm).alias("dark_slope")),
-        [profile], "dark_intercept", "dark_slope")
-    fits = moments.join(lines, profile, "left").select(
+    fits = packed.select(profile, F.array_max("n").alias("n_temperatures_fitted"), reason.alias("reason"), "a", "b").select(
         profile, "n_temperatures_fitted", "reason",
-        *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("dark_intercept", "dark_slope")])
+        F.when(F.col("reason").isNull(), F.col("a")).alias("dark_intercept"),
+        F.when(F.col("reason").isNull(), F.col("b")).alias("dark_slope"))
     fits = pinned(fits, SMALL_REFERENCES)
     # Residuals need the fitted lines next to the frames: one more pass, arrays kept whole.
     predicted = F.zip_with("dark_intercept", "dark_slope", lambda a, b: a + b * F.col("_t"))
     misfit = F.zip_with(F.col(counts), predicted, lambda y, p: F.abs(y - p))
     residuals = (
-        sweeps.select(profile, counts, (F.col(temp) - reference_c).alias("_t"))
-        .join(fits.where("reason is null").select(profile, "dark_intercept", "dark_slope"), profile)
+        rows.join(fits.where("reason is null").select(profile, "dark_intercept", "dark_slope"), profile)
         .groupBy(profile).agg((F.sum(V.total(misfit)) / F.sum(F.size(counts))).alias("fit_residual_mean"))
     )
     return fits.join(residuals, profile, "left").withColumn("reference_temp_c", F.lit(float(reference_c)))

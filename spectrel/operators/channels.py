@@ -23,7 +23,7 @@ def collect_channels(df: DataFrame, keys: Sequence[str], *columns: str) -> DataF
 
     A group has one row per channel, so its size is the block width.
     """
-    packed = F.array_sort(F.collect_list(F.struct("i", *columns)))
+    packed = F.array_sort(F.collect_list(F.struct("i", *[c for c in columns if c != "i"])))
     out = df.groupBy(*keys).agg(packed.alias("_c"))
     return out.select(*keys, *[F.col("_c").getField(c).alias(c) for c in columns])
 

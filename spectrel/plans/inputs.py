@@ -19,6 +19,8 @@ GRID = [float(x) for x in np.linspace(340.0, 850.0, WIDTH)]
 N_LABELS = 10
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 DIGITS = 6
+#: For ratios of small counts, which often end in a 5 just past the sixth digit.
+FINE = 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,10 @@ def rounded(c: Column | str, digits: int = DIGITS) -> Column:
     return F.round(V.col(c), digits) + F.lit(0.0)
 
 
+def fine(c: Column | str) -> Column:
+    return rounded(c, FINE)
+
+
 def long(df: DataFrame, keys: list[str], column: str, value: str = "v", digits: int = DIGITS) -> DataFrame:
     """One row per array element, rounded for comparison."""
     out = df.select(*keys, F.posexplode(column).alias("i", value))
@@ -146,6 +152,10 @@ def rd(expr: str, digits: int = DIGITS) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def fr(expr: str) -> str:
+    return rd(expr, FINE)
+
+
 def doubles(values) -> str:
     return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
 

@@ -9,7 +9,7 @@ from ..functions import uncertainty as U
 from ..functions import vectors as V
 from ..operators import channels, evaluate, fusion, ranking, sam, scoring
 from . import inputs as I
-from .inputs import (LOGITS, LONG, PROBS, SAM_PROBS, SCORED, SHOTS, argmax_sql, doubles, entropy_sql, rd, softmax_sql,
+from .inputs import (LOGITS, LONG, PROBS, SAM_PROBS, SCORED, SHOTS, argmax_sql, doubles, entropy_sql, fr, rd, softmax_sql,
                      status_sql, uncertainty_sql)
 from .registry import query
 
@@ -33,11 +33,11 @@ def uncertainty_status(spark, sf):
 
 
 @query("P12", sql=f"""WITH {_UNC} SELECT status IN ('nominal', 'borderline') AS trustworthy, count(*) AS n,
-{rd('avg((class_index = label)::INT)')} AS accuracy FROM us GROUP BY 1""")
+{fr('avg((class_index = label)::INT)')} AS accuracy FROM us GROUP BY 1""")
 def trustworthy_share(spark, sf):
     out = U.with_uncertainty(_probabilities(spark, sf)).withColumn("trustworthy", U.trustworthy())
     return out.groupBy("trustworthy").agg(
-        F.count(F.lit(1)).alias("n"), I.rounded(F.avg((F.col("class_index") == F.col("label")).cast("int"))).alias("accuracy"))
+        F.count(F.lit(1)).alias("n"), I.fine(F.avg((F.col("class_index") == F.col("label")).cast("int"))).alias("accuracy"))
 
 
 @query("T3", sql=f"""WITH {PROBS} SELECT vec_id, {rd('list_reverse_sort(p)[1] - list_reverse_sort(p)[2]')} AS margin_2,
@@ -88,10 +88,10 @@ _REL = PROBS + f""", c AS (SELECT list_max(p) AS c, ({argmax_sql('p')} = label):
 bn AS (SELECT len(list_filter({_BINS}, lambda e: e < c)) - 1 AS bin, count(*) AS n, avg(c) AS confidence, avg(hit) AS accuracy FROM c GROUP BY 1)"""
 
 
-@query("A17", sql=f"WITH {_REL} SELECT bin, n, {rd('confidence')} AS confidence, {rd('accuracy')} AS accuracy FROM bn")
+@query("A17", sql=f"WITH {_REL} SELECT bin, n, {rd('confidence')} AS confidence, {fr('accuracy')} AS accuracy FROM bn")
 def reliability_table(spark, sf):
     out = evaluate.reliability(_probabilities(spark, sf), label="label")
-    return out.select("bin", "n", I.rounded("confidence").alias("confidence"), I.rounded("accuracy").alias("accuracy"))
+    return out.select("bin", "n", I.rounded("confidence").alias("confidence"), I.fine("accuracy").alias("accuracy"))
 
 
 @query("A17", sql=f"WITH {_REL} SELECT {rd('sum(n * abs(confidence - accuracy)) / sum(n)')} AS ece FROM bn")
@@ -139,11 +139,11 @@ def sam_confusion_matrix(spark, sf):
 c AS (SELECT class_pred AS k, sum(n) AS called FROM cm GROUP BY 1),
 x AS (SELECT ac.k, actual, CASE WHEN called = 0 THEN 0.0 ELSE hit / called END AS p, CASE WHEN actual = 0 THEN 0.0 ELSE hit / actual END AS r
       FROM ac JOIN c USING (k))
-SELECT k AS class_index, {rd('p')} AS precision, {rd('r')} AS recall,
-{rd('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS f1, actual::BIGINT AS support FROM x""")
+SELECT k AS class_index, {fr('p')} AS precision, {fr('r')} AS recall,
+{fr('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS f1, actual::BIGINT AS support FROM x""")
 def sam_class_report(spark, sf):
     out = evaluate.per_class(_confusion(spark, sf))
-    return out.select("class_index", *[I.rounded(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return out.select("class_index", *[I.fine(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @query("A15", sql=f"""WITH {_CM} SELECT class_true, class_pred, n,
@@ -165,7 +165,7 @@ _VALUES = SCORED + """, sv AS (SELECT vec_id, label, list_avg(spec) AS v FROM s)
 cv AS (SELECT label, avg(v) AS pv FROM sv GROUP BY label),
 sc AS (SELECT b.vec_id, b.label AS class_true, b.pred AS class_pred, sv.v AS value_true, cv.pv AS value_pred
        FROM b JOIN sv USING (vec_id) JOIN cv ON cv.label = b.pred)"""
-_METRICS = f"""count(*) AS n, {rd('avg((class_true = class_pred)::INT)')} AS top1_acc,
+_METRICS = f"""count(*) AS n, {fr('avg((class_true = class_pred)::INT)')} AS top1_acc,
 {rd('sqrt(avg((value_pred - value_true) * (value_pred - value_true)))')} AS ilm_rmse,
 {rd('1 - var_pop(value_pred - value_true) / var_pop(value_true)')} AS ilm_r2"""
 
@@ -173,13 +173,13 @@ _METRICS = f"""count(*) AS n, {rd('avg((class_true = class_pred)::INT)')} AS top
 @query("A12", "M7", "A16", sql=f"WITH {_VALUES} SELECT {_METRICS} FROM sc")
 def evaluation_metrics(spark, sf):
     out = evaluate.metrics(_scored_values(spark, sf))
-    return out.select("n", *[I.rounded(c).alias(c) for c in ("top1_acc", "ilm_rmse", "ilm_r2")])
+    return out.select("n", I.fine("top1_acc").alias("top1_acc"), *[I.rounded(c).alias(c) for c in ("ilm_rmse", "ilm_r2")])
 
 
 @query("J10", "A12", sql=f"WITH {_VALUES} SELECT class_true, {_METRICS} FROM sc GROUP BY class_true")
 def evaluation_metrics_by_class(spark, sf):
     out = evaluate.metrics(_scored_values(spark, sf), ("class_true",))
-    return out.select("class_true", "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "ilm_rmse", "ilm_r2")])
+    return out.select("class_true", "n", I.fine("top1_acc").alias("top1_acc"), *[I.rounded(c).alias(c) for c in ("ilm_rmse", "ilm_r2")])
 
 
 _ABLATE = {"linear": "v", "hapke": "1.0 - ((1.0 - v) / (1.0 + v)) * ((1.0 - v) / (1.0 + v))"}
@@ -218,7 +218,7 @@ def mixing_ablation(spark, sf):
     scorers = {k: _AngleScorer(channels.class_means(t, "label", "spec")) for k, t in tests.items()}
     scored = scoring.cross_models(scorers, tests)
     out = evaluate.ablation(scored, class_true="label", class_pred="class_index", value_pred="ilmenite_fraction")
-    return out.select("train_model", "test_model", "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "ilm_rmse", "ilm_r2")])
+    return out.select("train_model", "test_model", "n", I.fine("top1_acc").alias("top1_acc"), *[I.rounded(c).alias(c) for c in ("ilm_rmse", "ilm_r2")])
 
 
 # ---------------------------------------------------------------- bootstrap
@@ -248,13 +248,13 @@ def bootstrap_intervals(spark, sf):
 def _fusion_sql(parts: str) -> str:
     return f"""WITH {SHOTS}, fs AS (SELECT user_id, [{parts}] AS p, least(greatest(avg(ilm), 0.0), 1.0) AS ilm, count(*) AS n FROM sh GROUP BY user_id),
 un AS (SELECT user_id, ilm, n, {uncertainty_sql('p')} FROM fs)
-SELECT user_id, class_index, {rd('confidence')} AS confidence, {rd('entropy')} AS entropy, {rd('margin')} AS margin,
-{status_sql('confidence', 'entropy', 'margin')} AS status, {rd('ilm')} AS ilmenite_fraction, n AS fused_n FROM un"""
+SELECT user_id, class_index, {fr('confidence')} AS confidence, {fr('entropy')} AS entropy, {fr('margin')} AS margin,
+{status_sql('confidence', 'entropy', 'margin')} AS status, {fr('ilm')} AS ilmenite_fraction, n AS fused_n FROM un"""
 
 
 def _fused(spark, sf, method):
     out = fusion.fuse(I.shots(I.events(spark, sf)), 5, "user_id", method=method)
-    return out.select("user_id", "class_index", *[I.rounded(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],
+    return out.select("user_id", "class_index", *[I.fine(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],
                       "status", "fused_n")
 
 
@@ -302,9 +302,9 @@ def ranked_pool(spark, sf):
     return _shown(ranking.top(_acquisition(spark, sf), "vec_id", 25))
 
 
-@query("A19", sql=f"WITH {_POOL} SELECT {rd('avg(disagreement::INT)')} AS disagreement_rate FROM rk")
+@query("A19", sql=f"WITH {_POOL} SELECT {fr('avg(disagreement::INT)')} AS disagreement_rate FROM rk")
 def classifier_disagreement(spark, sf):
-    return ranking.disagreement_rate(_acquisition(spark, sf)).select(I.rounded("disagreement_rate").alias("disagreement_rate"))
+    return ranking.disagreement_rate(_acquisition(spark, sf)).select(I.fine("disagreement_rate").alias("disagreement_rate"))
 
 
 @query("W5", "T5", sql="""SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank

@@ -15,7 +15,7 @@ from ..sources import measurements as SM
 from ..sources import stores
 from ..streaming import ingest
 from . import inputs as I
-from .inputs import EVENTS, digest_sql, rd
+from .inputs import EVENTS, fr, rd
 from .q_evaluation import FUSED_MEAN_SQL
 from .registry import query
 
@@ -116,7 +116,7 @@ _DOC_GRID = [float(x) for x in range(0, 31, 3)]
 p AS (SELECT event_type, k AS x, avg(value) / 500.0 AS y FROM e GROUP BY ALL),
 seg AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lag(x) OVER w AS x0 FROM p WINDOW w AS (PARTITION BY event_type ORDER BY x)),
 g AS (SELECT unnest(range(11)) AS i, unnest({I.doubles(_DOC_GRID)}) AS nm)
-SELECT event_type AS spectrum_id, i, {rd('least(greatest(CASE WHEN nm < x OR x2 IS NULL THEN y ELSE y + (y2 - y) * (nm - x) / (x2 - x) END, 0.0), 1.0)')} AS v
+SELECT event_type AS spectrum_id, i, {fr('least(greatest(CASE WHEN nm < x OR x2 IS NULL THEN y ELSE y + (y2 - y) * (nm - x) / (x2 - x) END, 0.0), 1.0)')} AS v
 FROM seg JOIN g ON (nm >= x OR x0 IS NULL) AND (nm < x2 OR x2 IS NULL)""")
 def ascii_library(spark, sf):
     """Curves written as folders of two-column text, with a broken one among them, read back on a grid."""
@@ -126,7 +126,7 @@ def ascii_library(spark, sf):
     broken = text.select(F.lit("broken").alias("event_type"), F.concat("line", F.lit(" oops")).alias("line"))
     text.unionByName(broken).write.partitionBy("event_type").text(path)
     folder = F.regexp_extract(F.col("_metadata.file_path"), "event_type=([^/]+)/", 1)
-    return I.long(SL.read_ascii_library(spark, path, _DOC_GRID, name=folder), ["spectrum_id"], "spec")
+    return I.long(SL.read_ascii_library(spark, path, _DOC_GRID, name=folder), ["spectrum_id"], "spec", digits=I.FINE)
 
 
 @query("S12", sql="SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
@@ -195,7 +195,7 @@ _HIT = "least(greatest(ceil(lif * 3.0 - 0.5), 0), 5)::BIGINT"
 _COUNTERS = f"""SELECT session, count(*) AS received, count(*) FILTER (reason = '') AS valid, count(*) FILTER (reason <> '') AS malformed,
  count(*) FILTER (reason = '' AND event_type IN ('click', 'view', 'error') AND {_HIT} = k % 6) AS truth_matches,
  count(*) FILTER (reason = '' AND event_type IN ('click', 'view', 'error')) AS truth_total FROM fr GROUP BY session"""
-_COUNTERS = f"""SELECT *, CASE WHEN truth_total > 0 THEN {rd('truth_matches / truth_total')} END AS accuracy FROM ({_COUNTERS})"""
+_COUNTERS = f"""SELECT *, CASE WHEN truth_total > 0 THEN {fr('truth_matches / truth_total')} END AS accuracy FROM ({_COUNTERS})"""
 
 
 def _predicted(checked: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _predicted(checked: DataFrame) -> DataFrame:
 @query("A20", "J10", sql=f"WITH {_FRAMES} {_COUNTERS}")
 def session_counters(spark, sf):
     out = ingest.session_counters(_predicted(_checked(spark, sf)), "session", F.col("predicted"))
-    return out.withColumn("accuracy", I.rounded("accuracy"))
+    return out.withColumn("accuracy", I.fine("accuracy"))
 
 
 @query("R3", sql=f"""WITH {_FRAMES} SELECT session, count(*) AS received, count(*) FILTER (reason = '') AS valid,
@@ -243,7 +243,7 @@ def streaming_session_counters(spark, sf):
     checked = WF.validate_lines(wire_lines(event_stream(spark, sf)), widths=WIDTHS)
     counters = ingest.session_counters(_predicted(checked), "session", F.col("predicted"))
     ingest.write_updates(counters, path, f"{path}-checkpoint").awaitTermination()
-    return ingest.latest_updates(spark, path, ["session"]).withColumn("accuracy", I.rounded("accuracy"))
+    return ingest.latest_updates(spark, path, ["session"]).withColumn("accuracy", I.fine("accuracy"))
 
 
 @query("R5", sql=FUSED_MEAN_SQL)
@@ -252,7 +252,7 @@ def streaming_fused_shots(spark, sf):
     shots = I.shots(event_stream(spark, sf))
     ingest.write_updates(ingest.fused_sums(shots, 5, "user_id"), path, f"{path}-checkpoint").awaitTermination()
     out = ingest.finish_fusion(ingest.latest_updates(spark, path, ["user_id"]), 5, "user_id")
-    return out.select("user_id", "class_index", *[I.rounded(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],
+    return out.select("user_id", "class_index", *[I.fine(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],
                       "status", "fused_n")
 
 
@@ -261,4 +261,4 @@ def streaming_ingest(spark, sf):
     path = scratch_path(spark, "ingest")
     ingest.run_ingest(wire_lines(event_stream(spark, sf)), frame_scorer(), path, f"{path}-checkpoint",
                       identity=["session", "event_id"], widths=WIDTHS).awaitTermination()
-    return ingest.total_counters(spark, path).withColumn("accuracy", I.rounded("accuracy"))
+    return ingest.total_counters(spark, path).withColumn("accuracy", I.fine("accuracy"))

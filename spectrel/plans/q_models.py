@@ -84,7 +84,8 @@ def trained_split_metrics(spark, sf):
 @query("A14", "A16", "D12")
 def trained_test_report(spark, sf):
     report = evaluate(train(_trainable(spark, sf), "full", n_trees=20, seed=0), "test", n=200)
-    return report["metrics"].join(report["intervals"]).select(
+    bounds = report["intervals"].select(F.struct("*").alias("b")).scalar()
+    return report["metrics"].withColumn("b", bounds).select("*", "b.*").select(
         "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "accuracy_lo", "accuracy_hi", "ilm_rmse", "rmse_lo", "rmse_hi")])
 
 

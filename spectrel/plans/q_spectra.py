@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import channels, library, mixing, preprocess, sam
 from . import inputs as I
 from .inputs import (BEST, ENDMEMBERS, FRACTIONS, LONG, MEANS, REFLECTANCE, REFS, SAM_PROBS, SCORED, SPECTRA,
-                     doubles, rd)
+                     doubles, fr, rd)
 from .registry import query
 
 GRID_SQL = "g AS (SELECT unnest(range(64)) AS i, unnest(" + doubles(I.GRID) + ") AS nm)"
@@ -353,11 +353,11 @@ _EVENT_GRID = [float(x) for x in np.linspace(0.0, 200.0, 41)]
 p AS (SELECT user_id, value AS x, avg(k) / 100.0 AS y FROM e GROUP BY user_id, value),
 seg AS (SELECT user_id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lag(x) OVER w AS x0 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY x)),
 g AS (SELECT unnest(range(41)) AS i, unnest({doubles(_EVENT_GRID)}) AS nm)
-SELECT user_id, i, {rd('CASE WHEN nm < x OR x2 IS NULL THEN y ELSE y + (y2 - y) * (nm - x) / (x2 - x) END')} AS v
+SELECT user_id, i, {fr('CASE WHEN nm < x OR x2 IS NULL THEN y ELSE y + (y2 - y) * (nm - x) / (x2 - x) END')} AS v
 FROM seg JOIN g ON (nm >= x OR x0 IS NULL) AND (nm < x2 OR x2 IS NULL)""")
 def resampled_curves(spark, sf):
     points = I.events(spark, sf).groupBy("user_id", "value").agg((F.avg("k") / 100.0).alias("y"))
-    return I.long(library.resample(points, _EVENT_GRID, key="user_id", x="value", y="y"), ["user_id"], "spec")
+    return I.long(library.resample(points, _EVENT_GRID, key="user_id", x="value", y="y"), ["user_id"], "spec", digits=I.FINE)
 
 
 _OTHER_GRID = [float(x) for x in np.linspace(350.0, 900.0, 111)]
