@@ -26,7 +26,7 @@ def _seconds(moment: Column, without_zone: bool) -> Column:
 
 
 def asof_match(frames: DataFrame, refs: DataFrame, by: str, ts: str, kind: str,
-               kinds: tuple[str, ...], chunk_seconds: int = 3600) -> DataFrame:
+               kinds: tuple[str, ...], chunk_seconds: int = 600) -> DataFrame:
     """For every distinct (by, ts) of ``frames``: the time of the latest reference of each kind
     taken at or before it, in columns ``<kind>_ts`` (null when there is none).
 
@@ -58,7 +58,7 @@ def asof_match(frames: DataFrame, refs: DataFrame, by: str, ts: str, kind: str,
 
 
 def attach_references(frames: DataFrame, refs: DataFrame, by: str = "session_id", ts: str = "ts",
-                      kind: str = "kind", chunk_seconds: int = 3600) -> DataFrame:
+                      kind: str = "kind", chunk_seconds: int = 600) -> DataFrame:
     """Frames with the latest dark and white frame of their session (null when none).
 
     ``refs`` holds (by, ts, kind, counts, integration_ms, temp_c). The wide frames are shuffled
@@ -78,7 +78,7 @@ def attach_references(frames: DataFrame, refs: DataFrame, by: str = "session_id"
 
 def calibrate(frames: DataFrame, refs: DataFrame, by: str = "session_id", ts: str = "ts",
               counts: str = "counts", exposure: str = "integration_time_ms",
-              temp: str = "ambient_temp_c", chunk_seconds: int = 3600) -> DataFrame:
+              temp: str = "ambient_temp_c", chunk_seconds: int = 600) -> DataFrame:
     """Counts to reflectance with each session's own references.
 
     Every frame comes out. One that cannot be calibrated has a null ``reflectance`` and says

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,37 +170,43 @@ def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats
 
 
 def _interval(replicates: DataFrame, names: list[str]) -> DataFrame:
-    """2.5 and 97.5 percentiles (linear between ranks) over the replicates; NaN when there are none."""
+    """2.5 and 97.5 percentiles (linear between ranks) over the replicates; NaN when there are none
+    or when the statistic is undefined in one of them."""
     def q(c: str, at: float) -> Column:
-        return _or_nan(F.percentile(c, F.lit(at)))
+        undefined = F.bool_or(F.isnan(F.col(c).cast("double")))
+        return _or_nan(F.when(~undefined, F.percentile(c, F.lit(at))))
 
     return replicates.agg(*[
         e for c in names for e in (q(c, 0.025).alias(f"{c}_lo"), q(c, 0.975).alias(f"{c}_hi"))])
 
 
-def _sum_stats() -> tuple[dict[str, Callable], dict[str, Column]]:
-    n = F.col("n")
-
-    def var(s: str, ss: str) -> Column:
-        return F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n)
-
-    spread = var("y", "yy")
-    return {
-        "accuracy": F.col("hit") / n,
-        "rmse": F.sqrt(F.col("ee") / n),
-        "r2": F.when(spread > 0, 1.0 - var("e", "ee") / spread).otherwise(F.lit(NAN)),
-    }
-
-
 def intervals(df: DataFrame, key: str, class_true="class_true", class_pred="class_pred",
               value_true="value_true", value_pred="value_pred", n: int = 500, seed: int = 0) -> DataFrame:
-    """Bootstrap intervals of accuracy, RMSE and R2 from the same replicates."""
-    e, y = F.col(value_pred) - F.col(value_true), F.col(value_true)
+    """Bootstrap intervals of accuracy, RMSE and R2 from the same replicates.
+
+    Variances are taken about the table's means: sums of raw squares would lose the digits that
+    tell a constant truth from a nearly constant one.
+    """
+    error, truth = F.col(value_pred) - F.col(value_true), F.col(value_true)
+    centre = df.agg(F.avg(error).alias("e"), F.avg(truth).alias("y")).first()
+    e0, y0 = (float(centre[c]) if centre[c] is not None else NAN for c in ("e", "y"))
+    e, y = error - F.lit(e0), truth - F.lit(y0)
     moments = {
-        "hit": (F.col(class_true) == F.col(class_pred)).cast("double"),
+        "hit": (F.col(class_true) == F.col(class_pred)).cast("double"), "square": error * error,
         "e": e, "ee": e * e, "y": y, "yy": y * y,
     }
-    return bootstrap_moments(df, key, moments, _sum_stats(), n, seed)
+    drawn = F.col("n")
+
+    def var(s: str, ss: str) -> Column:
+        return F.col(ss) / drawn - (F.col(s) / drawn) * (F.col(s) / drawn)
+
+    spread = var("y", "yy")
+    stats = {
+        "accuracy": F.col("hit") / drawn,
+        "rmse": F.sqrt(F.col("square") / drawn),
+        "r2": F.when(spread > (1e-12 * y0) ** 2, 1.0 - var("e", "ee") / spread).otherwise(F.lit(NAN)),
+    }
+    return bootstrap_moments(df, key, moments, stats, n, seed)
 
 
 # ---------------------------------------------------------------- calibration of confidence

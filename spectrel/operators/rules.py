@@ -60,7 +60,8 @@ def measurement_rules(widths: dict[str, int] | None = None) -> Rules:
 def frame_rules(widths: dict[str, int] | None = None) -> Rules:
     """Rules of a parsed wire frame."""
     truth = F.col("_truth.ilmenite_fraction")
-    has_truth = F.col("_truth").isNotNull()
+    # An empty truth object is no truth.
+    has_truth = F.col("_truth.mineral_class").isNotNull() | truth.isNotNull()
     return {
         "version": F.col("v").isNull() | (F.col("v") != 1),
         "integration_time_ms": F.col("integration_time_ms").isNull() | (F.col("integration_time_ms") <= 0),

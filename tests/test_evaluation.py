@@ -121,6 +121,12 @@ def test_draw_bootstrap_takes_any_aggregate(spark):
     assert r["n_lo"] == r["n_hi"] == 300 and r["median_lo"] < np.median(y) < r["median_hi"]
 
 
+def test_bootstrap_of_a_constant_truth_has_no_r2(spark):
+    df = scored(spark, 200)[0].withColumn("value_true", F.lit(.1))
+    r = E.intervals(df, "id", n=50).first()
+    assert math.isnan(r["r2_lo"]) and math.isnan(r["r2_hi"]) and r["rmse_lo"] > 0
+
+
 def test_bootstrap_of_nothing_is_nan(spark):
     df = scored(spark, 20)[0].where("id < 0")
     assert all(math.isnan(x) for x in E.intervals(df, "id").first())

@@ -20,6 +20,7 @@ def frame(**kw):
 LINES = {
     frame(): "", frame(as7=[.3] * 18, swir=[.4, .5]): "", frame(swir=[.4, .5]): "", frame(as7=[.3] * 18, extra=1): "",
     frame(_truth={"mineral_class": "olivine_rich", "ilmenite_fraction": .2}): "",
+    frame(_truth={}): "", frame(_truth={"mineral_class": "mixed"}): "truth_fraction",
     "{bad": "malformed", "[1]": "malformed", frame(lif_450lp=float("nan")): "lif_not_finite", frame(v=2): "version",
     frame(swir=[.1] * 3): "swir_width", frame(as7=[.1] * 17): "as7_width", frame(integration_time_ms=0): "integration_time_ms",
     frame(_truth={"mineral_class": "mixed", "ilmenite_fraction": 2}): "truth_fraction", frame(spec=[.1] * 3): "spec_width",
@@ -32,7 +33,7 @@ def test_every_bad_line_is_quarantined_with_its_reason(spark):
     checked = WF.validate_lines(df)
     got = {r["value"]: ",".join(r["violations"]) for r in checked.collect()}
     assert got == LINES
-    assert WF.valid(checked).count() == 5 and WF.quarantine(checked).count() == len(LINES) - 5
+    assert WF.valid(checked).count() == 6 and WF.quarantine(checked).count() == len(LINES) - 6
 
 
 def test_frames_become_measurements_with_stable_ids(spark):
@@ -40,7 +41,7 @@ def test_frames_become_measurements_with_stable_ids(spark):
     scored = ingest.score_frames(WF.valid(WF.validate_lines(df)), frame_scorer())
     make = lambda: WF.to_measurement(scored, F.lit("RUN"), F.lit("loose"), ["offset"])
     a, b = ({r["measurement_id"] for r in make().collect()} for _ in range(2))
-    assert a == b and len(a) == 5
+    assert a == b and len(a) == 6
     assert make().columns == schema.MEASUREMENT.fieldNames()
     assert {r["sensor_mode"] for r in make().collect()} == {"full", "combined"}
 
@@ -65,10 +66,10 @@ def test_ingest_restarts_where_it_stopped_and_equals_batch(spark, tmp_path):
     run(frame_scorer())
     run(frame_scorer())
     total = ingest.total_counters(spark, out).first()
-    assert (total["received"], total["valid"], total["malformed"]) == (45, 15, 30)
+    assert (total["received"], total["valid"], total["malformed"]) == (51, 18, 33)
     assert total["truth_total"] == 3 and total["accuracy"] in (0.0, 1.0)
-    assert spark.read.parquet(f"{out}/measurements").count() == 15
-    assert spark.read.parquet(f"{out}/quarantine").count() == 30
+    assert spark.read.parquet(f"{out}/measurements").count() == 18
+    assert spark.read.parquet(f"{out}/quarantine").count() == 33
 
 
 def test_dry_run_only_counts(spark, tmp_path):
@@ -77,7 +78,7 @@ def test_dry_run_only_counts(spark, tmp_path):
     s = spark.readStream.text(src).withColumn("session", F.lit("RUN"))
     ingest.run_ingest(s, None, out, scratch_path(spark, "check")).awaitTermination()
     row = ingest.total_counters(spark, out).first()
-    assert row["received"] == 15 and row["truth_total"] == 0 and row["accuracy"] is None
+    assert row["received"] == 17 and row["truth_total"] == 0 and row["accuracy"] is None
     assert os.listdir(out) == ["counters"]
 
 
