@@ -125,9 +125,14 @@ def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats
     (a buckets x replicates table); inside a bucket those draws are uniform. Only the moment
     columns are shuffled, once, and each bucket returns ``n`` partial sums.
 
-    ``stats`` are expressions over the moment names and ``n`` (rows drawn).
+    ``stats`` are expressions over the moment names and ``n`` (rows drawn). Rows lacking a
+    moment (no prediction) take no part, as in the point metrics.
     """
     names = list(moments)
+    complete = F.lit(True)
+    for c in moments.values():
+        complete = complete & c.isNotNull()
+    df = df.where(complete)
     # Sizes are taken once on a fine division; small tables then use fewer, merged buckets.
     fine = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(MAX_BUCKETS)).cast("int")
     sizes = df.groupBy(fine.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()

@@ -40,7 +40,7 @@ def mix(fractions: DataFrame, endmembers: DataFrame, model: str = "linear", samp
     check_model(model)
     rows = bounded_rows(endmembers.select(endmember, spec), MAX_DENSE)
     if rows is None:
-        return _mix_by_join(fractions, endmembers, model, sample, endmember, fraction, spec)
+        return mix_by_join(fractions, endmembers, model, sample, endmember, fraction, spec)
     names = sorted(r[0] for r in rows)
     pure = {r[0]: r[1] for r in rows}
     matrix = np.array([pure[n] for n in names], dtype=float)
@@ -57,7 +57,10 @@ def mix(fractions: DataFrame, endmembers: DataFrame, model: str = "linear", samp
     return out.withColumn(spec, M.to_reflectance(spec)) if model == "hapke" else out
 
 
-def _mix_by_join(fractions, endmembers, model, sample, endmember, fraction, spec) -> DataFrame:
+def mix_by_join(fractions: DataFrame, endmembers: DataFrame, model: str = "linear", sample: str = "sample_id",
+                endmember: str = "endmember", fraction: str = "fraction", spec: str = "spec") -> DataFrame:
+    """:func:`mix` for any number of end-members: join, then sum per sample and channel."""
+    check_model(model)
     value = M.albedo_of_reflectance(F.col("v")) if model == "hapke" else F.col("v")
     total = F.sum(F.col(fraction) * value)
     joined = fractions.join(endmembers.select(endmember, spec), endmember, "left")

@@ -206,7 +206,7 @@ class _AngleScorer:
         self.refs = refs
 
     def score(self, df):
-        out = sam.sam_classify(df, self.refs, name="label", order=sorted(r[0] for r in self.refs.select("label").collect()))
+        out = sam.sam_classify(df, self.refs, name="label")
         return out.withColumn("ilmenite_fraction", F.col("sam_index") / 10.0).drop("angles", "sam_class", "sam_index", "angle_rad", "angle_deg")
 
 

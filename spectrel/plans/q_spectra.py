@@ -292,7 +292,7 @@ def intimate_mixtures(spark, sf):
 wm AS (SELECT sample_id, i, sum(fraction * ({_SSA})) AS w FROM f JOIN em USING (endmember) GROUP BY sample_id, i)
 SELECT sample_id, i, {rd(_BACK)} AS v FROM wm""")
 def intimate_mixtures_by_join(spark, sf):
-    out = mixing._mix_by_join(I.fractions(spark, sf), I.endmembers(spark, sf), "hapke", "sample_id", "endmember", "fraction", "spec")
+    out = mixing.mix_by_join(I.fractions(spark, sf), I.endmembers(spark, sf), "hapke")
     return I.long(out, ["sample_id"], "spec")
 
 
