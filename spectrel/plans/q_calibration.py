@@ -68,9 +68,10 @@ def saturated_pixels(spark, sf):
 # ---------------------------------------------------------------- session references
 
 
-def _session_frames(spark, sf):
+def _session_frames(spark, sf, session=None):
     """Sign-ups are dark frames, purchases white frames, other events the frames to calibrate."""
-    e = I.table(spark, sf, "events").withColumn("k", I.payload_number()).withColumnRenamed("user_id", "session_id")
+    e = I.table(spark, sf, "events").withColumn("k", I.payload_number())
+    e = e.withColumn("session_id", F.col("user_id") if session is None else session)
     px = F.sequence(F.lit(0), F.lit(3))
     kind = F.when(F.col("event_type") == "signup", "dark").when(F.col("event_type") == "purchase", "white")
     e = e.withColumn("kind", kind)
@@ -100,6 +101,18 @@ def latest_session_references(spark, sf):
     return calibrate.asof_match(frames, refs, "session_id", "ts", "kind", ("dark", "white"))
 
 
+@query("J5", sql=f"""WITH {EVENTS}, h AS (SELECT ts, event_type, CASE WHEN k % 3 = 0 THEN 0 ELSE user_id END AS session_id FROM e),
+fr AS (SELECT DISTINCT session_id, ts FROM h WHERE event_type NOT IN ('signup', 'purchase')),
+dk AS (SELECT session_id, ts FROM h WHERE event_type = 'signup'), wh AS (SELECT session_id, ts FROM h WHERE event_type = 'purchase')
+SELECT fr.session_id, fr.ts, dk.ts AS dark_ts, wh.ts AS white_ts
+FROM fr ASOF LEFT JOIN dk ON dk.session_id = fr.session_id AND fr.ts >= dk.ts
+        ASOF LEFT JOIN wh ON wh.session_id = fr.session_id AND fr.ts >= wh.ts""")
+def references_of_a_crowded_session(spark, sf):
+    """As above with a third of all events moved into one session."""
+    frames, refs = _session_frames(spark, sf, F.when(F.col("k") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    return calibrate.asof_match(frames, refs, "session_id", "ts", "kind", ("dark", "white"))
+
+
 _CAL = _norm_sql("(value * 10.0 + (i - 1) * 100.0) * (wms / k)",
                  "((100.0 + dv / 10.0 + (i - 1)) * (wms / dms) + (temp - dt) * 2.0)", "(2500.0 + wv + (i - 1) * 50.0)")
 

@@ -253,7 +253,10 @@ SELECT user_id, class_index, {fr('confidence')} AS confidence, {fr('entropy')} A
 
 
 def _fused(spark, sf, method):
-    out = fusion.fuse(I.shots(I.events(spark, sf)), 5, "user_id", method=method)
+    return _shown_fusion(fusion.fuse(I.shots(I.events(spark, sf)), 5, "user_id", method=method))
+
+
+def _shown_fusion(out):
     return out.select("user_id", "class_index", *[I.fine(c).alias(c) for c in ("confidence", "entropy", "margin", "ilmenite_fraction")],
                       "status", "fused_n")
 
@@ -271,6 +274,15 @@ def fused_shots_vote(spark, sf):
     return _fused(spark, sf, "vote")
 
 
+@query("A8", sql=FUSED_MEAN_SQL.replace(
+    "FROM sh GROUP BY user_id", "FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM sh) GROUP BY user_id"))
+def fused_shots_of_a_crowded_sample(spark, sf):
+    """Fusion with a third of all shots moved onto one sample."""
+    shots = I.shots(I.events(spark, sf)).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    return _shown_fusion(fusion.fuse(shots, 5, "user_id"))
+
+
 # ---------------------------------------------------------------- ranking
 
 _POOL = SAM_PROBS + f""", lg AS (SELECT s.vec_id, list(120.0 * list_dot_product(spec, ref) ORDER BY r.label) AS z FROM s CROSS JOIN r GROUP BY s.vec_id),

@@ -113,7 +113,39 @@ def multispectral_model_input(spark, sf):
     return I.digest(models.baseline_features(m, "multispectral"), ["vec_id"], "features")
 
 
-@query("M3")
+def _full_input_sql() -> str:
+    """The 288-channel model input from first principles: orthogonal-polynomial smoothing, highest
+    chords for the hull, direct sums for the other features."""
+    sigma = 25.0 / 2.3548200450309493
+    return f"""WITH {I.REFLECTANCE}, {LONG}, g AS (SELECT unnest(range(64)) AS i, unnest({I.doubles(I.GRID)}) AS nm),
+bw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {sigma!r}) ** 2) AS w
+  FROM (SELECT unnest(range(12)) AS j, unnest({I.doubles(schema.LED_NM)}) AS centre) c CROSS JOIN g),
+bl AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN bw USING (i) GROUP BY ALL),
+led AS (SELECT vec_id, list(v ORDER BY j) AS led FROM bl GROUP BY vec_id),
+f AS (SELECT vec_id, list_avg(spec) * 0.4 AS lif, unnest(range(288)) AS i, unnest([spec[q % 64 + 1] for q in range(288)]) AS v FROM s WHERE label % 3 = 0),
+tt AS (SELECT unnest(range(-5, 6)) AS t),
+pol AS (SELECT t, 1.0::DOUBLE AS p0, t::DOUBLE AS p1, (t*t - 10)::DOUBLE AS p2, t*t*t - 17.8*t AS p3 FROM tt),
+nrm AS (SELECT sum(p0*p0) AS n0, sum(p1*p1) AS n1, sum(p2*p2) AS n2, sum(p3*p3) AS n3 FROM pol),
+co AS (SELECT a.t AS pos, b.t AS t, a.p0*b.p0/n0 + a.p1*b.p1/n1 + a.p2*b.p2/n2 + a.p3*b.p3/n3 AS c FROM pol a CROSS JOIN pol b CROSS JOIN nrm),
+cw AS (SELECT i, least(greatest(i, 5), 282) AS mid FROM (SELECT unnest(range(288)) AS i)),
+k AS (SELECT i, mid + t AS j, c FROM cw JOIN co ON co.pos = i - mid),
+w288 AS (SELECT unnest(range(288)) AS i, unnest({I.doubles(schema.SPEC_GRID)}) AS nm),
+sm AS (SELECT vec_id, k.i, any_value(lif) AS lif, any_value(nm) AS nm, sum(f.v * c) AS v FROM f JOIN k ON f.i = k.j JOIN w288 ON w288.i = k.i GROUP BY vec_id, k.i),
+wn AS (SELECT i, nm FROM w288 WHERE nm BETWEEN 600 AND 640 OR nm BETWEEN 680 AND 720),
+hl AS (SELECT a.vec_id, wn.i, any_value(wn.nm) AS nm, max(CASE WHEN a.i = b.i THEN a.v ELSE a.v + (b.v - a.v) * (wn.nm - a.nm) / (b.nm - a.nm) END) AS hull
+  FROM wn JOIN sm a ON a.i <= wn.i JOIN sm b ON b.vec_id = a.vec_id AND b.i >= wn.i GROUP BY a.vec_id, wn.i),
+bd AS (SELECT hl.vec_id, 1.0 - min(sm.v / greatest(hull, 1e-9)) FILTER (hl.nm BETWEEN 680 AND 720) AS b700,
+  1.0 - min(sm.v / greatest(hull, 1e-9)) FILTER (hl.nm BETWEEN 600 AND 640) AS b620 FROM hl JOIN sm ON sm.vec_id = hl.vec_id AND sm.i = hl.i GROUP BY hl.vec_id),
+fx AS (SELECT vec_id, any_value(lif) AS lif, list(v ORDER BY i) AS sm, avg(v) FILTER (nm BETWEEN 500 AND 800) AS alb,
+  regr_slope(v, nm) FILTER (nm BETWEEN 500 AND 800) AS slope,
+  avg(v) FILTER (nm BETWEEN 340 AND 420) / (avg(v) FILTER (nm BETWEEN 500 AND 600) + 1e-6) AS uv FROM sm GROUP BY vec_id),
+x AS (SELECT vec_id, list_concat(list_concat(sm, led), [lif, alb, slope, uv, b700, b620, led[8] / (led[3] + 1e-6),
+  (led[9] + led[10] + led[11]) / 3.0 / ((led[3] + led[5]) / 2.0 + 1e-6), lif / (alb + 1e-6)]) AS x
+  FROM fx JOIN bd USING (vec_id) JOIN led USING (vec_id))
+SELECT vec_id, {digest_sql('x')} FROM x"""
+
+
+@query("M3", sql=_full_input_sql())
 def full_model_input(spark, sf):
     m = I.measurements(spark, sf).where("sensor_mode = 'full'").withColumn("vec_id", F.col("measurement_id").cast("bigint"))
     return I.digest(models.baseline_features(m, "full"), ["vec_id"], "features")

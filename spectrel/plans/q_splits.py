@@ -27,7 +27,10 @@ _EVENT_ROWS = "ev AS (SELECT event_id, e.user_id, klass FROM events e JOIN u USI
 
 def _event_rows(spark, sf):
     e = I.table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    klass = e.groupBy("user_id").agg(F.min("event_type").alias("klass"))
+    # The smallest name by its place in the sorted list: an integer minimum aggregates by hash.
+    names = F.lit(list(I.EVENT_TYPES))
+    first = F.min(F.array_position(names, F.col("event_type"))).cast("int") - 1
+    klass = e.groupBy("user_id").agg(first.alias("_k")).select("user_id", F.get(names, F.col("_k")).alias("klass"))
     return e.join(klass, "user_id")
 
 

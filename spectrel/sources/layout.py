@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table stored in fewer files than there are cores.
+    """Use every core on a table read by fewer tasks than there are cores.
 
-    A file with one row group is one task, however many cores wait. Tables of many files, which
-    is what large ones are, come back untouched: no shuffle is added to them.
+    A small file is one task, however many cores wait. Tables of many tasks, which is what
+    large ones are, come back untouched: no shuffle is added to them. ``df`` should be a plain scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
