@@ -9,7 +9,7 @@ from ..functions import uncertainty as U
 from ..functions import vectors as V
 from ..operators import channels, evaluate, fusion, ranking, sam, scoring
 from . import inputs as I
-from .inputs import (LOGITS, LONG, PROBS, SAM_PROBS, SCORED, SHOTS, argmax_sql, doubles, entropy_sql, fr, rd, softmax_sql,
+from .inputs import (LOGITS, LONG, PROBS, SAM_PROBS, SCORED, SHOTS, argmax_sql, doubles, fr, rd, softmax_sql,
                      status_sql, uncertainty_sql)
 from .registry import query
 

@@ -232,9 +232,10 @@ def frames_to_measurements(spark, sf):
 
 
 def event_stream(spark, sf) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table as a stream of files, a micro-batch spread over the cores: files that
+    arrive one at a time would otherwise be one task each."""
     e = spark.readStream.schema(I.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    return e.withColumn("k", I.payload_number())
+    return e.repartition(spark.sparkContext.defaultParallelism).withColumn("k", I.payload_number())
 
 
 @query("R4", "A20", sql=f"WITH {_FRAMES} {_COUNTERS}")

@@ -11,7 +11,7 @@ from ..functions import mixing as MF
 from ..functions import vectors as V
 from ..operators import channels, library, mixing, preprocess, sam
 from . import inputs as I
-from .inputs import (BEST, ENDMEMBERS, FRACTIONS, LONG, MEANS, REFLECTANCE, REFS, SAM_PROBS, SCORED, SPECTRA,
+from .inputs import (BEST, ENDMEMBERS, FRACTIONS, LONG, MEANS, REFLECTANCE, SAM_PROBS, SCORED, SPECTRA,
                      doubles, fr, rd)
 from .registry import query
 

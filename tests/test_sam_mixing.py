@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from spectrel import schema
 from spectrel.operators import channels, library, mixing, sam
