@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see, as named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (unit tests on one machine) is a temporary folder
-    made and recorded in the session.
+    Only on a local master (one machine) that names none is a temporary folder made and
+    recorded in the session; a cluster without a shared folder is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spectrel-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -73,3 +77,28 @@ def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers of this session (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = scratch_path(spark, "code").removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        # An object store is not a file system; Spark serves the archive from the driver instead.
+        folder = tempfile.mkdtemp(prefix="spectrel-code-")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, "spectrel.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for root, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
