@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_dedup
+from . import embed_dedup, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
+
+
+@query
+def op2_simhash_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
