@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, simhash, suffix_dedup
+from . import bpe, embed_dedup, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query
@@ -36,3 +38,10 @@ def op2_simhash_dedup(spark, sf_dir):
 @query
 def op3_embedding_dedup(spark, sf_dir):
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_byte_bpe(spark, sf_dir):
+    found = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,7 +19,6 @@ are rows of their own, so their windows repeat; other columns of the input are i
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -38,7 +37,7 @@ GRAM = 32  # bytes hashed to place a window
 STEP = 64  # starts filed under one key
 COMMON = LENGTH - STEP + 1  # bytes shared by all windows of a key
 ROW = 264  # bytes kept around a key: 63 before, 200 after, 1 of padding
-CHUNK = 4 << 20  # bytes of text in a chunk; longer documents are cut into pieces
+CHUNK = 2 << 20  # bytes of text in a chunk; longer documents are cut into pieces
 HOT = 4_096  # occurrences of a key from which its windows are counted by hash
 BATCH = 4_096  # distinct surroundings sorted at once
 
@@ -420,8 +419,8 @@ def _flags(keys, first, last, count, rows, batch) -> np.ndarray:
 
 # ---- results -------------------------------------------------------------------------------------
 
-RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
-FINAL_SCHEMA = RESULT_SCHEMA + ", tag long, start long, body binary, windows binary"
+RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:bigint,end:bigint>>"
+PART_SCHEMA = "doc_id long, tag long, start long, body binary, windows binary"
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -439,39 +438,48 @@ def _runs(mask: np.ndarray) -> list[dict]:
 def _document(doc_id, text: np.ndarray, covered: np.ndarray) -> dict:
     spans = _runs(covered) if covered.any() else []
     kept = text[~covered] if spans else text
-    return {"doc_id": doc_id, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans),
-            "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": spans}
+    return {"doc_id": doc_id, "n_bytes": len(text), "n_removed": len(text) - len(kept), "kept": kept.tobytes(), "spans": spans}
 
 
-def _arrow_schema(full: bool) -> pa.Schema:
-    s = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-    return pa.schema(s + [("tag", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("windows", pa.binary())] * full)
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()),
+                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+PART = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("windows", pa.binary())])
 
 
-def _finish(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+def _finish(pieces: bool):
     """Documents of a chunk without their repeats; pieces of a long document carry their repeated starts on."""
-    r = chunk.to_pylist()[0]
+    schema = PART if pieces else RESULT
+
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        if not chunk.num_rows:  # answers to a chunk of the other kind
+            return schema.empty_table()
+        r = chunk.to_pylist()[0]
+        data, offsets = _opened(r["body"], r["sizes"])
+        starts = _repeats(data, offsets, replies.to_pylist())
+        if pieces:
+            row = {"doc_id": r["doc_ids"][0], "tag": r["tag"], "start": r["starts"][0], "body": r["body"], "windows": np.sort(starts).tobytes()}
+            return pa.Table.from_pylist([row], schema)
+        covered = _covered(len(data), starts)
+        rows = [_document(doc, data[a:b], covered[a:b]) for doc, a, b in zip(r["doc_ids"], offsets[:-1], offsets[1:])]
+        return pa.Table.from_pylist(rows, schema)
+
+    return run
+
+
+def _repeats(data: np.ndarray, offsets: np.ndarray, replies: list[dict]) -> np.ndarray:
+    """Positions in a chunk whose 200 bytes occur again, from the answers of the buckets."""
     answers = defaultdict(list)
-    for x in replies.to_pylist():
+    for x in sorted(replies, key=lambda x: x["bucket"]):
         answers[x["kind"]].append(x)
-    data, offsets = _opened(r["body"], r["sizes"])
+    joined = {kind: np.frombuffer(b"".join(x["payload"] for x in xs), np.uint8) for kind, xs in answers.items()}
     c = Candidates(data, offsets, answers[0])
-    joined = lambda kind: b"".join(x["payload"] for x in sorted(answers[kind], key=lambda x: x["bucket"]))
-    starts = []
+    starts = [np.zeros(0, np.int64)]
     if len(c.lead):
-        flags = np.frombuffer(joined(1), np.uint8).reshape(-1, 8)[c.row_of]
-        block, place = np.nonzero(np.unpackbits(flags, axis=1))
+        block, place = np.nonzero(np.unpackbits(joined[1].reshape(-1, 8)[c.row_of], axis=1))
         starts.append(c.blocks.at[c.plain[block]] - (STEP - 1) + place)
     if len(c.hot):
-        starts.append(c.windows[np.frombuffer(joined(2), np.uint8)[c.hot_place] > 0])
-    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    if r["tag"] is not None:
-        row = {"doc_id": r["doc_ids"][0], "tag": r["tag"], "start": r["starts"][0], "body": r["body"], "windows": np.sort(starts).astype(np.int64).tobytes()}
-        return pa.Table.from_pylist([row], _arrow_schema(True))
-    covered = _covered(len(data), starts)
-    rows = [_document(doc, data[a:b], covered[a:b]) for doc, a, b in zip(r["doc_ids"], offsets[:-1], offsets[1:])]
-    return pa.Table.from_pylist(rows, _arrow_schema(True))
+        starts.append(c.windows[joined[2][c.hot_place] > 0])
+    return np.concatenate(starts)
 
 
 def _assemble(pieces: pa.Table) -> pa.Table:
@@ -480,11 +488,11 @@ def _assemble(pieces: pa.Table) -> pa.Table:
     following = [r["start"] for r in rows[1:]] + [rows[-1]["start"] + len(parts[-1])]
     text = np.concatenate([p[:b - r["start"]] for r, p, b in zip(rows, parts, following)])
     starts = np.concatenate([np.frombuffer(r["windows"], np.int64) + r["start"] for r in rows])
-    return pa.Table.from_pylist([_document(rows[0]["doc_id"], text, _covered(len(text), starts))], _arrow_schema(False))
+    return pa.Table.from_pylist([_document(rows[0]["doc_id"], text, _covered(len(text), starts))], RESULT)
 
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK, hot: int = HOT, batch: int = BATCH) -> DataFrame:
-    """One row per document: sizes, removed spans and the SHA-256 of what is left.
+    """(doc_id, n_bytes, n_removed, kept, spans), a row per document: the bytes left and the spans removed.
 
     ``chunk_bytes`` bounds what a task holds of the text, ``hot`` the occurrences of a key that meet in
     one bucket, ``batch`` the surroundings sorted at once. None of them changes the result.
@@ -499,7 +507,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK, hot: int = HOT, ba
     slim = chunks.select("chunk_id", "sizes", "body").groupBy("chunk_id")
     found = (slim.cogroup(keys.groupBy("chunk_id")).applyInArrow(_candidate_pieces(buckets), PIECE_SCHEMA)
              .groupBy("bucket").applyInArrow(_resolve(batch), PIECE_SCHEMA))
-    done = materialise(chunks.groupBy("chunk_id").cogroup(keys.unionByName(found).groupBy("chunk_id")).applyInArrow(_finish, FINAL_SCHEMA), "documents")
-    names = [c.split()[0] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")]
-    long = done.where("tag IS NOT NULL").groupBy("tag").applyInArrow(_assemble, RESULT_SCHEMA)
-    return done.where("tag IS NULL").select(*names).unionByName(long)
+    replies = keys.unionByName(materialise(found, "repeats")).groupBy("chunk_id")
+    whole = chunks.where("tag IS NULL").groupBy("chunk_id").cogroup(replies).applyInArrow(_finish(False), RESULT_SCHEMA)
+    parts = chunks.where("tag IS NOT NULL").groupBy("chunk_id").cogroup(replies).applyInArrow(_finish(True), PART_SCHEMA)
+    return whole.unionByName(parts.groupBy("tag").applyInArrow(_assemble, RESULT_SCHEMA))
