@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
+
 CHUNK_CHARS = 1 << 15
 OVERLAP = 256
 AHEAD = 3  # characters after a pre-token that the pattern may look at
-CACHE = 1 << 18  # pre-tokens remembered by a worker
+CACHE = 1 << 17  # pre-tokens remembered by a worker
 
 _MODELS: dict[tuple[str, str], "Model"] = {}
 
@@ -146,13 +148,11 @@ def _whole(path, pattern):
     def run(batches):
         m = model(path, pattern)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(docs), 256):
-                ids = [_flat(m.encode(m.find.findall(t or ""))) for t in texts[lo:lo + 256]]
-                yield pa.record_batch({
-                    "doc_id": pa.array(docs[lo:lo + 256], pa.int64()),
-                    "ids": pa.array([np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in ids], pa.binary()),
-                    "decoded": pa.array([m.decode(x) for x in ids], pa.binary())})
+            ids = [_flat(m.encode(m.find.findall(t or ""))) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch({
+                "doc_id": batch.column(0),
+                "ids": pa.array([np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in ids], pa.binary()),
+                "decoded": pa.array([m.decode(x) for x in ids], pa.binary())})
 
     return run
 
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CH
     ``path`` names the vocabulary file on the workers, ``pattern`` the pre-token pattern. The chunk size
     and overlap set the grain of parallel work and never change the ids.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = tb.text_rows(docs, "doc_id")
     long = F.coalesce(F.char_length("text") > chunk_chars, F.lit(False))
     chunks = rows.where(long).mapInArrow(_cut(chunk_chars, overlap), CHUNK_SCHEMA).repartition("tag", "no")
     found = chunks.mapInArrow(_chunked(path, pattern, chunk_chars), FOUND_SCHEMA)

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, simhash, suffix_dedup
+from . import bpe, embed_dedup, mixture, shard_tree, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SHARDS = 24
 
 
 def query(fn):
@@ -40,6 +41,22 @@ def op3_embedding_dedup(spark, sf_dir):
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op4_shard_tree(spark, sf_dir):
+    tree = shard_tree.even_tree(SHARDS)
+    found = shard_tree.place(_table(spark, sf_dir, "documents"), tree, shard_tree.grown(tree, SHARDS))
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+ORACLES["op4_shard_tree"] = shard_tree.place_sql(SHARDS)
+
+
+@query
+def op6_source_mix(spark, sf_dir):
+    found = mixture.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query
 def op9_byte_bpe(spark, sf_dir):
     found = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

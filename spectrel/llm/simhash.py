@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             values = [fingerprint((t or "").encode(), shingle) for t in batch.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(np.array(values, U64).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return tb.text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, fp long")
 
 
 def pivot_distances(fps: np.ndarray) -> np.ndarray:

@@ -101,7 +101,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
         if ids:
             yield row(ids, [0] * len(ids), [len(p) for p in parts], parts, None)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNK_SCHEMA)
+    return tb.text_rows(docs, "doc_id").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def _opened(body: bytes, sizes) -> tuple[np.ndarray, np.ndarray]:

@@ -7,8 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
+BATCH_ROWS = 256
+
+
+def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the text, typed, for Python workers; the text comes last.
+
+    Whole texts are wide rows, so a batch for Python holds few of them (a setting of the session).
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    kinds = {"doc_id": "long"}
+    return docs.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in (*columns, "text")])
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
