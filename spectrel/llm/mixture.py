@@ -6,7 +6,8 @@ document is taken floor(target / source size) times, and once more with the frac
 probability. The cube method draws these: three documents at a time move along the null space of the
 balancing constraints (words and documents of the source) until one probability becomes 0 or 1, so both
 totals stay exact. Blocks of a source fly apart, at most two documents of each are left over and fly
-again together, level by level; the last two are rounded (the landing).
+again together, level by level. Ten documents of each source stay behind and land with the last two: all
+ways to settle these few are compared.
 
 The number of sources is taken to fit one task (their weights depend on their place in the whole
 order); everything about documents is distributed, and a large source spreads over its blocks.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixture, shard_tree, simhash, suffix_dedup
+from . import bpe, embed_dedup, mixture, secret_scan, shard_tree, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,14 @@ def op4_shard_tree(spark, sf_dir):
 ORACLES["op4_shard_tree"] = shard_tree.place_sql(SHARDS)
 
 
+@query
+def op5_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, secret_scan.BASE), F.sha2(secret_scan.span_text(F.col("spans"), secret_scan.BASE), 256).alias("base_sha256"),
+                        secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_source_mix(spark, sf_dir):
     found = mixture.mix(_table(spark, sf_dir, "documents"))
