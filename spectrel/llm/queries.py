@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixture, secret_scan, shard_tree, simhash, suffix_dedup
+from . import bpe, embed_dedup, mixture, perm_index, secret_scan, shard_tree, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,12 @@ def op6_source_mix(spark, sf_dir):
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op8_permutation_index(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return perm_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query
 def op9_byte_bpe(spark, sf_dir):
     found = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
