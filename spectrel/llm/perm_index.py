@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
 Each vector is represented by its ``prefix`` nearest pivots, in order. The pivots are a bounded sample of
-the vectors, ``pivots`` of them by least hash; every vector is indexed. Vectors are dealt into blocks;
+the vectors (of 8 x ``pivots`` by least hash, those not near each other); every vector is indexed. Vectors are dealt into blocks;
 inside a block each pivot has an inverted file of the vectors that rank it and at which place. A query
 walks the files of its own pivots and adds up, for every vector met, the part of the footrule distance
 that shared pivots save (for prefixes of equal length the footrule is a constant minus twice the sum of
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .embed_dedup import _matrix, usable
+from .embed_dedup import _matrix, unit_rows, usable
 
 BLOCK = 8_192
+SAMPLE = 8  # vectors looked at for each pivot
 INDEX_SCHEMA = "dim int, block long, vector array<double>, ids array<bigint>, places binary"
 
 
@@ -35,6 +36,18 @@ def places(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
+def spread(sample: np.ndarray, pivots: int, most: float = 0.8) -> np.ndarray:
+    """``pivots`` vectors of a sample, passing over those near (cosine over ``most``) to one already
+    chosen as long as others remain: a crowd of near copies would fill every prefix with one place."""
+    unit, chosen, passed = unit_rows(sample), [], []
+    for i in range(len(sample)):
+        near = chosen and (unit[chosen] @ unit[i]).max() > most
+        (passed if near else chosen).append(i)
+        if len(chosen) == pivots:
+            break
+    return sample[(chosen + passed)[:pivots]]
+
+
 def _indexed(pivots: dict[int, np.ndarray], prefix: int):
     def run(batches):
         for batch in batches:
@@ -113,13 +126,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2", "salt").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     entries = ranked.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     entries = materialise(entries.withColumn("dim", F.size("vector")), "entries")
-    first = lambda t, *by: t.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("h1", "h2"))).where(F.col("nth") <= pivots)
+    first = lambda t, *by: t.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("h1", "h2"))).where(F.col("nth") <= SAMPLE * pivots)
     salted = entries.select("dim", "vector", "h1", "h2", F.pmod("h2", F.lit(256)).alias("salt"))
     sample = first(first(salted, "dim", "salt"), "dim").select("dim", "vector").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(r["vector"])
-    points = {dim: np.array(v) for dim, v in by_dim.items()}
+    points = {dim: spread(np.array(v), pivots) for dim, v in by_dim.items()}
     blocks = entries.groupBy("dim").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("long").alias("blocks"))
     index = (entries.join(blocks, "dim").select("dim", F.pmod(F.xxhash64("h1", "h2", F.lit(1)), F.col("blocks")).alias("block"), "vector", "ids")
              .mapInArrow(_indexed(points, prefix), INDEX_SCHEMA))
