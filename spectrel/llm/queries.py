@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixture, perm_index, secret_scan, shard_tree, simhash, suffix_dedup, toxicity
+from ..session import materialise
+from . import bpe, embed_dedup, mixture, perm_index, quality, secret_scan, shard_tree, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +66,14 @@ def op6_source_mix(spark, sf_dir):
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op7_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    pools = materialise(quality.document_vectors(docs, quality.word_vectors(docs)), "vectors")
+    found = quality.score(pools, quality.fit(pools, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op8_permutation_index(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
