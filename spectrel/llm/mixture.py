@@ -159,5 +159,5 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     a = rows.withColumn("__nth", nth(F.xxhash64("text")))
     b = counted.withColumn("__nth", nth("copies")).where("copies > 0")
     on = [F.coalesce(a[c].cast("string"), F.lit("\0")) == F.coalesce(b[c].cast("string"), F.lit("\0")) for c in key]
-    joined = a.join(b, [*on, a["__nth"] == b["__nth"]]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    joined = a.join(b, [*on, a["__nth"] == b["__nth"]]).withColumn("__copy", F.explode(F.sequence(F.lit(1), b["copies"].cast("int"))))
     return joined.select(*[a[c] for c in docs.columns])
