@@ -323,8 +323,10 @@ def normal_draws(keys: np.ndarray, count: int, stream: int = 0) -> Matrix:
 
 
 def batches_as_matrix(batches: Iterator[pa.RecordBatch], column: str, width: int):
-    """Yield ``(batch of good rows, matrix)`` for ``mapInArrow`` functions."""
+    """Yield ``(batch, matrix)`` for ``mapInArrow`` functions; a row that is null or of another width fails the job."""
     for batch in batches:
         m, good = to_matrix(batch.column(batch.schema.get_field_index(column)), width)
+        if not good.all():
+            raise ValueError(f"{int((~good).sum())} rows of a batch are null or not {width} values wide")
         if len(m):
-            yield batch.filter(pa.array(good)), m
+            yield batch, m

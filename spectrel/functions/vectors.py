@@ -56,10 +56,6 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
 
 
-def scale(a: Column, k: Column | float) -> Column:
-    return F.transform(a, lambda x: x * k)
-
-
 def argmax(a: Column) -> Column:
     """Index of the first largest element."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
@@ -86,10 +82,6 @@ def between(a: Column, grid: Sequence[float], lo: float, hi: float) -> Column:
     return F.slice(a, first + 1, count)
 
 
-def pick(a: Column, positions: Sequence[int]) -> Column:
-    return F.array(*[F.get(a, F.lit(int(p))) for p in positions])
-
-
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 

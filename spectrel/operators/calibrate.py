@@ -9,11 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import reflectance as R
 from ..functions import vectors as V
-from ..session import pinned
-from .channels import collect_channels
-
-#: References are whole spectra; this many fit comfortably in every task.
-SMALL_REFERENCES = 2_000
+from ..session import materialise
+from .channels import channel_moments, mean_of
 
 
 def _seconds(moment: Column, without_zone: bool) -> Column:
@@ -68,8 +65,8 @@ def attach_references(frames: DataFrame, refs: DataFrame, by: str = "session_id"
     match = asof_match(frames, refs, by, ts, kind, ("dark", "white"), chunk_seconds)
     out = frames.join(match, [by, ts], "left")
     # Two references of one kind at one instant: keep a fixed one of them.
-    one = pinned(refs.where(F.col(kind).isin("dark", "white")).groupBy(by, kind, ts).agg(
-        F.max(F.struct("counts", "integration_ms", "temp_c")).alias("ref")), SMALL_REFERENCES)
+    one = materialise(refs.where(F.col(kind).isin("dark", "white")).groupBy(by, kind, ts).agg(
+        F.max(F.struct("counts", "integration_ms", "temp_c")).alias("ref")), "references")
     for k in ("dark", "white"):
         side = one.where(F.col(kind) == k).select(by, F.col(ts).alias(f"{k}_ts"), F.col("ref").alias(k))
         out = out.join(side, [by, f"{k}_ts"], "left")
@@ -113,23 +110,24 @@ def fit_dark_profiles(sweeps: DataFrame, profile: str = "profile_id", counts: st
     warm = F.col("_t")
     rows = sweeps.select(profile, counts, (F.col(temp) - reference_c).alias("_t"))
     # One pass: the lines and what is needed to tell whether they mean anything.
-    per_pixel = rows.select(profile, "_t", F.posexplode_outer(counts).alias("i", "v")).groupBy(profile, "i").agg(
-        F.regr_intercept("v", warm).alias("a"), F.regr_slope("v", warm).alias("b"),
-        F.count(warm).alias("n"), F.min(warm).alias("lo"), F.max(warm).alias("hi"))
-    packed = collect_channels(per_pixel, [profile], "i", "a", "b", "n", "lo", "hi")
-    lo, hi = F.array_min("lo"), F.array_max("hi")
+    sums = channel_moments(rows, counts, [profile], warm)
+    lo, hi = F.array_min("b_min"), F.array_max("b_max")
     reason = (
-        F.when(F.array_max("i").isNull(), F.lit("no_pixels"))
-        .when(F.get("i", F.lit(0)).isNull(), F.lit("mixed_widths"))
+        F.when(F.col("bare") == F.col("rows"), F.lit("no_pixels"))
+        .when(F.col("bare") > 0, F.lit("mixed_widths"))
         .when(F.array_max("n") < 2, F.lit("fewer_than_two_frames"))
         .when((hi - lo) <= 1e-8 + 1e-5 * F.abs(lo), F.lit("identical_temperatures"))
         .when(F.array_min("n") != F.array_max("n"), F.lit("mixed_widths"))
     )
-    fits = packed.select(profile, F.array_max("n").alias("n_temperatures_fitted"), reason.alias("reason"), "a", "b").select(
+    fitted = sums.select(
+        profile, F.array_max("n").cast("bigint").alias("n_temperatures_fitted"), reason.alias("reason"), mean_of().alias("_y"), mean_of("b_sum").alias("_m"),
+        F.zip_with("cov", "b_m2", lambda c, m: F.when(m > 0, c / m)).alias("b"))
+    through = F.zip_with(F.zip_with("b", "_m", lambda b, m: b * m), "_y", lambda p, y: y - p)
+    fits = fitted.select(
         profile, "n_temperatures_fitted", "reason",
-        F.when(F.col("reason").isNull(), F.col("a")).alias("dark_intercept"),
+        F.when(F.col("reason").isNull(), through).alias("dark_intercept"),
         F.when(F.col("reason").isNull(), F.col("b")).alias("dark_slope"))
-    fits = pinned(fits, SMALL_REFERENCES)
+    fits = materialise(fits, "profiles")
     # Residuals need the fitted lines next to the frames: one more pass, arrays kept whole.
     predicted = F.zip_with("dark_intercept", "dark_slope", lambda a, b: a + b * F.col("_t"))
     misfit = F.zip_with(F.col(counts), predicted, lambda y, p: F.abs(y - p))
@@ -144,9 +142,9 @@ def calibrate_with_profiles(frames: DataFrame, profiles: DataFrame, profile: str
                             counts: str = "counts", exposure: str = "integration_time_ms",
                             temp: str = "ambient_temp_c") -> DataFrame:
     """Counts to reflectance with fitted profiles (per-pixel dark slope)."""
-    side = pinned(profiles.select(
+    side = profiles.select(
         profile, "dark_intercept", "dark_slope", "white", "white_integration_ms",
-        "dark_integration_ms", "reference_temp_c"), SMALL_REFERENCES)
+        "dark_integration_ms", "reference_temp_c")
     out = frames.join(side, profile, "left")
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     value = R.calibrated_with_profile(

@@ -16,16 +16,19 @@ from ..functions import vectors as V
 from .splits import ranked
 
 NAN = float("nan")
-#: Bound of the table of draws per bucket and replicate.
-MAX_BUCKETS = 16_384
 
 
 # ---------------------------------------------------------------- point metrics
 
 
 def confusion_matrix(df: DataFrame, n_classes: int, true: str = "class_true", pred: str = "class_pred") -> DataFrame:
-    """Dense counts: one row for each of the K x K (true, predicted) pairs, zeros included."""
-    cell = (F.col(true) * n_classes + F.col(pred)).cast("long").alias("cell")
+    """Dense counts: one row for each of the K x K (true, predicted) pairs, zeros included.
+
+    A null label or one outside [0, K) fails the job.
+    """
+    inside = F.coalesce(F.col(true).between(0, n_classes - 1) & F.col(pred).between(0, n_classes - 1), F.lit(False))
+    cell = F.when(inside, F.col(true) * n_classes + F.col(pred)).otherwise(
+        F.raise_error(F.lit(f"label outside [0, {n_classes})"))).cast("long").alias("cell")
     counts = df.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
     grid = df.sparkSession.range(n_classes * n_classes).withColumnRenamed("id", "cell")
     return grid.join(counts, "cell", "left").select(
@@ -116,14 +119,32 @@ def bootstrap_draws(df: DataFrame, key: str, stats: dict[str, Column], n: int =
     return _interval(replicates, list(stats))
 
 
+#: Modulus and multiplier of the replicate hash (fixed values: a Mersenne prime and a primitive root of it).
+PRIME, ROOT = (1 << 31) - 1, 16_807
+#: P(X <= k) of a Poisson variable of mean 1, as far as a 31-bit uniform can tell.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13))
+
+
+def replicate_factors(n: int) -> list[int]:
+    """A multiplier for each replicate."""
+    return [pow(ROOT, b + 1, PRIME) for b in range(n)]
+
+
+def row_words(key: Column, seed: int) -> tuple[Column, Column]:
+    """Two independent 31-bit words of a row."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+    word = lambda at: F.pmod(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint"), F.lit(PRIME))
+    return word(1), word(9)
+
+
 def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats: dict[str, Column],
-                      n: int = 500, seed: int = 0, rows_per_bucket: int = 500_000) -> DataFrame:
-    """Percentile intervals for statistics that are functions of sums, at any table size.
+                      n: int = 500, seed: int = 0) -> DataFrame:
+    """Percentile intervals for statistics that are functions of sums, in one pass at any table size.
 
-    The exact with-replacement draw in two levels: rows are filed by hash into buckets; how many
-    draws of a replicate fall into each bucket is one multinomial draw over the bucket sizes
-    (a buckets x replicates table); inside a bucket those draws are uniform. Only the moment
-    columns are shuffled, once, and each bucket returns ``n`` partial sums.
+    Replicate ``b`` takes a row as often as a Poisson(1) variable says, drawn from a hash of the row's
+    key and ``b``. These weights stand in for drawing exactly as many rows as there are: the number of
+    rows drawn varies by its square root, which ratios of sums do not feel. A task adds its rows up to
+    ``n`` rows of sums; only these are shuffled. The draws depend on keys alone, not on partitions.
 
     ``stats`` are expressions over the moment names and ``n`` (rows drawn). Rows lacking a
     moment (no prediction) take no part, as in the point metrics.
@@ -132,46 +153,26 @@ def bootstrap_moments(df: DataFrame, key: str, moments: dict[str, Column], stats
     complete = F.lit(True)
     for c in moments.values():
         complete = complete & c.isNotNull()
-    df = df.where(complete)
-    # Sizes are taken once on a fine division; small tables then use fewer, merged buckets.
-    fine = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(MAX_BUCKETS)).cast("int")
-    sizes = df.groupBy(fine.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not sizes:
-        return df.sparkSession.range(1).select(*[
-            F.lit(NAN).alias(f"{s}_{side}") for s in stats for side in ("lo", "hi")])
-    total = sum(r["n"] for r in sizes)
-    buckets = min(MAX_BUCKETS, math.ceil(total / rows_per_bucket))
-    count = np.zeros(buckets, dtype=np.int64)
-    for r in sizes:
-        count[r["b"] * buckets // MAX_BUCKETS] += r["n"]
-    filed = df.select(
-        F.floor(fine * F.lit(buckets) / F.lit(MAX_BUCKETS)).cast("int").alias("_bucket"),
-        *[c.cast("double").alias(m) for m, c in moments.items()])
-    rng = np.random.default_rng(seed)
-    share = rng.multinomial(total, count / total, size=n)
-    shared = df.sparkSession.sparkContext.broadcast(share.T.astype(np.int64))
-    schema = ", ".join(["_b int", "_n bigint", *[f"{m} double" for m in names]])
-
-    def resample(table: pa.Table) -> pa.Table:
-        bucket = table.column("_bucket")[0].as_py()
-        values = np.column_stack([table.column(m).to_numpy() for m in names])
-        # Row order within a group is not fixed by Spark; sort so a retry draws the same rows.
-        values = values[np.lexsort(values.T[::-1])]
-        draw = np.random.default_rng([seed, bucket])
-        wanted = shared.value[bucket]
-        sums = np.empty((n, len(names)))
-        for b in range(n):
-            sums[b] = values[draw.integers(0, len(values), size=wanted[b])].sum(axis=0)
-        return pa.table({
-            "_b": pa.array(np.arange(n, dtype=np.int32)), "_n": pa.array(wanted),
-            **{m: pa.array(sums[:, i]) for i, m in enumerate(names)},
-        })
-
-    partial = filed.groupBy("_bucket").applyInArrow(resample, schema)
-    replicates = partial.groupBy("_b").agg(
-        F.sum("_n").alias("n"), *[F.sum(m).alias(m) for m in names]
-    ).select("_b", *[s.alias(k) for k, s in stats.items()])
-    return _interval(replicates, list(stats))
+    first, second = row_words(F.col(key), seed)
+    rows = df.where(complete).select(first.alias("_u"), second.alias("_v"), *[c.cast("double").alias(m) for m, c in moments.items()])
+    factors, steps = np.array(replicate_factors(n), dtype=np.int64), np.array(POISSON) * PRIME
+    schema = ", ".join(["_b int", "n double", *[f"{m} double" for m in names]])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((n, len(names) + 1)), False
+        for batch in batches:
+            seen = seen or batch.num_rows > 0
+            values = np.column_stack([np.ones(batch.num_rows), *[batch.column(m).to_numpy(zero_copy_only=False) for m in names]])
+            u, v = (batch.column(c).to_numpy()[:, None] for c in ("_u", "_v"))
+            for lo in range(0, n, 64):
+                word = (u * factors[lo:lo + 64] + v) % PRIME
+                total[lo:lo + 64] += np.searchsorted(steps, word, side="right").T.astype(float) @ values
+        if seen:
+            yield pa.RecordBatch.from_pydict({"_b": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array(total[:, 0]),
+                                              **{m: pa.array(total[:, i + 1]) for i, m in enumerate(names)}})
+
+    sums = rows.mapInArrow(weigh, schema).groupBy("_b").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    return _interval(sums.select("_b", *[s.alias(k) for k, s in stats.items()]), list(stats))
 
 
 def _interval(replicates: DataFrame, names: list[str]) -> DataFrame:
@@ -249,13 +250,16 @@ def temperature_loss(df: DataFrame, n_classes: int, logits: str = "logits", labe
     """Mean negative log-likelihood at every temperature of the grid.
 
     Each batch returns one partial sum per temperature, so rows are never multiplied by the
-    grid outside a task.
+    grid outside a task. Logits of another width and labels that are null or outside [0, K) fail
+    the job.
     """
     ts = np.array(grid or temperature_grid())
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, z in kernels.batches_as_matrix(batches, "z", n_classes):
             y = batch.column("y").to_numpy(zero_copy_only=False)
+            if batch.column("y").null_count or ((y < 0) | (y >= n_classes)).any():
+                raise ValueError(f"label null or outside [0, {n_classes})")
             z = z - z.max(axis=1, keepdims=True)
             own = z[np.arange(len(y)), y]
             loss = np.empty(len(ts))
@@ -280,6 +284,17 @@ def fit_temperature(df: DataFrame, n_classes: int, logits: str = "logits", label
         F.coalesce(best.getField("temperature"), F.lit(1.0)).alias("temperature"), best.getField("nll").alias("nll"))
 
 
+def recalibrate(df: DataFrame, n_classes: int, logits: str = "logits", label: str = "class_true", split: str = "split",
+                grid: list[float] | None = None, n_bins: int = 15) -> DataFrame:
+    """One row ``temperature, ece_before, ece_after``: fitted on the ``val`` rows, measured on the ``test`` rows."""
+    fitted = fit_temperature(df.where(F.col(split) == "val"), n_classes, logits, label, grid)
+    test = df.where(F.col(split) == "test").withColumn("_t", fitted.select("temperature").scalar())
+    before = test.select(V.softmax(F.col(logits)).alias("p"), F.col(label).alias("y"))
+    after = test.select(V.softmax(F.transform(logits, lambda z: z / F.col("_t"))).alias("p"), F.col(label).alias("y"))
+    errors = [expected_calibration_error(t, "p", "y", n_bins).scalar() for t in (before, after)]
+    return fitted.select("temperature", errors[0].alias("ece_before"), errors[1].alias("ece_after"))
+
+
 # ---------------------------------------------------------------- report
 
 

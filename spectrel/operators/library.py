@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import vectors as V
-from .channels import collect_channels
+from .channels import channel_moments, collect_channels, mean_of
 from .mixing import weighted_mix
 
 # Published continuum (level, rise, exponent over the 340-850 nm window) and
@@ -149,13 +149,19 @@ def match_grid(left: DataFrame, right: DataFrame, tolerance_nm: float = 2.0, nm:
 
 def overlay(spectra: DataFrame, grid, endmembers: DataFrame, endmember_grid, tolerance_nm: float = 2.0,
             name: str = "endmember", spec: str = "spec") -> DataFrame:
-    """Long plot table: each channel of each end-member set against the spectra's grid."""
+    """Long plot table ``i, nm, measured, endmember, reflectance``: every grid point with each end-member.
+
+    ``measured`` is the channel's mean over ``spectra`` (the value itself for one spectrum); a grid
+    point without an end-member channel within the tolerance keeps its row with a null reflectance.
+    """
     spark = endmembers.sparkSession
     left = spark.createDataFrame([(i, float(w)) for i, w in enumerate(grid)], "i int, nm double")
     right = spark.createDataFrame([(i, float(w)) for i, w in enumerate(endmember_grid)], "i int, nm double")
     matched = match_grid(left, right, tolerance_nm)
-    values = endmembers.select(name, F.posexplode(spec).alias("j", "reflectance"))
-    return matched.join(values, "j").select("i", "nm", name, "reflectance")
+    mean = channel_moments(spectra, spec).select(mean_of()).scalar()
+    points = endmembers.select(name, F.col(spec).alias("_pure"), F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("i"))
+    return points.join(matched, "i").withColumn("_mean", mean).select(
+        "i", "nm", F.get("_mean", F.col("i")).alias("measured"), name, F.get("_pure", F.col("j")).alias("reflectance"))
 
 
 def check_grid(reference_grid, grid) -> None:

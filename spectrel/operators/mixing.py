@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import mixing as M
-from ..session import bounded_rows
-from .channels import collect_channels, explode_channels
+from .channels import channel_moments, collect_channels, explode_channels
 
 MODELS = ("linear", "hapke")
-#: End-members handled as one dense matrix; larger sets go through a join.
-MAX_DENSE = 1_024
 
 # Fluorescence yield of each end-member and the quenching exponent of ilmenite.
 LIF_EFFICIENCY = {
@@ -32,43 +28,21 @@ def mix(fractions: DataFrame, endmembers: DataFrame, model: str = "linear", samp
         endmember: str = "endmember", fraction: str = "fraction", spec: str = "spec") -> DataFrame:
     """``(sample, endmember, fraction)`` rows to one mixed spectrum per sample.
 
-    The usual handful of end-members becomes a matrix: fractions are summed into a dense vector
-    per sample (partial aggregation, one narrow shuffle) and multiplied in batches. A fraction
-    naming an unknown end-member fails the job. Beyond :data:`MAX_DENSE` end-members the same
-    sums run as a join and a per-channel aggregate.
+    Each fraction row takes its end-member's spectrum by a join (Spark broadcasts a small set of
+    end-members by itself) and the scaled spectra are summed per sample inside the tasks, so one way
+    serves any number of end-members and any crowd of rows in a sample. A fraction naming an unknown
+    end-member and an end-member named twice fail the job.
     """
     check_model(model)
-    rows = bounded_rows(endmembers.select(endmember, spec), MAX_DENSE)
-    if rows is None:
-        return mix_by_join(fractions, endmembers, model, sample, endmember, fraction, spec)
-    names = sorted(r[0] for r in rows)
-    pure = {r[0]: r[1] for r in rows}
-    matrix = np.array([pure[n] for n in names], dtype=float)
-    amount = F.col(fraction)
-    dense = fractions.groupBy(sample).agg(
-        F.array(*[F.coalesce(F.sum(F.when(F.col(endmember) == n, amount)), F.lit(0.0)) for n in names]).alias("_f"),
-        F.count_if(~F.col(endmember).isin(names)).alias("_unknown"))
-    checked = F.when(F.col("_unknown") > 0, F.raise_error(F.lit("unknown end-member in fractions"))).otherwise(F.col("_f"))
-    if model == "hapke":
-        r = np.clip(matrix, 0.0, M.CEILING)
-        matrix = 1.0 - ((1.0 - r) / (1.0 + r)) ** 2
-    mixed = kernels.linear_kernel(matrix.T)(checked)
-    out = dense.select(sample, mixed.alias(spec))
-    return out.withColumn(spec, M.to_reflectance(spec)) if model == "hapke" else out
-
-
-def mix_by_join(fractions: DataFrame, endmembers: DataFrame, model: str = "linear", sample: str = "sample_id",
-                endmember: str = "endmember", fraction: str = "fraction", spec: str = "spec") -> DataFrame:
-    """:func:`mix` for any number of end-members: join, then sum per sample and channel."""
-    check_model(model)
-    value = M.albedo_of_reflectance(F.col("v")) if model == "hapke" else F.col("v")
-    total = F.sum(F.col(fraction) * value)
-    joined = fractions.join(endmembers.select(endmember, spec), endmember, "left")
-    long = joined.select(sample, fraction, F.posexplode(F.coalesce(
-        F.col(spec), F.raise_error(F.lit("unknown end-member in fractions")))).alias("i", "v"))
-    mixed = long.groupBy(sample, "i").agg(
-        (M.reflectance_of_albedo(total) if model == "hapke" else total).alias(spec))
-    return collect_channels(mixed, [sample], spec)
+    once = F.when(F.count(F.lit(1)) == 1, F.first(spec)).otherwise(
+        F.raise_error(F.concat(F.lit("repeated end-member: "), F.col(endmember))).cast("array<double>"))
+    pure = endmembers.groupBy(endmember).agg(once.alias("_pure"))
+    value = M.albedo_of_reflectance if model == "hapke" else (lambda v: v)
+    known = F.coalesce(F.col("_pure"), F.raise_error(F.lit("unknown end-member in fractions")).cast("array<double>"))
+    part = F.transform(known, lambda v: F.col(fraction) * value(v))
+    rows = fractions.join(pure, endmember, "left").select(sample, part.alias("_part"))
+    total = channel_moments(rows, "_part", [sample]).select(sample, F.col("sum").alias(spec))
+    return total.withColumn(spec, F.transform(spec, M.reflectance_of_albedo)) if model == "hapke" else total
 
 
 def fluorescence(fractions: DataFrame, sample: str = "sample_id", endmember: str = "endmember",
@@ -103,14 +77,6 @@ def with_swir(endmembers: DataFrame, spec: str = "spec", swir: str = "swir") ->
     return endmembers.withColumn(swir, F.coalesce(have, guess))
 
 
-def fraction_vector(spectrum_fractions: DataFrame, names, sample="sample_id", endmember="endmember",
-                    fraction="fraction") -> DataFrame:
-    """Long fractions as one ordered vector per sample; end-members not listed count as 0."""
-    return spectrum_fractions.groupBy(sample).agg(F.array(*[
-        F.coalesce(F.sum(F.when(F.col(endmember) == n, F.col(fraction))), F.lit(0.0)) for n in names
-    ]).alias("fractions"))
-
-
 def weighted_mix(spectra: DataFrame, weights: dict[str, float], name: str = "endmember", spec: str = "spec") -> DataFrame:
     """One spectrum: the weighted sum of named spectra."""
     gain = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])

@@ -33,6 +33,11 @@ def baseline_features(df: DataFrame, mode: str = "full", include_swir: bool = Fa
     return expert.select(*names, vector.alias(out))
 
 
+def baseline_width(mode: str = "full", include_swir: bool = False) -> int:
+    """Length of the vectors of :func:`baseline_features`."""
+    return schema.feature_count(mode, include_swir) + (0 if mode == "multispectral" else len(FX.SPECTRAL_FEATURES))
+
+
 # ---------------------------------------------------------------- moments
 
 
@@ -68,7 +73,8 @@ def moments(df: DataFrame, width: int, features: str = "features", target: str =
 
     Each task streams its batches into one summary of (width + 1)^2 numbers. Summaries are
     merged on as many tasks as the session shuffles to (at most :data:`MAX_FAN`), and those few
-    by a last task, so no task or driver receives one summary per input partition.
+    by a last task, so no task or driver receives one summary per input partition. A null target
+    and features that are null or of another width fail the job.
     """
     columns = "n double, mean array<double>, scatter array<double>"
     k = width + 1
@@ -99,7 +105,8 @@ def moments(df: DataFrame, width: int, features: str = "features", target: str =
         if total is not None:
             yield emit(total)
 
-    rows = df.select(F.col(features).alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")
+    y = F.coalesce(F.col(target).cast("double"), F.raise_error(F.lit("null target")).cast("double"))
+    rows = df.select(F.col(features).alias("x"), y.alias("y"))
     fan = min(MAX_FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = rows.mapInArrow(summarise, columns).repartition(fan).mapInArrow(combine, columns)
     final = parts.repartition(1).mapInArrow(combine, columns).collect()
@@ -215,14 +222,18 @@ class BaselineModel:
 
 def fit_baseline(train: DataFrame, width: int, n_components: int = 8, n_trees: int = 200, seed: int = 0,
                  features: str = "features", label: str = "class_index", target: str = "ilmenite_fraction",
-                 max_depth: int = 12) -> BaselineModel:
-    """Fit both models. One pass gathers the moments; the forest makes its own passes."""
-    rows = train.select(features, F.col(label).cast("double").alias("_y"), F.col(target).alias("target"))
+                 max_depth: int = 30, max_bins: int = 64) -> BaselineModel:
+    """Fit both models. One pass gathers the moments; the forest makes its own passes.
+
+    Trees grow until their leaves are pure, to MLlib's bound of 30 levels unless ``max_depth`` says
+    less; ``max_bins`` are the split candidates of a feature. Null labels fail the job.
+    """
+    rows = train.select(features, F.coalesce(F.col(label).cast("double"), F.raise_error(F.lit("null label")).cast("double")).alias("_y"), F.col(target).alias("target"))
     m = moments(rows, width, features, "target")
     mean, std = m.mean[:-1], m.std[:-1]
     data = rows.select(array_to_vector(standardise_kernel(mean, std)(F.col(features))).alias("_x"), "_y")
     forest = RandomForestClassifier(
         numTrees=n_trees, featureSubsetStrategy="sqrt", seed=seed, featuresCol="_x", labelCol="_y",
-        probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", maxDepth=max_depth, maxBins=64,
+        probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", maxDepth=max_depth, maxBins=max_bins,
         cacheNodeIds=False, subsamplingRate=1.0).fit(data)
     return BaselineModel(forest, fit_pls(m, n_components), mean, std, features)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import pinned
+from ..session import materialise
 
 SPLITS = ("train", "val", "test")
 #: Above every hexadecimal digest.
@@ -48,13 +48,17 @@ def split_samples(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.15
 
     Within each class the samples are shuffled by digest; the first go to train, the next to
     val, the last to test. Sizes round half to even; classes of three or more samples give at
-    least one to val and one to test, and always keep one for train.
+    least one to val and one to test, and always keep one for train. A sample found under two
+    classes fails the job.
     """
     if not (0 < val_frac < 1 and 0 < test_frac < 1):
         raise ValueError("val_frac and test_frac must lie in (0, 1)")
     if val_frac + test_frac >= 1:
         raise ValueError("val_frac + test_frac must stay below 1")
-    samples = df.select(klass, sample).distinct().withColumn("digest", sample_hash(sample, seed))
+    # A sample under two classes would be drawn twice and could land in two splits.
+    only = F.when(F.count(F.lit(1)) == 1, F.first(klass)).otherwise(
+        F.raise_error(F.concat(F.lit("sample leaks into several classes: "), F.col(sample).cast("string"))).cast(df.schema[klass].dataType))
+    samples = df.select(klass, sample).distinct().groupBy(sample).agg(only.alias(klass)).withColumn("digest", sample_hash(sample, seed))
     n = F.col("n")
 
     def share(f: float) -> Column:
@@ -98,7 +102,7 @@ def assign_split(df: DataFrame, cutoffs: DataFrame, seed: int = 0, sample: str =
     class table travels.
     """
     digest = sample_hash(sample, seed)
-    return df.join(pinned(cutoffs), klass, "left").withColumn(
+    return df.join(materialise(cutoffs, "cutoffs"), klass, "left").withColumn(
         "split",
         F.when(digest >= F.col("test_from"), F.lit("test"))
         .when(digest >= F.col("val_from"), F.lit("val"))

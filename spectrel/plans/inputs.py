@@ -10,8 +10,6 @@ from .. import schema
 from ..functions import kernels
 from ..functions import vectors as V
 from ..operators import channels, mixing, sam
-from ..session import bounded_rows
-from ..sources.layout import spread
 
 #: Width of the given vectors and the wavelength grid they are read on.
 WIDTH = 64
@@ -61,7 +59,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, label, logits``: 120 x the dot products with the class means, in label order."""
     s = spectra(spark, sf_dir)
-    means = bounded_rows(channels.class_means(s, "label", "spec").orderBy("label"), sam.MAX_REFERENCES)
+    means = channels.class_means(s, "label", "spec").orderBy("label").collect()  # one row a class
     matrix = 120.0 * np.array([r["spec"] for r in means])
     return s.select("vec_id", "label", kernels.linear_kernel(matrix)(F.col("spec")).alias("logits"))
 
@@ -72,7 +70,7 @@ def payload_number() -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events")).withColumn("k", payload_number())
+    return table(spark, sf_dir, "events").withColumn("k", payload_number())
 
 
 def shots(events: DataFrame) -> DataFrame:
@@ -86,8 +84,8 @@ def shots(events: DataFrame) -> DataFrame:
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order line as an eight-pixel raw frame with its own dark and white frames."""
-    line = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax"))
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax")
     pixel = F.sequence(F.lit(0), F.lit(7))
     return line.select(
         "l_orderkey", "l_linenumber", "l_suppkey",
@@ -113,10 +111,10 @@ def endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels.class_means(reflectance(spark, sf_dir).withColumn("endmember", name), "endmember", "spec")
 
 
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors as canonical measurements of all three sensor modes."""
+def measurements(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """The vectors as canonical measurements of all three sensor modes, or all in mode ``only``."""
     r = reflectance(spark, sf_dir)
-    mode = F.get(F.lit(list(schema.SENSOR_MODES)), F.pmod("label", F.lit(3)))
+    mode = F.lit(only) if only else F.get(F.lit(list(schema.SENSOR_MODES)), F.pmod("label", F.lit(3)))
     last = F.element_at("spec", -1)
     full = F.transform(F.sequence(F.lit(0), F.lit(schema.SPEC_WIDTH - 1)), lambda i: F.get("spec", i % WIDTH))
     r = mixing.band_response(r, GRID, schema.LED_NM, 25.0, out="led")

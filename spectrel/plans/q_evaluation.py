@@ -8,6 +8,8 @@ from ..functions import mixing as MF
 from ..functions import uncertainty as U
 from ..functions import vectors as V
 from ..operators import channels, evaluate, fusion, ranking, sam, scoring
+from ..session import scratch_path
+from ..sources import stores
 from . import inputs as I
 from .inputs import (LOGITS, LONG, PROBS, SAM_PROBS, SCORED, SHOTS, argmax_sql, doubles, fr, rd, softmax_sql,
                      status_sql, uncertainty_sql)
@@ -112,6 +114,26 @@ def temperature_loss_curve(spark, sf):
     return out.select(I.rounded("temperature").alias("temperature"), I.rounded("nll").alias("nll"))
 
 
+def _recalibration_sql() -> str:
+    ece = lambda name, t: f"""p_{name} AS (SELECT label, list_transform(logits, lambda q: exp((q - list_max(logits)) / {t}) / list_sum(list_transform(logits, lambda r: exp((r - list_max(logits)) / {t})))) AS p
+  FROM z CROSS JOIN best WHERE vec_id % 2 = 1),
+b_{name} AS (SELECT len(list_filter({_BINS}, lambda e: e < list_max(p))) - 1 AS bin, count(*) AS n, avg(list_max(p)) AS c, avg(({argmax_sql('p')} = label)::INT) AS a FROM p_{name} GROUP BY 1)"""
+    loss = _LOSS.replace("FROM z CROSS JOIN tg", "FROM z CROSS JOIN tg WHERE vec_id % 2 = 0")
+    return f"""WITH {loss}, best AS (SELECT arg_min(t, (nll, t)) AS t FROM ls), {ece('old', '1.0')}, {ece('new', 't')}
+SELECT {rd('t')} AS temperature, (SELECT {rd('sum(n * abs(c - a)) / sum(n)')} FROM b_old) AS ece_before,
+(SELECT {rd('sum(n * abs(c - a)) / sum(n)')} FROM b_new) AS ece_after FROM best"""
+
+
+@query("A17", "A18", "S10", sql=_recalibration_sql())
+def recalibrated_probabilities(spark, sf):
+    """Even rows set the temperature, odd rows measure it; it goes through its store."""
+    rows = I.logits(spark, sf).withColumn("split", F.when(F.col("vec_id") % 2 == 0, F.lit("val")).otherwise(F.lit("test")))
+    done = evaluate.recalibrate(rows, I.N_LABELS, label="label").first()
+    path = scratch_path(spark, "temperature")
+    stores.save_temperature(spark, path, "run", *done)
+    return stores.load_temperature(spark, path, "run").select(*[I.rounded(c).alias(c) for c in ("temperature", "ece_before", "ece_after")])
+
+
 @query("A18", sql=f"WITH {_LOSS} SELECT {rd('arg_min(t, (nll, t))')} AS temperature, {rd('min(nll)')} AS nll FROM ls")
 def fitted_temperature(spark, sf):
     out = evaluate.fit_temperature(I.logits(spark, sf), I.N_LABELS, label="label")
@@ -155,10 +177,11 @@ def sam_failure_targets(spark, sf):
 def _scored_values(spark, sf):
     """Scored spectra with a regression target: the spectrum's mean against its predicted class's."""
     s = I.spectra(spark, sf).withColumn("value_true", V.mean(F.col("spec")))
-    by_class = s.groupBy("label").agg(F.avg("value_true").alias("value_pred"))
-    return I.scores(spark, sf).select("vec_id", F.col("label").alias("class_true"), F.col("sam_index").alias("class_pred"),
-                                      V.mean(F.col("spec")).alias("value_true")).join(
-        by_class.select(F.col("label").alias("class_pred"), "value_pred"), "class_pred")
+    # One row for each class: packed and looked up, so the scored table is not shuffled on ten keys.
+    packed = s.groupBy("label").agg(F.avg("value_true").alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("label", "m")))).scalar()
+    out = I.scores(spark, sf).select("vec_id", F.col("label").alias("class_true"), F.col("sam_index").alias("class_pred"),
+                                     V.mean(F.col("spec")).alias("value_true"))
+    return out.withColumn("_m", packed).withColumn("value_pred", F.try_element_at("_m", F.col("class_pred"))).drop("_m")
 
 
 _VALUES = SCORED + """, sv AS (SELECT vec_id, label, list_avg(spec) AS v FROM s),
@@ -225,18 +248,32 @@ def mixing_ablation(spark, sf):
 
 
 @query("A13", "X3", sql=f"""WITH rk AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR)) AS rk, count(*) OVER () AS n FROM customer),
-dr AS (SELECT b, (('0x' || substr(md5('0|' || b || '|' || (rk - 1)), 1, 15))::BIGINT % n) + 1 AS rk FROM rk CROSS JOIN (SELECT unnest(range(200)) AS b)),
+dr AS (SELECT b, (('0x' || substr(md5('0|' || b || '|' || (rk - 1)), 1, 15))::BIGINT % n) + 1 AS rk FROM rk CROSS JOIN (SELECT unnest(range(500)) AS b)),
 rp AS (SELECT b, avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM dr JOIN rk USING (rk) GROUP BY b)
 SELECT {rd('quantile_cont(m, 0.025)', 4)} AS mean_lo, {rd('quantile_cont(m, 0.975)', 4)} AS mean_hi,
 {rd('quantile_cont(sd, 0.025)', 4)} AS spread_lo, {rd('quantile_cont(sd, 0.975)', 4)} AS spread_hi FROM rp""")
 def bootstrap_by_draws(spark, sf):
     stats = {"mean": F.avg("c_acctbal"), "spread": F.stddev_pop("c_acctbal")}
     rows = I.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    out = evaluate.bootstrap_draws(rows, "c_custkey", stats, n=200)
+    out = evaluate.bootstrap_draws(rows, "c_custkey", stats)
     return out.select(*[I.rounded(c, 4).alias(c) for c in out.columns])
 
 
-@query("A13", "A14")
+def _bootstrap_sql(n: int = 500) -> str:
+    factors = ", ".join(map(str, evaluate.replicate_factors(n)))
+    steps = ", ".join(repr(p * evaluate.PRIME) for p in evaluate.POISSON)
+    word = lambda at: f"(('0x' || substr(md5('0|' || vec_id), {at}, 8))::BIGINT % {evaluate.PRIME})"
+    return f"""WITH {_VALUES}, k AS (SELECT (class_true = class_pred)::INT::DOUBLE AS hit, value_pred - value_true AS e, value_true AS y, {word(1)} AS u, {word(9)} AS v FROM sc),
+mid AS (SELECT avg(e) AS e0, avg(y) AS y0 FROM k),
+cen AS (SELECT hit, e * e AS sq, e - e0 AS e, y - y0 AS y, u, v FROM k CROSS JOIN mid),
+wt AS (SELECT b, hit, sq, e, y, len(list_filter([{steps}], lambda x: x <= (u * f + v) % {evaluate.PRIME})) AS w
+  FROM cen CROSS JOIN (SELECT unnest(range({n})) AS b, unnest([{factors}]) AS f)),
+rep AS (SELECT sum(w * hit) / sum(w) AS accuracy, sqrt(sum(w * sq) / sum(w)) AS rmse,
+  1 - (sum(w * e * e) / sum(w) - pow(sum(w * e) / sum(w), 2)) / (sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2)) AS r2 FROM wt GROUP BY b)
+SELECT {', '.join(f"{rd(f'quantile_cont({c}, {q})')} AS {c}_{side}" for c in ('accuracy', 'rmse', 'r2') for q, side in ((0.025, 'lo'), (0.975, 'hi')))} FROM rep"""
+
+
+@query("A13", "A14", sql=_bootstrap_sql())
 def bootstrap_intervals(spark, sf):
     out = evaluate.intervals(_scored_values(spark, sf), "vec_id")
     return out.select(*[I.rounded(c).alias(c) for c in out.columns])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import features as FX
 from ..functions import vectors as V
 from ..operators import augment, models, scoring
 from ..session import materialise
+from ..sources import measurements
 from . import inputs as I
 from .inputs import LONG, REFLECTANCE, digest_sql, rd
 from .registry import query
@@ -69,7 +71,7 @@ def pls_eight_components(spark, sf):
 @query("M4", "M6", "X1")
 def forest_predictions(spark, sf):
     df = _labelled(spark, sf)
-    model = models.fit_baseline(df, I.WIDTH, n_trees=50)
+    model = models.fit_baseline(df, I.WIDTH)
     out = scoring.score(df.withColumnRenamed("class_index", "label").drop("ilmenite_fraction"), model)
     return out.select("vec_id", "label", "class_index", I.rounded("confidence").alias("confidence"),
                       I.rounded("ilmenite_fraction").alias("ilmenite_fraction"), "status")
@@ -77,13 +79,13 @@ def forest_predictions(spark, sf):
 
 @query("M2", "M3", "M6", "M7", "A16")
 def trained_split_metrics(spark, sf):
-    run = train(_trainable(spark, sf), "full", n_trees=20, seed=0)
+    run = train(_trainable(spark, sf), "full", seed=0)
     return run.metrics.select("split", "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "ilm_rmse", "ilm_r2")])
 
 
 @query("A14", "A16", "D12")
 def trained_test_report(spark, sf):
-    report = evaluate(train(_trainable(spark, sf), "full", n_trees=20, seed=0), "test", n=200)
+    report = evaluate(train(_trainable(spark, sf), "full", seed=0), "test")
     bounds = report["intervals"].select(F.struct("*").alias("b")).scalar()
     return report["metrics"].withColumn("b", bounds).select("*", "b.*").select(
         "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "accuracy_lo", "accuracy_hi", "ilm_rmse", "rmse_lo", "rmse_hi")])
@@ -91,11 +93,7 @@ def trained_test_report(spark, sf):
 
 def _trainable(spark, sf):
     """All measurements in full mode: the 288-channel form of every vector."""
-    m = I.measurements(spark, sf)
-    r = I.reflectance(spark, sf).select(F.col("vec_id").cast("string").alias("measurement_id"), F.col("spec").alias("_s"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(schema.SPEC_WIDTH - 1)), lambda i: F.get("_s", i % I.WIDTH))
-    out = m.drop("spec").join(r, "measurement_id").withColumn("spec", full).drop("_s")
-    return materialise(out.withColumn("sensor_mode", F.lit("full")), "trainable")
+    return materialise(I.measurements(spark, sf, "full"), "trainable")
 
 
 @query("M3", sql=f"""WITH {I.REFLECTANCE}, {LONG}, g AS (SELECT unnest(range(64)) AS i, unnest({I.doubles(I.GRID)}) AS nm),
@@ -113,7 +111,7 @@ def multispectral_model_input(spark, sf):
     return I.digest(models.baseline_features(m, "multispectral"), ["vec_id"], "features")
 
 
-def _full_input_sql() -> str:
+def _full_input_sql(combined: bool = False) -> str:
     """The 288-channel model input from first principles: orthogonal-polynomial smoothing, highest
     chords for the hull, direct sums for the other features."""
     sigma = 25.0 / 2.3548200450309493
@@ -122,7 +120,11 @@ bw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {sigma!r}) ** 2) AS w
   FROM (SELECT unnest(range(12)) AS j, unnest({I.doubles(schema.LED_NM)}) AS centre) c CROSS JOIN g),
 bl AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN bw USING (i) GROUP BY ALL),
 led AS (SELECT vec_id, list(v ORDER BY j) AS led FROM bl GROUP BY vec_id),
-f AS (SELECT vec_id, list_avg(spec) * 0.4 AS lif, unnest(range(288)) AS i, unnest([spec[q % 64 + 1] for q in range(288)]) AS v FROM s WHERE label % 3 = 0),
+aw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {20.0 / 2.3548200450309493!r}) ** 2) AS w
+  FROM (SELECT unnest(range(18)) AS j, unnest({I.doubles(schema.AS7_NM)}) AS centre) c CROSS JOIN g),
+al AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN aw USING (i) GROUP BY ALL),
+bands AS (SELECT vec_id, list(v ORDER BY j) AS as7 FROM al GROUP BY vec_id),
+f AS (SELECT vec_id, list_avg(spec) * 0.4 AS lif, unnest(range(288)) AS i, unnest([spec[q % 64 + 1] for q in range(288)]) AS v FROM s WHERE label % 3 = {2 if combined else 0}),
 tt AS (SELECT unnest(range(-5, 6)) AS t),
 pol AS (SELECT t, 1.0::DOUBLE AS p0, t::DOUBLE AS p1, (t*t - 10)::DOUBLE AS p2, t*t*t - 17.8*t AS p3 FROM tt),
 nrm AS (SELECT sum(p0*p0) AS n0, sum(p1*p1) AS n1, sum(p2*p2) AS n2, sum(p3*p3) AS n3 FROM pol),
@@ -139,9 +141,9 @@ bd AS (SELECT hl.vec_id, 1.0 - min(sm.v / greatest(hull, 1e-9)) FILTER (hl.nm BE
 fx AS (SELECT vec_id, any_value(lif) AS lif, list(v ORDER BY i) AS sm, avg(v) FILTER (nm BETWEEN 500 AND 800) AS alb,
   regr_slope(v, nm) FILTER (nm BETWEEN 500 AND 800) AS slope,
   avg(v) FILTER (nm BETWEEN 340 AND 420) / (avg(v) FILTER (nm BETWEEN 500 AND 600) + 1e-6) AS uv FROM sm GROUP BY vec_id),
-x AS (SELECT vec_id, list_concat(list_concat(sm, led), [lif, alb, slope, uv, b700, b620, led[8] / (led[3] + 1e-6),
+x AS (SELECT vec_id, list_concat(list_concat({'list_concat(sm, as7)' if combined else 'sm'}, led), [lif, alb, slope, uv, b700, b620, led[8] / (led[3] + 1e-6),
   (led[9] + led[10] + led[11]) / 3.0 / ((led[3] + led[5]) / 2.0 + 1e-6), lif / (alb + 1e-6)]) AS x
-  FROM fx JOIN bd USING (vec_id) JOIN led USING (vec_id))
+  FROM fx JOIN bd USING (vec_id) JOIN led USING (vec_id) JOIN bands USING (vec_id))
 SELECT vec_id, {digest_sql('x')} FROM x"""
 
 
@@ -151,6 +153,44 @@ def full_model_input(spark, sf):
     return I.digest(models.baseline_features(m, "full"), ["vec_id"], "features")
 
 
+@query("M3", sql=_full_input_sql(True))
+def combined_model_input(spark, sf):
+    m = I.measurements(spark, sf).where("sensor_mode = 'combined'").withColumn("vec_id", F.col("measurement_id").cast("bigint"))
+    return I.digest(models.baseline_features(m, "combined"), ["vec_id"], "features")
+
+
+_BANDS = f"""bw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {25.0 / 2.3548200450309493!r}) ** 2) AS w
+  FROM (SELECT unnest(range(12)) AS j, unnest({I.doubles(schema.LED_NM)}) AS centre) c CROSS JOIN g),
+aw AS (SELECT c.j, g.i, exp(-0.5 * ((nm - centre) / {20.0 / 2.3548200450309493!r}) ** 2) AS w
+  FROM (SELECT unnest(range(18)) AS j, unnest({I.doubles(schema.AS7_NM)}) AS centre) c CROSS JOIN g),
+bl AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN bw USING (i) GROUP BY ALL),
+al AS (SELECT vec_id, j, CASE WHEN sum(w) < 1e-9 THEN max(v) FILTER (l.i = 63) * 0.85 ELSE sum(w * v) / sum(w) END AS v FROM l JOIN aw USING (i) GROUP BY ALL),
+bp AS (SELECT vec_id, list(v ORDER BY j) AS led FROM bl GROUP BY vec_id), ap AS (SELECT vec_id, list(v ORDER BY j) AS as7 FROM al GROUP BY vec_id)"""
+
+
+@query("P1", "P3", "P4", "P5", sql=f"""WITH {I.REFLECTANCE}, {LONG}, g AS (SELECT unnest(range(64)) AS i, unnest({I.doubles(I.GRID)}) AS nm), {_BANDS},
+x AS (SELECT s.vec_id, label % 6 AS class_index, [303, 33, 321][label % 3 + 1] AS expected,
+  list_concat(list_concat(CASE WHEN label % 3 = 1 THEN [] ELSE [spec[q % 64 + 1] for q in range(288)] END, CASE WHEN label % 3 = 0 THEN [] ELSE as7 END),
+  list_concat([spec[64] * 0.95, spec[64] * 0.88], list_concat(led, [list_avg(spec) * 0.4]))) AS x FROM s JOIN bp USING (vec_id) JOIN ap USING (vec_id))
+SELECT vec_id, CAST(class_index AS INTEGER) AS class_index, CAST(expected AS INTEGER) AS expected, {digest_sql('x')} FROM x""")
+def contract_frame_vectors(spark, sf):
+    """Frames at the full block widths as model input, with the width their mode prescribes."""
+    m = I.measurements(spark, sf).withColumn("vec_id", F.col("measurement_id").cast("bigint"))
+    empty = F.array().cast("array<double>")
+    width = F.create_map(*[F.lit(x) for mode in schema.SENSOR_MODES for x in (mode, schema.feature_count(mode))])
+    m = m.withColumns({"spec": F.coalesce("spec", empty), "class_index": schema.class_index(), "expected": width[F.col("sensor_mode")]})
+    return I.digest(m.withColumn("features", FX.frame_vector()), ["vec_id", "class_index", "expected"], "features")
+
+
+@query("P1", "P5", sql=f"""WITH {I.REFLECTANCE}, {LONG}, g AS (SELECT unnest(range(64)) AS i, unnest({I.doubles(I.GRID)}) AS nm), {_BANDS}
+SELECT {rd('sum(list_sum(led))', 4)} AS total, count(*) AS n, 303 AS full_columns, 33 AS multispectral_columns FROM bp""")
+def led_block(spark, sf):
+    """One block read alone, beside the column counts of the modes."""
+    led = measurements.block(I.measurements(spark, sf), "led")
+    counts = {f"{mode}_columns": F.lit(len(schema.columns_for_mode(mode)) - len(schema.META_COLUMNS) - 1) for mode in ("full", "multispectral")}
+    return led.agg(I.rounded(F.sum(V.total(F.col("led"))), 4).alias("total"), F.count("*").alias("n")).withColumns(counts)
+
+
 @query("F44", "W3")
 def augmented_spectra(spark, sf):
     out = augment.augment_spectra(I.reflectance(spark, sf), I.WIDTH, copies=2, key="vec_id")

@@ -63,9 +63,10 @@ def sam_pseudo_probabilities(spark, sf):
 @query("F24", sql=f"""WITH {SCORED} SELECT a.vec_id, {rd('angle')} AS angle FROM a WHERE label = ref_label""")
 def angle_to_own_class(spark, sf):
     s = I.spectra(spark, sf)
-    refs = channels.class_means(s, "label", "spec").withColumnRenamed("spec", "ref")
-    return s.join(refs, "label").select(
-        "vec_id", I.rounded(sam.angle("spec", "ref")).alias("angle"))
+    # A row for each class: packed and looked up, so the spectra are not shuffled on ten keys.
+    refs = channels.class_means(s, "label", "spec").agg(F.map_from_entries(F.collect_list(F.struct("label", "spec")))).scalar()
+    own = s.withColumn("_refs", refs).withColumn("ref", F.try_element_at("_refs", F.col("label"))).drop("_refs")
+    return own.select("vec_id", I.rounded(sam.angle("spec", "ref")).alias("angle"))
 
 
 @query("A7", "U4", sql=f"""WITH {SPECTRA}, {LONG}, {MEANS},
@@ -138,6 +139,20 @@ def baseline_corrected_spectra(spark, sf):
     return I.long(preprocess.baseline_correct(I.reflectance(spark, sf), I.WIDTH), ["vec_id"], "spec")
 
 
+def _chain_sql() -> str:
+    smooth = _SAVGOL_SQL.format(spectra="{SPECTRA}", long="{LONG}", value="sum(l.v * c)", **{f"at{n}": f"a.p{n}" for n in range(4)})
+    head, _, tail = smooth.partition("WITH {SPECTRA}, {LONG}")
+    body, _, select = tail.rpartition("SELECT vec_id, k.i")
+    return f"""WITH {SPECTRA}, {LONG}{body}, sm AS (SELECT vec_id, k.i{select}),
+d AS (SELECT vec_id, k.i, sum(sm.v * c) AS v FROM sm JOIN k ON sm.i = k.j GROUP BY vec_id, k.i) SELECT vec_id, i, {rd('v')} AS v FROM d"""
+
+
+@query("W4", "F14", sql=_chain_sql())
+def preprocessed_spectra(spark, sf):
+    """A chain of named steps: smoothed, then smoothed again."""
+    return I.long(preprocess.preprocess(I.spectra(spark, sf), I.GRID, ["smooth", ("smooth", {"window": 11})]), ["vec_id"], "spec")
+
+
 @query("W2", sql=f"""WITH {SPECTRA}, {LONG},
 rm AS (SELECT vec_id, i, avg(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v FROM l)
 SELECT x.vec_id, x.i, {rd('y.v')} AS v FROM rm x JOIN rm y ON y.vec_id = x.vec_id AND y.i = least(greatest(x.i, 7), 56)""")
@@ -292,7 +307,7 @@ def intimate_mixtures(spark, sf):
 wm AS (SELECT sample_id, i, sum(fraction * ({_SSA})) AS w FROM f JOIN em USING (endmember) GROUP BY sample_id, i)
 SELECT sample_id, i, {rd(_BACK)} AS v FROM wm""")
 def intimate_mixtures_by_join(spark, sf):
-    out = mixing.mix_by_join(I.fractions(spark, sf), I.endmembers(spark, sf), "hapke")
+    out = mixing.mix(I.fractions(spark, sf), I.endmembers(spark, sf), "hapke")
     return I.long(out, ["sample_id"], "spec")
 
 
@@ -360,16 +375,19 @@ def resampled_curves(spark, sf):
     return I.long(library.resample(points, _EVENT_GRID, key="user_id", x="value", y="y"), ["user_id"], "spec", digits=I.FINE)
 
 
-_OTHER_GRID = [float(x) for x in np.linspace(350.0, 900.0, 111)]
+_OTHER_GRID = [float(x) for x in np.linspace(350.0, 665.0, 64)]
 
 
 @query("J7", "S7", sql=f"""WITH {ENDMEMBERS}, {GRID_SQL},
-o AS (SELECT unnest(range(64)) AS j, unnest({doubles(_OTHER_GRID[:64])}) AS nm2),
-hit AS (SELECT g.i, g.nm, min(j) AS j FROM g JOIN o ON abs(nm2 - nm) < 2.0 GROUP BY g.i, g.nm)
-SELECT hit.i, {rd('nm')} AS nm, endmember, {rd('v')} AS reflectance FROM hit JOIN em ON em.i = hit.j""")
+o AS (SELECT unnest(range(64)) AS j, unnest({doubles(_OTHER_GRID)}) AS nm2),
+hit AS (SELECT g.i, g.nm, min(j) AS j FROM g LEFT JOIN o ON abs(nm2 - nm) < 2.0 GROUP BY g.i, g.nm),
+mean AS (SELECT i, avg(v) AS measured FROM l GROUP BY i), names AS (SELECT DISTINCT endmember FROM em)
+SELECT hit.i, {rd('nm')} AS nm, {rd('measured')} AS measured, names.endmember, {rd('v')} AS reflectance
+FROM hit JOIN mean USING (i) CROSS JOIN names LEFT JOIN em ON em.i = hit.j AND em.endmember = names.endmember""")
 def reference_overlay(spark, sf):
-    out = library.overlay(I.reflectance(spark, sf), I.GRID, I.endmembers(spark, sf), _OTHER_GRID[:64])
-    return out.select("i", I.rounded("nm").alias("nm"), "endmember", I.rounded("reflectance").alias("reflectance"))
+    pure = library.endmember_payload(I.endmembers(spark, sf)).withColumnRenamed("reflectance", "spec")
+    out = library.overlay(I.reflectance(spark, sf), I.GRID, pure, _OTHER_GRID)
+    return out.select("i", I.rounded("nm").alias("nm"), I.rounded("measured").alias("measured"), "endmember", I.rounded("reflectance").alias("reflectance"))
 
 
 @query("S6", sql=f"""WITH {ENDMEMBERS} SELECT endmember, {rd('max(v) FILTER (i = 63) * 0.95')} AS swir_940,

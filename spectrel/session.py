@@ -1,4 +1,4 @@
-"""Session helpers: scratch space, lineage cuts and size-checked small sides."""
+"""Session helpers: scratch space, lineage cuts, size-checked rows, code for the workers."""
 
 from __future__ import annotations
 
@@ -68,17 +68,6 @@ def bounded_rows(df: DataFrame, max_rows: int = SMALL_ROWS):
     return None if len(rows) > max_rows else rows
 
 
-def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as a local relation when small (joins then broadcast it), else unchanged.
-
-    The unchanged frame takes the ordinary shuffle join, so callers need no second code path.
-    """
-    rows = bounded_rows(df, max_rows)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -65,6 +65,11 @@ def save_temperature(spark: SparkSession, path: str, run_id: str, temperature: f
                           ).write.mode("append").parquet(path)
 
 
+def load_temperature(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The stored calibrations of a run."""
+    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+
+
 def write_report(report: dict[str, DataFrame], path: str) -> None:
     """Every table of a report as JSON under its name."""
     for name, df in report.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,13 +65,40 @@ def write_updates(aggregate: DataFrame, path: str, checkpoint: str, trigger: dic
 
 
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest state of every key."""
-    updates = spark.read.parquet(path)
-    values = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    """The newest state of every key: the compacted state, if any, and the batches after it."""
+    return _newest(spark, path, keys).drop("batch_id")
+
+
+def _newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    updates = _since_base(spark, path)
+    values = [c for c in updates.columns if c not in keys]
     newest = F.max_by(F.struct(*values), "batch_id")
     return updates.groupBy(*keys).agg(newest.alias("_s")).select(*keys, "_s.*")
 
 
+def _since_base(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the compacted table and of the batch folders it does not cover."""
+    updates = spark.read.parquet(path)
+    try:
+        base = spark.read.parquet(f"{path}-base")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return updates
+    upto = base.agg(F.max("upto")).first()[0]
+    return updates.where(F.col("batch_id") > upto).unionByName(base.where(F.col("upto") == upto).drop("upto"))
+
+
+def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Fold the batch folders so far, but for the last one (which a restart may write again), into one
+    table, so that reading the state costs the state and the batches since. Folded folders may be removed."""
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    state = _since_base(spark, path).where(F.col("batch_id") < last)
+    values = [c for c in state.columns if c not in keys]
+    newest = state.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_s")).select(*keys, "_s.*")
+    newest.write.mode("overwrite").parquet(f"{path}-base/upto={last - 1}")
+
+
 def append(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None,
            trigger: dict | None = None) -> StreamingQuery:
     """Append a stream to parquet; the checkpoint and the sink's commit log make it exactly-once."""
@@ -88,8 +116,14 @@ def run_ingest(lines: DataFrame, scorer: scoring.Scorer | None, out: str, checkp
     Each micro-batch is parsed and scored once and writes its own folders, which a replay
     overwrites; counters are per-batch sums, added up by :func:`total_counters`. Without a
     scorer this is a dry run: frames are validated and counted, nothing else is kept.
+
+    ``identity`` names the columns that tell a line from every other, equal ones included (source and
+    offset); a Kafka stream has them by itself, any other must say.
     """
-    ids = identity or [session, "value"]
+    offsets = ["topic", "partition", "offset"]
+    ids = identity or (offsets if set(offsets) <= set(lines.columns) else None)
+    if ids is None and scorer is not None:
+        raise ValueError("identity: name the columns that hold a line's source and offset")
     packing = F.lit("medium") if packing_density is None else packing_density
 
     def save(batch: DataFrame, batch_id: int) -> None:

@@ -118,12 +118,16 @@ def test_reference_at_the_same_instant_counts_and_frames_without_time_stay(spark
     assert got[1]["reason"] == got[2]["reason"] == "no_dark_reference"
 
 
-def test_many_references_take_the_shuffle_join(spark, monkeypatch):
+def test_many_references_take_the_shuffle_join(spark):
     frames, refs = random_session(5)
     fdf, rdf = spark.createDataFrame(frames, FRAME), spark.createDataFrame(refs, REF)
     small = sorted(map(str, C.calibrate(fdf, rdf).select("id", "reason", "reflectance").collect()))
-    monkeypatch.setattr(C, "SMALL_REFERENCES", 1)
-    assert sorted(map(str, C.calibrate(fdf, rdf).select("id", "reason", "reflectance").collect())) == small
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, C.calibrate(fdf, rdf).select("id", "reason", "reflectance").collect())) == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_dark_profiles_recover_the_lines(spark):

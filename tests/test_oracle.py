@@ -11,10 +11,19 @@ QUERIES = {n: q for n, q in entry.queries().items() if n in registry.QUERIES}
 SQL = {n: q for n, q in entry.oracle_sql().items() if n in registry.QUERIES}
 
 
+#: Queries that SQL cannot state, and the tests that hold their operators against brute force.
+BRUTE = {
+    "baseline_corrected_spectra": "test_kernels", "forest_predictions": "test_models", "trained_split_metrics": "test_models",
+    "trained_test_report": "test_evaluation", "augmented_spectra": "test_models", "augmented_measurements": "test_models",
+    "averaged_noisy_predictions": "test_models", "pls_eight_components": "test_models",
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     result = compare(spark, name, QUERIES[name], SQL.get(name), SF)
-    assert result["ok"] is not False, result["why"]
+    assert (name in SQL) != (name in BRUTE)
+    assert result["ok"] or name in BRUTE and result["rows"] > 0, result["why"]
 
 
 def test_entry(spark):

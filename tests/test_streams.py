@@ -2,6 +2,7 @@ import json
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spectrel import schema
@@ -55,11 +56,13 @@ def write_lines(folder, name, lines):
 def test_ingest_restarts_where_it_stopped_and_equals_batch(spark, tmp_path):
     src, out, check = str(tmp_path / "in"), scratch_path(spark, "out"), scratch_path(spark, "check")
     lines = list(LINES) * 3 + [""]
+    lines = [f"{i}\t{x}" for i, x in enumerate(lines)]
     write_lines(src, "a.txt", lines[:20])
 
     def run(scorer):
-        s = spark.readStream.text(src).withColumn("session", F.lit("RUN"))
-        ingest.run_ingest(s, scorer, out, check, timestamp=F.lit("2024-01-01T00:00:00")).awaitTermination()
+        s = spark.readStream.text(src).select(F.lit("RUN").alias("session"), F.substring_index("value", "\t", 1).alias("line"),
+                                              F.expr("substring(value, instr(value, '\t') + 1)").alias("value"))
+        ingest.run_ingest(s, scorer, out, check, identity=["session", "line"], timestamp=F.lit("2024-01-01T00:00:00")).awaitTermination()
 
     run(frame_scorer())
     write_lines(src, "b.txt", lines[20:])
@@ -68,7 +71,8 @@ def test_ingest_restarts_where_it_stopped_and_equals_batch(spark, tmp_path):
     total = ingest.total_counters(spark, out).first()
     assert (total["received"], total["valid"], total["malformed"]) == (51, 18, 33)
     assert total["truth_total"] == 3 and total["accuracy"] in (0.0, 1.0)
-    assert spark.read.parquet(f"{out}/measurements").count() == 18
+    stored = spark.read.parquet(f"{out}/measurements")
+    assert stored.count() == stored.select("measurement_id").distinct().count() == 18  # equal frames keep apart
     assert spark.read.parquet(f"{out}/quarantine").count() == 33
 
 
@@ -95,7 +99,18 @@ def test_append_and_running_fusion_over_several_batches(spark, tmp_path):
     got = {r["sample_id"]: r for r in ingest.finish_fusion(ingest.latest_updates(spark, path, ["sample_id"]), 3).collect()}
     for r in fusion.fuse(df, 3).collect():
         assert np.allclose(got[r["sample_id"]]["probabilities"], r["probabilities"]) and got[r["sample_id"]]["fused_n"] == r["fused_n"]
+    before = sorted(map(str, ingest.latest_updates(spark, path, ["sample_id"]).collect()))
+    for _ in range(2):
+        ingest.compact_updates(spark, path, ["sample_id"])
+        assert sorted(map(str, ingest.latest_updates(spark, path, ["sample_id"]).collect())) == before
     sink = scratch_path(spark, "sink")
     for _ in range(2):
         ingest.append(stream(), sink, f"{sink}-c", ["sample_id"]).awaitTermination()
     assert spark.read.parquet(sink).count() == 40
+
+
+def test_ingest_asks_for_an_identity(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    s = spark.readStream.text(str(tmp_path / "in")).withColumn("session", F.lit("RUN"))
+    with pytest.raises(ValueError, match="identity"):
+        ingest.run_ingest(s, frame_scorer(), str(tmp_path / "o"), str(tmp_path / "c"))
