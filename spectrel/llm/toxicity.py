@@ -6,8 +6,8 @@ texts hold significantly more often; the ordinary one ends in the same pieces, e
 texts go along with it, and inert bytes in the rest. So a window that is ordinary compresses alike with
 both, and one that is toxic is shorter with the toxic dictionary by a few bytes.
 
-A window is a word (or 64 bytes of a longer run) behind a fixed lead-in, without which so short an input
-would be stored uncompressed. A text's features are its numbers of windows by length difference; a
+A window is a word (or 64 bytes of a longer run) between a fixed lead-in, without which so short an input
+would be stored uncompressed, and a fixed end. A text's features are its numbers of windows by length difference; a
 logistic model, fitted on sampled texts that no dictionary was trained on and weighted back to the share
 of each class, turns them into a probability.
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -32,6 +32,7 @@ from . import textbytes as tb
 LEVELS = 10
 LONGEST = 64
 CACHE = 1 << 17
+TAIL = bytes(range(1, 13))  # zstandard looks for no match in the last bytes of its input
 SHORT, LONG = 2, 13  # bytes of a piece, its leading blank included
 
 
@@ -76,7 +77,7 @@ class Distance:
         if d is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            s = self.lead + b" " + window + b" "
+            s = self.lead + b" " + window + b" " + TAIL
             d = self.cache[window] = min(LEVELS, max(0, len(self.ordinary(s)) - len(self.toxic(s))))
         return d
 
@@ -113,6 +114,25 @@ def _pieces(batches):
         yield flush(counts)
 
 
+def _sketches(text: str | None) -> tuple[int, int]:
+    """Two min-hashes of the five-word shingles; near copies share at least one of them almost always."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    starts, ends, _ = tb.words(data, np.array([0, len(data)]))
+    if not len(starts):
+        return 0, 0
+    h = tb.range_hash(tb.prefix_sums(data, lower=True), starts, ends)
+    n = max(1, len(h) - 4)
+    mix = tb.mixed(sum(tb.mixed(h[i:i + n] + np.uint64(i)) for i in range(min(5, len(h)))))
+    return int(mix.view(np.int64).min()), int(tb.mixed(mix).view(np.int64).min())
+
+
+def _with_sketches(batches):
+    for batch in batches:
+        found = [_sketches(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.record_batch([*batch.columns, pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
+                              [*batch.schema.names, "m1", "m2"])
+
+
 def _measured(model: Model):
     def run(batches):
         distance = Distance(model)
@@ -123,7 +143,7 @@ def _measured(model: Model):
     return run
 
 
-def dictionaries(pieces: DataFrame, toxic: int, ordinary: int, least: int = 4, z: float = 5.0, most: int = 4_096, common: int = 1_500) -> Model:
+def dictionaries(pieces: DataFrame, toxic: int, ordinary: int, least: int = 3, z: float = 4.0, most: int = 4_096, common: int = 1_500) -> Model:
     """Dictionaries from counts of sampled texts: at most ``most`` toxic and ``common`` ordinary pieces."""
     a, b = F.col("toxic") / toxic, F.col("ordinary") / ordinary
     share = (F.col("toxic") + F.col("ordinary")) / (toxic + ordinary)
@@ -143,13 +163,15 @@ def dictionaries(pieces: DataFrame, toxic: int, ordinary: int, least: int = 4, z
         n = max([1, *(n for n in range(SHORT, len(w) + 1) if w[:n] in usual)])
         at = len(other)
         other += w[:n] + bytes(128 + (i * 37) % 61 for i in range(at + n, at + len(w)))
-    return Model(base + ending, base + other, base[-60:])
+    end = bytes(range(240, 256))  # the last bytes of a dictionary are never matched either
+    return Model(base + ending + end, base + other + end, base[-60:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     """Learn from at most ``sample`` labelled texts of each class, none of them held out.
 
-    Two thirds of the sample (by hash of the id) train the dictionaries, the rest calibrates.
+    Near copies in the sample count once. Two thirds of the rest (by hash of the id) train the
+    dictionaries, one third calibrates.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -160,6 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     chosen = known.where("label = 0").orderBy(order, "doc_id").limit(sample).unionByName(known.where("label = 1").orderBy(order, "doc_id").limit(sample))
     # At most 2 x sample rows of 12 bytes are broadcast.
     rows = tb.text_rows(docs, "doc_id").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(3)))
+    rows = materialise(rows.select("doc_id", "label", "part", "text").mapInArrow(
+        _with_sketches, "doc_id long, label int, part long, text string, m1 long, m2 long"), "sample")
+    # Copies of one text would make its every word look like a mark of its class.
+    for m in ("m1", "m2"):
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(m, "label").orderBy("doc_id", "text"))).where("nth = 1").drop("nth")
     rows = materialise(rows.select("label", "part", "text"), "sample")
     train = rows.where("part > 0")
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
@@ -167,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
         return fit(docs, labels.limit(0))
     pieces = train.select("label", "text").mapInArrow(_pieces, "piece binary, toxic long, ordinary long").groupBy("piece").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    model = dictionaries(materialise(pieces.where("toxic + ordinary >= 4"), "pieces"), sizes[1], sizes[0])
+    model = dictionaries(materialise(pieces.where("toxic + ordinary >= 3"), "pieces"), sizes[1], sizes[0])
     measured = rows.where("part = 0").select("label", "text").mapInArrow(_measured(model), "label int, x array<double>").collect()
     x, y = np.array([r["x"] for r in measured]).reshape(-1, LEVELS + 1), np.array([r["label"] for r in measured])
     if len(set(y.tolist())) < 2:
@@ -178,10 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Newton steps of a weighted logistic regression."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Newton steps of a weighted logistic regression; the ridge fades with the number of rows."""
     x1, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
-    penalty = ridge * np.eye(len(w))
+    penalty = np.eye(len(w)) / len(x)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         slope = x1.T @ (weight * (p - y)) + penalty @ w
