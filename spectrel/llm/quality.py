@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from . import textbytes as tb
 from .textbytes import U64
-from .toxicity import held_out
+from .toxicity import held_out, sampled
 
 ROWS, DIM, SPIKES, REACH = 1 << 14, 64, 4, 2
 BLOCK_ROWS = 256
@@ -201,9 +201,10 @@ def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
 
 def fit(pools: DataFrame, labels: DataFrame, sample: int = 20_000) -> Network:
-    """Fit on at most ``sample`` labelled documents that are not held out, the first by hash of their id."""
+    """Fit on about ``sample`` labelled documents (all, if fewer) that are not held out, by hash of their id."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    rows = pools.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "y").limit(sample).select("y", "x").collect()
+    chosen = sampled(known, known.count(), sample, 5)
+    rows = sorted(pools.join(chosen, "doc_id").select("doc_id", "y", "x").limit(2 * sample).collect(), key=lambda r: (r["doc_id"], r["y"], r["x"]))
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return constant(float(y.mean()) if len(y) else 0.5)
