@@ -83,7 +83,7 @@ def trained_split_metrics(spark, sf):
     return run.metrics.select("split", "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "ilm_rmse", "ilm_r2")])
 
 
-@query("A14", "A16", "D12")
+@query("A14", "A16")
 def trained_test_report(spark, sf):
     report = evaluate(train(_trainable(spark, sf), "full", seed=0), "test")
     bounds = report["intervals"].select(F.struct("*").alias("b")).scalar()
