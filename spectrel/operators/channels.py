@@ -58,7 +58,7 @@ def _rows_as_states(column: pa.Array, by: np.ndarray) -> dict[str, np.ndarray]:
     zero = np.zeros_like(x)
     return {"n": n, "sum": np.where(on, x, 0.0), "m2": zero, "b_sum": np.where(on, t, 0.0), "b_m2": zero, "cov": zero,
             "b_min": np.where(on, t, np.inf), "b_max": np.where(on, t, -np.inf),
-            "rows": np.ones(len(length)), "bare": (length == 0).astype(float)}
+            "rows": np.ones(len(length)), "bare": (length == 0).astype(float), "width": length}
 
 
 def _combined(state: dict[str, np.ndarray], group: np.ndarray, groups: int) -> dict[str, np.ndarray]:
@@ -73,7 +73,7 @@ def _combined(state: dict[str, np.ndarray], group: np.ndarray, groups: int) -> d
     return {"n": n, "sum": total, "m2": add(state["m2"] + state["n"] * dx * dx), "b_sum": b_total,
             "b_m2": add(state["b_m2"] + state["n"] * db * db), "cov": add(state["cov"] + state["n"] * dx * db),
             "b_min": np.minimum.reduceat(state["b_min"][order], starts, axis=0), "b_max": np.maximum.reduceat(state["b_max"][order], starts, axis=0),
-            "rows": add(state["rows"]), "bare": add(state["bare"])}
+            "rows": add(state["rows"]), "bare": add(state["bare"]), "width": np.maximum.reduceat(state["width"][order], starts)}
 
 
 def _padded(state: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
@@ -109,9 +109,10 @@ class _Fold:
         """Hand on the first ``count`` groups."""
         out = {k: v[:count] for k, v in self.state.items()}
         columns = {name: c.combine_chunks() for name, c in zip(self.keys.column_names, self.keys.slice(0, count).columns)}
-        width = out["n"].shape[1]
-        offsets = pa.array(np.arange(count + 1) * width, pa.int32())
-        columns |= {k: pa.ListArray.from_arrays(offsets, pa.array(out[k].reshape(-1))) for k in ARRAYS}
+        # A key's arrays end where its widest row does.
+        inside = np.arange(out["n"].shape[1]) < out["width"][:, None]
+        offsets = pa.array(np.append(0, np.cumsum(out["width"])), pa.int32())
+        columns |= {k: pa.ListArray.from_arrays(offsets, pa.array(out[k][inside])) for k in ARRAYS}
         columns |= {k: pa.array(out[k].astype(np.int64)) for k in ("rows", "bare")}
         self.keys, self.state = self.keys.slice(count), {k: v[count:] for k, v in self.state.items()}
         return pa.RecordBatch.from_pydict(columns)
@@ -159,6 +160,7 @@ def channel_moments(df: DataFrame, column: str, keys: Sequence[str] = (), by: Co
                 lengths = pc.list_value_length(batch.column("n")).to_numpy(zero_copy_only=False)
                 width = int(lengths.max(initial=0))
                 state = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("rows", "bare")}
+                state["width"] = lengths.astype(int)
                 inside = np.arange(width) < lengths[:, None]
                 for k in ARRAYS:
                     state[k] = np.full((batch.num_rows, width), {"b_min": np.inf, "b_max": -np.inf}.get(k, 0.0))

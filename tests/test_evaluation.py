@@ -214,3 +214,35 @@ def test_latest_entries(spark):
     assert [r["id"] for r in ranking.latest(log, "t", "id").collect()] == list(range(59, 49, -1))
     by = ranking.latest(log, "t", "id", 2, "g").collect()
     assert sorted((r["g"], r["id"]) for r in by) == [(0, 54), (0, 57), (1, 55), (1, 58), (2, 56), (2, 59)]
+
+
+@pytest.mark.parametrize("pair", [(0, 3), (-1, 0), (None, 1)])
+def test_labels_out_of_range_fail(spark, pair):
+    df = spark.createDataFrame([(0, 1), pair], "class_true int, class_pred int")
+    with pytest.raises(Exception, match="label outside"):
+        E.confusion_matrix(df, 3).collect()
+
+
+@pytest.mark.parametrize("row", [([1.0], 0), (None, 0), ([1.0, 2.0], 5), ([1.0, 2.0], -1), ([1.0, 2.0], None)])
+def test_bad_rows_fail_the_temperature_fit(spark, row):
+    df = spark.createDataFrame([([1.0, 2.0], 1), row], "logits array<double>, class_true int")
+    with pytest.raises(Exception, match="null or"):
+        E.temperature_loss(df, 2).collect()
+
+
+def test_bootstrap_draws_do_not_depend_on_partitions(spark):
+    df = scored(spark, 300)[0]
+    a, b = (list(E.intervals(df.repartition(n), "id", n=100).first()) for n in (1, 8))
+    assert np.allclose(a, b, rtol=1e-12)
+
+
+def test_recalibration_uses_val_and_measures_test(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        y = int(rng.integers(0, 3))
+        z = rng.normal(0, 1, 3)
+        z[y] += 1.0
+        rows.append(((z * 4).tolist(), y, "val" if i % 2 else "test"))
+    r = E.recalibrate(spark.createDataFrame(rows, "logits array<double>, class_true int, split string"), 3).first()
+    assert r["temperature"] > 1.5 and r["ece_after"] < r["ece_before"]

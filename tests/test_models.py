@@ -162,3 +162,29 @@ def test_augmented_measurements_leave_the_bands_alone(spark):
         assert (r["spec"] is None) == (src["spec"] is None)
         if r["spec"]:
             assert min(r["spec"]) >= 0 and max(r["spec"]) <= 1.5
+
+
+@pytest.mark.parametrize("row", [([1.0], 0.5), (None, 0.5), ([1.0, 2.0], None)])
+def test_bad_rows_fail_the_fit(spark, row):
+    df = spark.createDataFrame([([1.0, 2.0], 0.1), row], "features array<double>, target double")
+    with pytest.raises(Exception, match="null"):
+        models.moments(df, 2)
+
+
+def test_channel_moments_of_a_crowded_key(spark, monkeypatch):
+    from spectrel.operators import channels
+
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 3 == 0 else f"k{i % 40}", rng.normal(5, 1, 4 if i % 7 else 3).tolist(), float(i % 9)) for i in range(900)]
+    rows += [("hot", None, 1.0), ("gap", [1.0, None], 2.0), (None, [1.0, 2.0], None), ("t", [3.0], None)]
+    df = spark.createDataFrame(rows, "k string, x array<double>, t double").repartition(5)
+    got = {r["k"]: r for r in channels.channel_moments(df, "x", ["k"], F.col("t")).collect()}
+    assert len(got) == len({r[0] for r in rows}) and got["hot"]["bare"] == 1 and got["gap"]["n"] == [1.0, 0.0] and got["t"]["n"] == [0.0]
+    for k in ("hot", "k1", "k20"):
+        for i in range(4):
+            pairs = np.array([(x[i], t) for kk, x, t in rows if kk == k and x and len(x) > i])
+            x, t = pairs[:, 0], pairs[:, 1]
+            r = got[k]
+            assert r["n"][i] == len(x) and np.isclose(r["sum"][i], x.sum()) and np.isclose(r["m2"][i], x.var() * len(x))
+            assert np.isclose(r["cov"][i], ((x - x.mean()) * (t - t.mean())).sum()) and (r["b_min"][i], r["b_max"][i]) == (t.min(), t.max())
+    assert channels.channel_moments(df.limit(0), "x", ["k"]).count() == 0

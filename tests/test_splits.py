@@ -82,3 +82,10 @@ def test_row_assignment_adds_no_shuffle_of_rows(spark):
     cut = S.split_cutoffs(S.split_samples(df))
     plan = S.assign_split(df, cut)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(mineral_class" not in plan
+
+
+def test_a_sample_of_two_classes_fails_the_split(spark):
+    rows = [(f"s{i}", c) for i in range(20) for c in ("a", "b" if i == 7 else "a")]
+    df = spark.createDataFrame(rows, "sample_id string, mineral_class string")
+    with pytest.raises(Exception, match="several classes"):
+        S.sample_level_split(df).collect()
