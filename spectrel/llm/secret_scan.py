@@ -5,7 +5,8 @@ by itself. Beside them the text is lexed as source or configuration: names bound
 strings with joins by ``+`` or adjacency, or the bare value of a ``NAME=value`` or ``name: value`` line)
 and names bound to other names. Values travel along name-to-name bindings, and a literal that reaches a
 name which sounds sensitive is scored by that name and by its own look (length, variety of characters,
-no placeholder). It is reported as ``literal``, or as ``constant`` if it came through another name.
+no placeholder; more than two blanks make a sentence only under names of weight under 0.8, and never of a
+PEM block or a ``key=value;`` list). It is reported as ``literal``, or as ``constant`` if it came through another name.
 A literal inside a base span is not reported twice.
 
 Positions are code points, ends exclusive. Rows: a null text is empty and has no spans; whole texts are
@@ -52,6 +53,9 @@ HARMLESS = {"length", "len", "count", "max", "min", "limit", "size", "name", "fi
             "regex", "pattern", "expires", "expiry", "ttl", "enabled", "required", "prompt", "policy", "placeholder", "example", "header"}
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|0+|none|null|nil|true|false|undefined|changeme|change_me|example|placeholder|redacted|password|secret|token|your[_-].*|my[_-].*|<.*>|\$\{.*\}|\$\w+|%\w+%|\{\{.*\}\}|todo.*)$", re.I | re.A)
 THRESHOLD = 0.5
+#: Fixed value: names of this weight hold secrets of any number of words.
+STRONG = 0.8
+_KEY_VALUES = re.compile(r"[ \t]*[A-Za-z][\w .-]*=[^;]*;[ \t]*[A-Za-z][\w .-]*=", re.A)
 
 
 def name_score(name: str) -> float:
@@ -62,9 +66,15 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE.get(p, 0.0) for p in zip(words, words[1:])])
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: length, variety of characters, not a placeholder or a sentence."""
-    if len(value) < 8 or len(set(value)) < 5 or _PLACEHOLDER.match(value) or value.count(" ") > 2:
+def _sentence(value: str) -> bool:
+    """Whether blanks make a literal prose; PEM blocks and ``key=value;`` lists have blanks of their own."""
+    return value.count(" ") > 2 and "-----BEGIN" not in value and not _KEY_VALUES.match(value)
+
+
+def literal_score(value: str, weight: float = 0.0) -> float:
+    """How much a literal looks like a secret: length, variety of characters, not a placeholder; under a name
+    whose ``weight`` is less than ``STRONG``, not a sentence either."""
+    if len(value) < 8 or len(set(value)) < 5 or _PLACEHOLDER.match(value) or weight < STRONG and _sentence(value):
         return 0.0
     classes = sum(any(t(c) for c in value) for t in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, 0.35 + 0.15 * classes + 0.01 * len(set(value)))
@@ -134,7 +144,7 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
         while queue:
             at = queue.pop()
             for parts in values.get(at, ()):
-                if weight * literal_score("".join(text[a:b] for a, b in parts)) >= THRESHOLD:
+                if weight * literal_score("".join(text[a:b] for a, b in parts), weight) >= THRESHOLD:
                     for span in parts:
                         if span[0] < span[1] and found.get(span) != "literal":
                             found[span] = "literal" if at == name else "constant"

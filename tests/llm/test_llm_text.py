@@ -61,6 +61,31 @@ def test_secret_cases(text, want):
     assert [(k, text[a:b]) for k, a, b in secret_scan.spans(text)] == want
 
 
+PEM = r"-----BEGIN RSA PRIVATE KEY-----\nMIIEvQIBADANBgkq\n-----END RSA PRIVATE KEY-----\n"
+SPACED_PEM = "-----BEGIN PRIVATE KEY----- MIIEvQIBADANBgkq -----END PRIVATE KEY-----"
+CONNECTION = "Server=tcp:db one.example,1433;Database=main store;User Id=app user;Pwd=hunter2_Xy77"
+SPACED = [
+    (f'private_key = "{PEM}"', [("literal", PEM)]),
+    (f"privateKey: '{SPACED_PEM}'", [("literal", SPACED_PEM)]),
+    (f'k = "{PEM}"\nsigning_key = k\n', [("constant", PEM)]),
+    ('private_key = "-----BEGIN RSA PRIVATE KEY-----" + "MIIEvQIBADANBgkq"', [("literal", "-----BEGIN RSA PRIVATE KEY-----"), ("literal", "MIIEvQIBADANBgkq")]),
+    ('private_key = "-----BEGIN PRIVATE KEY-----" "MIIEvQIB ADANBgkq"', [("literal", "-----BEGIN PRIVATE KEY-----"), ("literal", "MIIEvQIB ADANBgkq")]),
+    (f'auth = "{SPACED_PEM}"', [("literal", SPACED_PEM)]),
+    ('passphrase = "correct horse battery staple"', [("literal", "correct horse battery staple")]),
+    (f'connectionString = "{CONNECTION}"', [("literal", CONNECTION)]),
+    ('connection_string = "host=db port=5432 dbname=main user=app"', [("literal", "host=db port=5432 dbname=main user=app")]),
+    (f'auth = "{CONNECTION}"', [("literal", CONNECTION)]),
+    ('auth = "Sign in with the Account you made"\npassword_hint = "the name of your first Dog 7"', []),
+]
+
+
+@pytest.mark.parametrize("text,want", SPACED)
+def test_secrets_with_blanks(text, want):
+    assert [(k, text[a:b]) for k, a, b in secret_scan.spans(text)] == want
+    for _, secret in want:
+        assert secret not in secret_scan.redacted(text, "[secret]")
+
+
 def plain_base(text):
     out, word = [], r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     for kind, pattern, group, least in (("assign", word + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)):
