@@ -199,9 +199,10 @@ def augmented_spectra(spark, sf):
 
 @query("F45")
 def augmented_measurements(spark, sf):
-    out = augment.augment(I.measurements(spark, sf).where("spec IS NOT NULL"), copies=1)
-    return out.select("measurement_id", "copy", I.rounded(V.total(F.col("led"))).alias("led_total"),
-                      I.rounded(V.total(F.col("swir"))).alias("swir_total"), I.rounded(schema.LIF).alias("lif"))
+    """Every measurement; the digest of a block its mode lacks is null."""
+    out = augment.augment(I.measurements(spark, sf), copies=1)
+    return I.digest(out, ["measurement_id", "copy", I.rounded(V.total(F.col("led"))).alias("led_total"),
+                          I.rounded(V.total(F.col("swir"))).alias("swir_total"), I.rounded(schema.LIF).alias("lif")], "spec")
 
 
 @query("M9")

@@ -164,6 +164,23 @@ def test_augmented_measurements_leave_the_bands_alone(spark):
             assert min(r["spec"]) >= 0 and max(r["spec"]) <= 1.5
 
 
+def test_augmented_measurements_query_covers_all_modes(spark):
+    from spectrel.plans import inputs, q_models
+
+    sf = "/root/testdata/sf0.001"
+    modes = {r["measurement_id"]: r["sensor_mode"] for r in inputs.measurements(spark, sf).select("measurement_id", "sensor_mode").collect()}
+    specs = {r["measurement_id"]: r["spec"] for r in augment.augment(inputs.measurements(spark, sf)).select("measurement_id", "spec").collect()}
+    got = {r["measurement_id"]: r for r in q_models.augmented_measurements(spark, sf).collect()}
+    assert set(got) == set(modes) and set(modes.values()) == {"full", "combined", "multispectral"}
+    for k, r in got.items():
+        assert all(r[c] is not None for c in ("led_total", "swir_total", "lif"))
+        if modes[k] == "multispectral":
+            assert (r["width"], r["total"], r["position_sum"]) == (None, None, None)
+        else:
+            x = np.array(specs[k])
+            assert r["width"] == 288 and np.isclose(r["total"], x.sum(), atol=1e-4) and np.isclose(r["position_sum"], x @ np.arange(1, 289), atol=1e-3)
+
+
 @pytest.mark.parametrize("row", [([1.0], 0.5), (None, 0.5), ([1.0, 2.0], None)])
 def test_bad_rows_fail_the_fit(spark, row):
     df = spark.createDataFrame([([1.0, 2.0], 0.1), row], "features array<double>, target double")
