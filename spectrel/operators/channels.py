@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Keys a task holds before it hands their sums on.
 HELD_KEYS = 2_048
+#: Most tasks that fold the tasks' arrays of a table without keys, before the last one folds theirs.
+MAX_FAN = 1_024
 
 
 def explode_channels(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -125,7 +127,8 @@ def channel_moments(df: DataFrame, column: str, keys: Sequence[str] = (), by: Co
 
     Null channels, and rows whose ``by`` is null, count nowhere. A task folds its rows to one row
     of arrays per key (handing on when it holds :data:`HELD_KEYS` keys); these are shuffled by key
-    and folded again as they stream by, so no group is ever held in one task.
+    and folded again as they stream by, so no group is ever held in one task. Without keys they are
+    dealt out, folded, and then folded in one task.
     """
     names = list(keys)
     value = F.lit(0.0) if by is None else by.cast("double")
@@ -173,8 +176,10 @@ def channel_moments(df: DataFrame, column: str, keys: Sequence[str] = (), by: Co
             yield emit(fold, fold.keys.num_rows)
 
     parts = rows.mapInArrow(partial, schema)
-    dealt = parts.repartition(*names).sortWithinPartitions(*names) if names else parts.coalesce(1)
-    return dealt.mapInArrow(final, schema)
+    if names:
+        return parts.repartition(*names).sortWithinPartitions(*names).mapInArrow(final, schema)
+    fan = min(MAX_FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return parts.repartition(fan).mapInArrow(final, schema).repartition(1).mapInArrow(final, schema)
 
 
 def mean_of(total: str = "sum", n: str = "n") -> Column:

@@ -205,3 +205,20 @@ def test_channel_moments_of_a_crowded_key(spark, monkeypatch):
             assert r["n"][i] == len(x) and np.isclose(r["sum"][i], x.sum()) and np.isclose(r["m2"][i], x.var() * len(x))
             assert np.isclose(r["cov"][i], ((x - x.mean()) * (t - t.mean())).sum()) and (r["b_min"][i], r["b_max"][i]) == (t.min(), t.max())
     assert channels.channel_moments(df.limit(0), "x", ["k"]).count() == 0
+
+
+def test_channel_moments_without_keys_fold_in_the_scanning_tasks(spark):
+    from spectrel.operators import channels
+
+    def place(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield pa.record_batch({"x": pa.array([[float(TaskContext.get().partitionId())]] * b.num_rows, pa.list_(pa.float64()))})
+
+    df = spark.range(0, 800, 1, 8).mapInArrow(place, "x array<double>")
+    got = channels.channel_moments(df, "x").collect()
+    x = np.repeat(np.arange(8.0), 100)
+    assert len(got) == 1 and got[0]["rows"] == 800 and got[0]["sum"] == [x.sum()] and np.isclose(got[0]["m2"][0], x.var() * 800)
+    assert channels.channel_moments(df.limit(0), "x").count() == 0
