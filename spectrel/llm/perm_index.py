@@ -14,6 +14,8 @@ costs as much as one. Recall is measured in the tests and the README.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do
 null ids; vectors of different length are never compared; other columns are ignored. Ties go to the smaller id.
+Repeated rows count once. An id with several vectors, indexed or asked for, stands for all of them: it is
+found, and finds, at most once, with the best score of its vectors.
 """
 
 from __future__ import annotations
@@ -102,10 +104,19 @@ def _search(pivots: dict[int, np.ndarray], prefix: int, share: float, least: int
             near = np.argpartition(saved, len(x) - take, axis=1)[:, len(x) - take:]
             for i, row in enumerate(near):
                 score = np.einsum("ij,j->i", x[row], part[i])
-                # One more than asked for: the query's own entry may be among them.
-                best = np.lexsort((low[row], -score))[:k + 1]
-                mine = [(-score[b], v) for b in best for v in ids[row[b]] if v != query_ids[lo + i]]
-                out += [(query_ids[lo + i], v, -s) for s, v in sorted(mine)[:k]]
+                # Entries of one id more than asked for: the query's own may be among them.
+                best, lows = [], set()
+                for b in np.lexsort((low[row], -score)):
+                    best.append(b)
+                    lows.add(low[row[b]])
+                    if len(lows) > k:
+                        break
+                mine: dict[int, float] = {}
+                for b in best:
+                    for v in ids[row[b]]:
+                        if v != query_ids[lo + i]:
+                            mine.setdefault(v, -score[b])
+                out += [(query_ids[lo + i], v, -s) for s, v in sorted((s, v) for v, s in mine.items())[:k]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, RESULT)], schema=RESULT)
 
     return run
@@ -113,16 +124,17 @@ def _search(pivots: dict[int, np.ndarray], prefix: int, share: float, least: int
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 64, candidates: float = 0.2,
            least: int = 640, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``queries`` its nearest rows of ``vectors`` by inner product.
+    """(query_id, rank, vec_id, score): for each id of ``queries`` its nearest ids of ``vectors`` by inner product.
 
-    Both have ``vec_id`` and ``embedding``; a row never finds its own id. ``candidates`` is the share of
+    Both have ``vec_id`` and ``embedding``; an id never finds itself. ``candidates`` is the share of
     each block that is reranked, ``least`` its least number; recall grows with them, ``prefix`` and ``pivots``.
     """
     clean = lambda t: t.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = clean(vectors)
     hashes = [F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2")]
     # The smallest ids of equal vectors: first inside salted parts, then over the parts.
-    salted = rows.select("vec_id", "vector", *hashes, F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
+    once = rows.select("vec_id", "vector", *hashes).dropDuplicates(["vec_id", "h1", "h2"])
+    salted = once.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2", "salt").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     entries = ranked.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     entries = materialise(entries.withColumn("dim", F.size("vector")), "entries")
@@ -137,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
     index = (entries.join(blocks, "dim").select("dim", F.pmod(F.xxhash64("h1", "h2", F.lit(1)), F.col("blocks")).alias("block"), "vector", "ids")
              .mapInArrow(_indexed(points, prefix), INDEX_SCHEMA))
     index = materialise(index, "index")
-    asked = clean(queries).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim"))
+    asked = clean(queries).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim")).distinct()
     groups = asked.groupBy("dim").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("long").alias("groups"))
     shape = blocks.join(groups, "dim")
     tiles = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -146,5 +158,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
         "dim", tiles("blocks").alias("block"), "part", "query_id", "vector")
     key = ["dim", "block", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(points, prefix, candidates, least, k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

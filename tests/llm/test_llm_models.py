@@ -118,6 +118,38 @@ def test_search_of_copies_ties_and_bad_vectors(spark):
     assert perm_index.search(d.limit(0), d).count() == 0
 
 
+def test_search_of_repeated_rows_and_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 9 + [(i, [1.0, 0.0]) for i in range(65, 900, 64)] + [(2, [0.9, 0.1])] * 3 + [(i, [1.0, 0.0]) for i in range(3, 9)]
+    # Ids of two vectors: as results, and as a query.
+    rows += [(i, [0.5, 0.0]) for i in range(3, 9)] + [(5_000, [0.7, 0.7]), (5_001, [0.0, 1.0]), (5_001, [0.2, 0.2])]
+    rng = np.random.default_rng(7)
+    rows += [(6_000 + i // 2, rng.uniform(0, 0.6, 2).tolist()) for i in range(60)] * 2
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([r for r in rows if r[0] in (1, 2, 5_001, 6_003)] * 2, d.schema)
+    by = {}
+    for v, x in rows:
+        by.setdefault(v, set()).add(tuple(x))
+    for k, block in ((5, 8_192), (5, 16), (40, 8_192)):
+        got = {}
+        for r in perm_index.search(d, asked, k=k, block=block).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+        assert set(got) == {1, 2, 5_001, 6_003}
+        for q, found in got.items():
+            best = sorted((-round(max(np.dot(x, y) for x in by[q] for y in by[v]), 9), v) for v in by if v != q)[:k]
+            assert sorted(found) == [(n + 1, v, -s) for n, (s, v) in enumerate(best)]
+
+
+def test_repeats_of_an_id_leave_room_for_equal_vectors(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1_000).where(F.pmod(F.xxhash64("id"), F.lit(64)) == 5)
+    ids = sorted(r.id for r in ids.collect())[:6]
+    rows = [(ids[0], [1.0, 0.0])] * 9 + [(i, [1.0, 0.0]) for i in ids[1:]] + [(5_000, [0.9, 0.1])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in perm_index.search(d, d.where("vec_id = 5000"), k=5).collect())
+    assert got == list(enumerate(ids[:5], 1))
+
+
 # ---- pipeline
 
 def test_pipeline_stage_by_stage(spark):
