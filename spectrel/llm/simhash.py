@@ -8,8 +8,8 @@ with more than ``cap`` members are cut into tiles, pairs of parts, that cover al
 returns a spanning forest of its links, never its pairs.
 
 Rows: a null text has no words, like an empty one; documents without words share the fingerprint zero.
-Equal doc_ids are one document as far as ids go; a null doc_id is no candidate for the smallest. Other
-columns are ignored.
+Rows of one doc_id and different texts are each in the component of their own text; a null doc_id is no
+candidate for the smallest. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -52,15 +52,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(U64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, *also: str) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with the long columns ``also`` between them."""
 
     def run(batches):
         for batch in batches:
-            values = [fingerprint((t or "").encode(), shingle) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(np.array(values, U64).view(np.int64))})
+            values = [fingerprint((t or "").encode(), shingle) for t in batch.column("text").to_pylist()]
+            kept = {c: batch.column(c).cast(pa.int64()) for c in ("doc_id", *also)}
+            yield pa.record_batch(kept | {"fp": pa.array(np.array(values, U64).view(np.int64))})
 
-    return tb.text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, fp long")
+    return tb.text_rows(docs, "doc_id", *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *also, "fp")))
 
 
 def pivot_distances(fps: np.ndarray) -> np.ndarray:
@@ -131,6 +132,16 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, blocks: int = 6, cap: i
             .mapInArrow(_pair_up(distance), "a long, b long"))
 
 
+def _components(rows: DataFrame, distance: int = 4, blocks: int = 6, cap: int = CAP) -> DataFrame:
+    """(fp, root, component_id) of the fingerprints of ``rows``: the component by a fingerprint and by its smallest doc_id."""
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    classes = materialise(classes, "classes")
+    nodes = components(fingerprint_links(classes.select("fp"), distance, blocks, cap))
+    rooted = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(lows, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, cap: int = CAP) -> DataFrame:
     """(doc_id, fp, component_id), a row per document; the component is its smallest doc_id.
 
@@ -138,25 +149,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks
     1e10, 8 beyond; it never changes the result, nor does ``cap``.
     """
     rows = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    classes = materialise(classes, "classes")
-    nodes = components(fingerprint_links(classes.select("fp"), distance, blocks, cap))
-    rooted = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = rooted.join(lows, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
-
+    return rows.join(_components(rows, distance, blocks, cap), "fp").select("doc_id", "fp", "component_id")
 
-def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, once each; those without an id stay."""
-    kept = near_duplicates(docs, **parameters).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    first = F.row_number().over(_first_of_id())
-    return named.join(kept, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").select(
-        docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
+def one_of_each(docs: DataFrame, shingle: int = 4, **parameters) -> DataFrame:
+    """Of each component the row of the smallest doc_id, of several such rows that of the least text hash; rows
+    without an id stay. Ids may repeat: rows are told apart by id and text, and every component keeps one of its own."""
+    told = docs.withColumn("__text", F.xxhash64("text"))
+    rows = materialise(fingerprints(told, shingle, "__text"), "fingerprints")
+    least = rows.join(_components(rows, **parameters), "fp").where("doc_id = component_id")
+    kept = _first(least, ["root"], "__text").select("doc_id", "__text")
+    alike = told.where("doc_id IS NOT NULL").join(kept, ["doc_id", "__text"], "left_semi")
+    return _first(alike, ["doc_id", "__text"], "__text").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
-def _first_of_id():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+def _first(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    return df.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where("__first = 1")

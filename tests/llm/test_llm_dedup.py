@@ -138,6 +138,14 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs_of(spark, [])).count() == 0
 
 
+def test_every_component_keeps_a_row_of_its_own(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [r for i in range(10) for r in ((2 * i + 1, text(2 * i + 1)), (2 * i, text(2 * i)), (2 * i + 1, text(2 * i)))]
+    rows += [(100, text(k)) for k in range(50, 55)] * 2 + [(101, text(50)), (102, None), (102, "")]
+    got = sorted((r.doc_id, r.text or "") for r in simhash.one_of_each(docs_of(spark, rows).repartition(4)).collect())
+    assert got == sorted([(i, text(i)) for i in range(20)] + [(100, text(k)) for k in range(50, 55)] + [(102, "")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(5, 5), (None, 3), (7, 8)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
