@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import bpe, embed_dedup, mixture, perm_index, quality, secret_scan, shard_tree, simhash, suffix_dedup, toxicity
+from . import bpe, embed_dedup, lexical, merkle, mixture, perm_index, quality, secret_scan, shard_tree, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,31 @@ def op10_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = lexical.RANK_SQL
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    bare = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), F.expr(merkle.TAMPERED), bare)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+ORACLES["op12_merkle_manifest"] = merkle.MANIFEST_SQL
+#: Fixed by the query's contract: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op13_url_filter(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+ORACLES["op13_url_filter"] = url_filter.judge_sql(URL_RULES)

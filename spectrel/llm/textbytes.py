@@ -108,10 +108,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of ``[^\\x20\\x09-\\x0D]``; words never cross rows."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes outside ``gaps`` (``[^\\x20\\x09-\\x0D]``); words never cross rows."""
     solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~_SPACE[data]
+    solid[1:-1] = ~gaps[data]
     begins = solid[1:] & ~solid[:-1]
     ends = ~solid[1:] & solid[:-1]
     inner = offsets[1:-1]
