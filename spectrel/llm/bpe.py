@@ -6,7 +6,8 @@ pre-tokenised and encoded on its own. The pre-token pattern looks only ahead, so
 boundary their pre-tokens agree from there on: the stitch takes each chunk up to the first boundary it
 shares with the next one. Only where an overlap holds no shared boundary (a pre-token longer than that)
 are pre-tokens made anew, from the last sure boundary until one of a later chunk is met.
-Decoding concatenates the bytes of the ids.
+Decoding concatenates the bytes of the ids. Pre-tokens not yet known to a worker are merged together: those of
+like length are rows of a matrix, and a round makes one merge in each of them.
 
 Rows: a null text is empty and has no ids. Rows are independent; repeated rows and other columns do not
 matter. Every byte is in the vocabulary, so every text can be encoded.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from bisect import bisect_left
 from itertools import chain
 
@@ -27,12 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import textbytes as tb
 
 CHUNK_CHARS = 1 << 15
 OVERLAP = 256
 AHEAD = 3  # characters after a pre-token that the pattern may look at
-CACHE = 1 << 17  # pre-tokens remembered by a worker
+CACHE = 1 << 18  # pre-tokens in each of the two generations that a worker remembers
+WIDTHS = (6, 8, 10, 12, 16, 24, 40, 64)  # pre-tokens of like length are merged as rows of one matrix
+NONE = np.iinfo(np.int64).max
 
 _MODELS: dict[tuple[str, str], "Model"] = {}
 
@@ -45,7 +48,25 @@ class Model:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = {rank: piece for piece, rank in self.ranks.items()}
         self.find = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # Every way to put a token together from two others, as (left id, right id) -> rank.
+        ranks, pairs = self.ranks, {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's token; ``NONE`` where there is none, or where ``right`` is -1."""
+        key = np.where(right >= 0, left << 32 | right, -1)
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of least rank is merged, leftmost first, until none is left."""
@@ -75,17 +96,86 @@ class Model:
             i = end[i]
         return out
 
-    def encode(self, pretokens: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token; the cache holds ``CACHE`` of them and those of one call."""
-        cache, new = self.cache, set(pretokens).difference(self.cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = set(pretokens)
-        cache.update((p, tuple(self.merged(p.encode()))) for p in new)
-        return [cache[p] for p in pretokens]
+    def merged_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids of many pre-tokens of at most ``width`` bytes: a merge a row and round, the row of each as :meth:`merged`."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        held = np.arange(width) < size[:, None]
+        ids = np.full((len(pieces), width), -1, np.int64)
+        ids[held] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        pair = self.pair_rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
+        number, out = np.arange(len(pieces)), [b""] * len(pieces)
+
+        def leave(rows: np.ndarray) -> None:
+            left = ids[rows]
+            flat = left[left >= 0].astype("<u4").tobytes()
+            ends = (4 * np.cumsum((left >= 0).sum(1))).tolist()
+            for i, a, b in zip(number[rows].tolist(), [0, *ends], ends):
+                out[i] = flat[a:b]
+
+        while len(number):
+            if not pair.shape[1]:
+                leave(np.arange(len(number)))
+                break
+            at = pair.argmin(1)
+            rank = pair[np.arange(len(number)), at]
+            done = rank == NONE
+            if done.any():
+                leave(np.flatnonzero(done))
+                ids, pair, number, at, rank = ids[~done], pair[~done], number[~done], at[~done], rank[~done]
+                if not len(number):
+                    break
+            n, row = len(number), np.arange(len(number))
+            stays = np.ones(ids.shape, bool)
+            stays[row, at + 1] = False
+            ids = ids[stays].reshape(n, -1)
+            ids[row, at] = rank
+            pair = pair[stays[:, 1:]].reshape(n, -1)
+            after = np.flatnonzero(at < pair.shape[1])
+            pair[after, at[after]] = self.pair_rank(rank[after], ids[after, at[after] + 1])
+            ahead = np.flatnonzero(at > 0)
+            pair[ahead, at[ahead] - 1] = self.pair_rank(ids[ahead, at[ahead] - 1], rank[ahead])
+        return out
+
+    def merged_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens as little-endian 32-bit integers; those over the last width one by one."""
+        out: list[bytes] = [b""] * len(pieces)
+        by: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if piece in self.ranks:
+                out[i] = self.ranks[piece].to_bytes(4, "little")
+            else:
+                by.setdefault(bisect_left(WIDTHS, len(piece)), []).append(i)
+        for w, chosen in by.items():
+            if w < len(WIDTHS):
+                found = self.merged_rows([pieces[i] for i in chosen], WIDTHS[w])
+            else:
+                found = [_packed(self.merged(pieces[i])) for i in chosen]
+            for i, ids in zip(chosen, found):
+                out[i] = ids
+        return out
+
+    def known(self, pretokens) -> dict[str, bytes]:
+        """Ids of at least these pre-tokens, in bytes; two generations of ``CACHE`` and those of one call are remembered."""
+        wanted = set(pretokens)
+        missing = wanted.difference(self.young)
+        if missing and len(self.young) + len(missing) > CACHE:
+            self.old, self.young, missing = self.young, {}, wanted
+        if missing:
+            self.young.update((p, self.old[p]) for p in missing if p in self.old)
+            new = [p for p in missing if p not in self.old]
+            self.young.update(zip(new, self.merged_all([p.encode() for p in new])))
+        return self.young
+
+    def encode(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token, in bytes."""
+        return list(map(self.known(pretokens).__getitem__, pretokens))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def model(path: str, pattern: str) -> Model:
@@ -95,11 +185,7 @@ def model(path: str, pattern: str) -> Model:
     return _MODELS[path, pattern]
 
 
-def _flat(ids: list[tuple[int, ...]]) -> array:
-    return array("I", chain.from_iterable(ids))
-
-
-def chunk_tokens(m: Model, text: str, base: int, last: bool) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+def chunk_tokens(m: Model, text: str, base: int, last: bool) -> tuple[np.ndarray, list[bytes]]:
     """Boundaries (in the whole text) and ids of the pre-tokens that a chunk's cut end cannot have changed."""
     tokens = m.find.findall(text)
     at = np.append(0, np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))))
@@ -109,7 +195,7 @@ def chunk_tokens(m: Model, text: str, base: int, last: bool) -> tuple[np.ndarray
     return at + base, m.encode(tokens)
 
 
-def stitch(m: Model, text: str, chunks: list[tuple[list[int], list[tuple[int, ...]]]]) -> list[tuple[int, ...]]:
+def stitch(m: Model, text: str, chunks: list[tuple[list[int], list[bytes]]]) -> list[bytes]:
     """Ids of the pre-tokens of ``text`` from what its chunks found."""
     out, at = [], 0
 
@@ -148,11 +234,11 @@ def _whole(path, pattern):
     def run(batches):
         m = model(path, pattern)
         for batch in batches:
-            ids = [_flat(m.encode(m.find.findall(t or ""))) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({
-                "doc_id": batch.column(0),
-                "ids": pa.array([np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in ids], pa.binary()),
-                "decoded": pa.array([m.decode(x) for x in ids], pa.binary())})
+            texts = [m.find.findall(t or "") for t in batch.column(1).to_pylist()]
+            known = m.known(chain.from_iterable(texts))
+            ids = [b"".join(map(known.__getitem__, t)) for t in texts]
+            yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()),
+                                   "decoded": pa.array([m.decode(x) for x in ids], pa.binary())})
 
     return run
 
@@ -178,10 +264,10 @@ def _chunked(path, pattern, chars):
         for batch in batches:
             for r in batch.to_pylist():
                 bounds, ids = chunk_tokens(m, r["body"] + r["ahead"], r["no"] * chars, r["last"])
-                counts = np.fromiter(map(len, ids), np.int32, len(ids))
+                counts = np.fromiter(map(len, ids), np.int32, len(ids))  # bytes of ids of each pre-token
                 yield pa.record_batch({
                     "tag": pa.array([r["tag"]], pa.int64()), "doc_id": pa.array([r["doc_id"]], pa.int64()), "no": pa.array([r["no"]], pa.int32()),
-                    "body": [r["body"]], "bounds": [bounds.astype(np.int64).tobytes()], "counts": [counts.tobytes()], "ids": [_flat(ids).tobytes()]})
+                    "body": [r["body"]], "bounds": [bounds.astype(np.int64).tobytes()], "counts": [counts.tobytes()], "ids": [b"".join(ids)]})
 
     return run
 
@@ -191,10 +277,10 @@ def _joined(path, pattern):
         m, chunks = model(path, pattern), []
         rows = sorted(group.to_pylist(), key=lambda r: r["no"])
         for r in rows:
-            ids, ends = array("I", r["ids"]), np.cumsum(np.frombuffer(r["counts"], np.int32)).tolist()
-            chunks.append((np.frombuffer(r["bounds"], np.int64).tolist(), [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]))
-        flat = _flat(stitch(m, "".join(r["body"] for r in rows), chunks))
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "ids": pa.array([np.frombuffer(flat, np.uint32).astype("<u4").tobytes()], pa.binary()),
+            ids, ends = r["ids"], np.cumsum(np.frombuffer(r["counts"], np.int32)).tolist()
+            chunks.append((np.frombuffer(r["bounds"], np.int64).tolist(), [ids[a:b] for a, b in zip([0, *ends], ends)]))
+        flat = b"".join(stitch(m, "".join(r["body"] for r in rows), chunks))
+        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "ids": pa.array([flat], pa.binary()),
                          "decoded": pa.array([m.decode(flat)], pa.binary())})
 
     return run
@@ -208,7 +294,8 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CH
     """
     rows = tb.text_rows(docs, "doc_id")
     long = F.coalesce(F.char_length("text") > chunk_chars, F.lit(False))
-    chunks = rows.where(long).mapInArrow(_cut(chunk_chars, overlap), CHUNK_SCHEMA).repartition("tag", "no")
-    found = chunks.mapInArrow(_chunked(path, pattern, chunk_chars), FOUND_SCHEMA)
+    # Written, so that a task run again cannot number documents anew.
+    chunks = materialise(rows.where(long).mapInArrow(_cut(chunk_chars, overlap), CHUNK_SCHEMA), "chunks")
+    found = chunks.repartition("tag", "no").mapInArrow(_chunked(path, pattern, chunk_chars), FOUND_SCHEMA)
     return rows.where(~long).mapInArrow(_whole(path, pattern), SCHEMA).unionByName(
         found.groupBy("tag").applyInArrow(_joined(path, pattern), SCHEMA))

@@ -190,8 +190,8 @@ def test_pipeline_stage_by_stage(spark):
     text = {r.doc_id: r.text for r in d.collect()}
     model = bpe.Model(corpus_pipeline.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN)
     for r in e.collect():
-        ids_ = np.frombuffer(r.ids, "<u4").tolist()
-        assert len(ids_) == r.n_tokens and model.decode(ids_).decode() == text[r.doc_id]
+        assert len(r.ids) == 4 * r.n_tokens and model.decode(bytes(r.ids)).decode() == text[r.doc_id]
+        assert bytes(r.ids) == b"".join(bpe._packed(model.merged(p.encode())) for p in model.find.findall(text[r.doc_id]))
 
 
 def test_whole_run(spark):

@@ -158,5 +158,14 @@ def test_bpe_query(spark, library):
 def test_cache_may_overflow(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     m = bpe.Model(PATH, public_tokenizers.PATTERN)
+    assert set(m.known(iter(["a", "b"]))) == {"a", "b"} and set(m.known(iter(["c", "d", "a"]))) == {"a", "c", "d"}
     for t in ("one two three four five six", "seven eight one two"):
-        assert list(bpe._flat(m.encode(m.find.findall(t)))) == library.encode_ordinary(t)
+        assert np.frombuffer(b"".join(m.encode(m.find.findall(t))), "<u4").tolist() == library.encode_ordinary(t)
+
+
+def test_rows_merge_as_single_pieces(library):
+    m, rng = bpe.Model(PATH, public_tokenizers.PATTERN), np.random.default_rng(1)
+    alphabet = list("aabcehinorst ") + ["é", "日", "ß", "\n", "1", "'"]
+    pieces = ["".join(rng.choice(alphabet, int(rng.integers(1, 90)))).encode() for _ in range(3_000)] + [b"a" * n for n in range(1, 70)] + [bytes([b]) * 2 for b in range(256)]
+    assert m.merged_all(pieces) == [bpe._packed(m.merged(p)) for p in pieces]
+    assert all(m.decode(i) == p for i, p in zip(m.merged_all(pieces), pieces))
