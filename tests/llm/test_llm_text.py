@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,44 @@ def test_secret_cases(text, want):
     assert [(k, text[a:b]) for k, a, b in secret_scan.spans(text)] == want
 
 
+BLOCK = "-----BEGIN RSA PRIVATE KEY-----\n  MIIEvQIBADANBgkq\n  -----END RSA PRIVATE KEY-----"
+DEEP = BLOCK.replace("\n", "\n    ")
+FORMS = [
+    ('config["password"] = "hunter2_Xy77!"', [("literal", "hunter2_Xy77!")]),
+    ('os.environ["API_TOKEN"] = "zQ9-aa81-Kdd0"', [("literal", "zQ9-aa81-Kdd0")]),
+    ("define('DB_PASSWORD', 'zQ9!aa81Kdd0');", [("literal", "zQ9!aa81Kdd0")]),
+    ("setenv(\n  'API_KEY',\n  'zQ9!aa81' + 'Kdd0')", [("literal", "zQ9!aa81"), ("literal", "Kdd0")]),
+    ("<db><password kind='x'> zQ9!aa81Kdd0 </password><user>Some1User!</user></db>", [("literal", "zQ9!aa81Kdd0")]),
+    (f"a: 1\nprivate_key: |\n  {BLOCK}\nnext: plain\n", [("literal", BLOCK)]),
+    (f"list:\n  - private_key: >-\n\n      {DEEP}\n  - x: y\n", [("literal", DEEP)]),
+    (f'private_key = """\n{BLOCK}\n"""\nx = 1', [("literal", f"\n{BLOCK}\n")]),
+    (f"private_key = <<-EOF\n  {BLOCK}\n  EOF\nx = 1", [("literal", f"  {BLOCK}")]),
+    ('let auth_key: &str = "zQ9-aa81-Kdd0";', [("literal", "zQ9-aa81-Kdd0")]),
+    ("const authKey: Option<&'static str> = x; let api_key: &'static str = \"zQ9-aa81-Kdd0\";", [("literal", "zQ9-aa81-Kdd0")]),
+    ('secret_key = (\n    "zQ9-aa81"\n    "-Kdd0"\n)\n', [("literal", "zQ9-aa81"), ("literal", "-Kdd0")]),
+    ('secret_key = "zQ9-aa81" + \\\n    "-Kdd0"\n', [("literal", "zQ9-aa81"), ("literal", "-Kdd0")]),
+    ('B = "zQ9-aa81-"\nC = B + "Kdd0"\nauth_token = C\n', [("constant", "zQ9-aa81-"), ("constant", "Kdd0")]),
+    ('B = "zQ9-aa81-"\nsigning_key = "Kdd0" + B\n', [("constant", "zQ9-aa81-"), ("literal", "Kdd0")]),
+    ('B=zQ9-aa81-Kdd0\nexport DB_PASSWORD=$B\n', [("constant", "zQ9-aa81-Kdd0")]),
+    ('a = a + b\nb = b + a\npasswd_ = a + b + "x"', []),
+    ('key: |\nprivate_key: <<EOF\nno end', []), ('password = """never closed', []), ("<password><b>x</b></password>", []),
+]
+
+
+@pytest.mark.parametrize("text,want", FORMS)
+def test_secret_forms(text, want):
+    assert [(k, text[a:b]) for k, a, b in secret_scan.spans(text) if k in ("literal", "constant")] == want
+
+
+@pytest.mark.parametrize("text", [
+    'password = "ab12cd34EF"' + " " * 1_000_000, "a=b;" * 250_000, 'x = "a"' + " +" * 500_000, "p" + " " * 1_000_000 + "q", 'secret_key = ("ab12cd34EF"' + "\n" * 1_000_000,
+    "x=<<E\n" * 100_000, 'a="""' * 150_000, "<password>" * 100_000, "k: |\n" * 200_000, "(" * 500_000, "a: b " * 200_000, "- " * 500_000 + "a=b", "x: &'a " * 140_000])
+def test_long_texts_are_scanned_in_linear_time(text):
+    start = time.time()
+    secret_scan.spans(text)
+    assert time.time() - start < 8, text[:20]  # a second or two on a free core
+
+
 PEM = r"-----BEGIN RSA PRIVATE KEY-----\nMIIEvQIBADANBgkq\n-----END RSA PRIVATE KEY-----\n"
 SPACED_PEM = "-----BEGIN PRIVATE KEY----- MIIEvQIBADANBgkq -----END PRIVATE KEY-----"
 CONNECTION = "Server=tcp:db one.example,1433;Database=main store;User Id=app user;Pwd=hunter2_Xy77"
