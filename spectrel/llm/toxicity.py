@@ -12,8 +12,8 @@ logistic model, fitted on sampled texts that no dictionary was trained on and we
 of each class, turns them into a probability.
 
 Rows: a null text is empty; an empty text has no windows and is scored like any other. Null labels and
-labels other than 0 and 1 are not learned from. With no toxic or no ordinary text to learn from, every
-score is the share of the class there is (0.5 without any labels). Other columns are no input.
+labels other than 0 and 1 are not learned from. With no toxic or no ordinary text to learn from, also where
+copies that count once leave none, every score is the share of label 1 (0.5 without any labels). Other columns are no input.
 """
 
 from __future__ import annotations
@@ -175,6 +175,12 @@ def dictionaries(pieces: DataFrame, toxic: int, ordinary: int, least: int = 3, z
     return Model(base + ending + end, base + other + end, base[-60:])
 
 
+def constant(counts: dict[int, int]) -> Model:
+    """Every score is the share of label 1."""
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    return Model(b"a" * 64, b"a" * 64, b"a" * 60, bias=float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     """Learn from about ``sample`` labelled texts of each class (all, if fewer), none of them held out.
 
@@ -182,12 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     dictionaries, one third calibrates.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+    known = known.distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
-        share = 0.5 if not counts else float(max(counts))
-        return Model(b"a" * 64, b"a" * 64, b"a" * 60, bias=float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
-    chosen = sampled(known.where("label = 0"), counts[0], sample, 3).unionByName(sampled(known.where("label = 1"), counts[1], sample, 3)).limit(3 * sample)
-    # At most 3 x sample rows of 12 bytes are broadcast (2 x sample are expected).
+        return constant(counts)
+    chosen = sampled(known.where("label = 0"), counts[0], sample, 3).unionByName(sampled(known.where("label = 1"), counts[1], sample, 3))
+    # About 2 x sample rows of 12 bytes are broadcast: an id is there once a label, and goes by its hash.
     rows = tb.text_rows(docs, "doc_id").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(3)))
     rows = materialise(rows.select("doc_id", "label", "part", "text").mapInArrow(
         _with_sketches, "doc_id long, label int, part long, text string, m1 long, m2 long"), "sample")
@@ -198,14 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     train = rows.where("part > 0")
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        return fit(docs, labels.limit(0))
+        return constant(counts)
     pieces = train.select("label", "text").mapInArrow(_pieces, "piece binary, toxic long, ordinary long").groupBy("piece").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     model = dictionaries(materialise(pieces.where("toxic + ordinary >= 3"), "pieces"), sizes[1], sizes[0])
     measured = rows.where("part = 0").select("label", "text").mapInArrow(_measured(model), "label int, x array<double>").collect()
     x, y = np.array([r["x"] for r in measured]).reshape(-1, LEVELS + 1), np.array([r["label"] for r in measured])
     if len(set(y.tolist())) < 2:
-        return fit(docs, labels.limit(0))
+        return constant(counts)
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.weights, model.bias = _logistic((x - model.mean) / model.scale, y, weight / weight.sum())

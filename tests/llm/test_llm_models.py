@@ -23,12 +23,12 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def scored(spark, name, label, threshold):
-    got = queries.QUERIES[name](spark, SF).collect()
-    docs = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+def scored(spark, name, label, threshold, sf=SF):
+    got = queries.QUERIES[name](spark, sf).collect()
+    docs = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
     assert sorted(r.doc_id for r in got) == sorted(docs)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= threshold) and r.held_out == held(r.doc_id) for r in got)
-    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     pairs = np.array([(truth[r.doc_id], r.score, r.predicted) for r in got if r.held_out and r.doc_id in truth])
     return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
@@ -40,8 +40,20 @@ def test_quality_is_learned(spark):
 
 
 def test_toxicity_is_learned(spark):
-    y, s, p = scored(spark, "op10_toxicity", "toxic", 0.5)
-    assert auc(y, s) > 0.7 and (p == y).mean() > 0.9
+    y, s, p = scored(spark, "op10_toxicity", "toxic", 0.5, "/root/testdata/sf0.1")
+    print('held out:', auc(y, s), (p == y).mean(), p[y == 1].mean())
+    assert auc(y, s) > 0.9 and (p == y).mean() > 0.93 and p[y == 0].mean() < 0.01  # 352 toxic texts to learn from
+
+
+def test_one_class_left_gives_its_share(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["plain", "words", "of", "a", "text", "here", "now"], 30)) + f" {i}") for i in range(200)]
+    rows += [(1_000 + i, "very toxic words that stand twice and are copies of each other in all") for i in range(2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i >= 1_000)) for i, _ in rows] * 2, "doc_id long, toxic int")
+    got = toxicity.score(d, toxicity.fit(d, known)).collect()
+    kept = [i for i, _ in rows if not held(i)]
+    assert all(abs(r.score - sum(i >= 1_000 for i in kept) / len(kept)) < 1e-6 for r in got)
 
 
 @pytest.mark.parametrize("rows,labels,share", [
@@ -90,7 +102,11 @@ def exact(ids, x, q, k):
 
 
 def test_recall_against_brute_force(spark):
-    d = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 6000")
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(60, 32))
+    x = centre[rng.integers(0, 60, 6_000)] + rng.normal(scale=0.6, size=(6_000, 32))
+    x[:400] = x[0] + rng.normal(scale=0.02, size=(400, 32))  # a crowd of near copies
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
     rows = d.orderBy("vec_id").collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
     got = perm_index.search(d, d.where("vec_id % 20 = 0")).collect()
