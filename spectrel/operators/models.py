@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from .. import schema
 from ..functions import features as FX
 from ..functions import kernels
 from ..functions import vectors as V
+from .forest import Forest, fit_forest
 
 
 def baseline_features(df: DataFrame, mode: str = "full", include_swir: bool = False, out: str = "features") -> DataFrame:
@@ -180,60 +179,40 @@ def fit_pls(m: Moments, n_components: int = 8, standardise: bool = True) -> PlsM
 # ---------------------------------------------------------------- the baseline pair
 
 
-def standardise_kernel(mean: np.ndarray, std: np.ndarray):
-    return kernels.array_kernel(lambda m: (m - mean) / std, len(mean))
-
-
 @dataclass
 class BaselineModel:
     """Forest and regression over the same features; a :class:`~spectrel.operators.scoring.Scorer`."""
 
-    forest: RandomForestClassificationModel
+    forest: Forest
     pls: PlsModel
-    mean: np.ndarray
-    std: np.ndarray
     features: str = "features"
 
-    def _vector(self):
-        # Standardised as in training; a forest splits the same either way, but saved models
-        # then carry their own scaling.
-        return array_to_vector(standardise_kernel(self.mean, self.std)(F.col(self.features)))
-
     def score(self, df: DataFrame) -> DataFrame:
-        scored = self.forest.transform(df.withColumn("_x", self._vector()))
-        scored = scored.withColumn("probabilities", vector_to_array("_p")).drop("_x", "_p", "_r", "_c")
-        return self.pls.predict(scored, self.features, "ilmenite_fraction")
+        return self.pls.predict(self.forest.score(df, self.features), self.features, "ilmenite_fraction")
 
     def save(self, path: str) -> None:
-        """Forest in MLlib's format, the vectors as one parquet row next to it."""
-        self.forest.write().overwrite().save(f"{path}/forest")
+        """The forest's tables, and the regression as one parquet row next to them."""
+        self.forest.save(f"{path}/forest")
         SparkSession.active().createDataFrame(
-            [(self.mean.tolist(), self.std.tolist(), self.pls.coefficients.tolist(), self.pls.intercept, self.features)],
-            "mean array<double>, std array<double>, coefficients array<double>, intercept double, features string",
+            [(self.pls.coefficients.tolist(), self.pls.intercept, self.features)],
+            "coefficients array<double>, intercept double, features string",
         ).write.mode("overwrite").parquet(f"{path}/linear")
 
     @classmethod
     def load(cls, spark, path: str) -> BaselineModel:
         row = spark.read.parquet(f"{path}/linear").first()
-        return cls(RandomForestClassificationModel.load(f"{path}/forest"),
-                   PlsModel(np.array(row["coefficients"]), row["intercept"]),
-                   np.array(row["mean"]), np.array(row["std"]), row["features"])
+        return cls(Forest.load(spark, f"{path}/forest"), PlsModel(np.array(row["coefficients"]), row["intercept"]), row["features"])
 
 
 def fit_baseline(train: DataFrame, width: int, n_components: int = 8, n_trees: int = 200, seed: int = 0,
                  features: str = "features", label: str = "class_index", target: str = "ilmenite_fraction",
-                 max_depth: int = 30, max_bins: int = 64) -> BaselineModel:
-    """Fit both models. One pass gathers the moments; the forest makes its own passes.
+                 max_bins: int = 64, key: str | None = None) -> BaselineModel:
+    """Fit both models: one pass gathers the moments, the forest makes its own (:func:`~spectrel.operators.forest.fit_forest`).
 
-    Trees grow until their leaves are pure, to MLlib's bound of 30 levels unless ``max_depth`` says
-    less; ``max_bins`` are the split candidates of a feature. Null labels fail the job.
+    Trees grow until their leaves are pure; ``max_bins`` are the split candidates of a feature. A split
+    compares one feature with itself, so the forest needs no standardising. Null labels fail the job.
     """
-    rows = train.select(features, F.coalesce(F.col(label).cast("double"), F.raise_error(F.lit("null label")).cast("double")).alias("_y"), F.col(target).alias("target"))
+    rows = train.select(features, label, F.col(target).alias("target"), *([key] if key else []))
     m = moments(rows, width, features, "target")
-    mean, std = m.mean[:-1], m.std[:-1]
-    data = rows.select(array_to_vector(standardise_kernel(mean, std)(F.col(features))).alias("_x"), "_y")
-    forest = RandomForestClassifier(
-        numTrees=n_trees, featureSubsetStrategy="sqrt", seed=seed, featuresCol="_x", labelCol="_y",
-        probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", maxDepth=max_depth, maxBins=max_bins,
-        cacheNodeIds=False, subsamplingRate=1.0).fit(data)
-    return BaselineModel(forest, fit_pls(m, n_components), mean, std, features)
+    forest = fit_forest(rows, width, n_trees=n_trees, seed=seed, features=features, label=label, key=key, max_bins=max_bins)
+    return BaselineModel(forest, fit_pls(m, n_components), features)

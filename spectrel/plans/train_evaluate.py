@@ -23,7 +23,7 @@ class Run:
 
 
 def train(measurements: DataFrame, mode: str = "full", val_frac: float = 0.15, test_frac: float = 0.15,
-          seed: int = 0, n_components: int = 8, n_trees: int = 200, max_depth: int = 30) -> Run:
+          seed: int = 0, n_components: int = 8, n_trees: int = 200) -> Run:
     """Split by sample, fit on train, score every row, metrics per split.
 
     Fails when a sample has two classes (it could land in two splits), when a feature vector has
@@ -39,7 +39,7 @@ def train(measurements: DataFrame, mode: str = "full", val_frac: float = 0.15, t
         schema.class_index().alias("class_index"))
     features = materialise(features, "features")
     width = M.baseline_width(mode)
-    model = M.fit_baseline(features.where("split = 'train'"), width, n_components, n_trees, seed, max_depth=max_depth)
+    model = M.fit_baseline(features.where("split = 'train'"), width, n_components, n_trees, seed, key="measurement_id")
     truth = features.withColumnsRenamed({"class_index": "class_true", "ilmenite_fraction": "value_true"})
     scored = scoring.score(truth, model).select(
         "measurement_id", "sample_id", "split", "class_true", F.col("class_index").alias("class_pred"),
