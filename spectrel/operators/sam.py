@@ -5,16 +5,26 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import kernels
 from ..functions import vectors as V
-from ..session import bounded_rows
+from ..session import bounded_rows, materialise
 from .channels import channel_aggregate
 
-#: Reference spectra sent to every task; larger libraries are tiled.
+#: Reference spectra sent to every task; larger libraries are cut into tiles.
 MAX_REFERENCES = 2_048
+PIVOTS, TILE, MAX_TILES = 16, 256, 1 << 16
+PIVOT_SAMPLE = 4_096  # references among which pivots are chosen
+BINS = 4_096  # of the angle to the own pivot
+VISITS = 8_192  # spectra that meet a tile in one task
+SLACK = 1e-6  # over the error of an angle, which is largest near zero
 SHARPNESS = 5.0
 
 # Fixed value: which class each pure end-member stands for.
@@ -63,13 +73,13 @@ def sam_classify(df: DataFrame, refs: DataFrame, spec: str = "spec", name: str =
                  order: list | None = None) -> DataFrame:
     """Add ``angles, probabilities, sam_class, sam_index, angle_rad, angle_deg``.
 
-    References are taken in ``order`` (else sorted by name); index 0 wins ties. Up to
-    :data:`MAX_REFERENCES` of them become one matrix in a batched kernel. For larger libraries
-    use :func:`sam_nearest_tiled`.
+    References are taken in ``order`` (else sorted by name); index 0 wins ties. Every row carries the
+    angles to all of them, so their number is bounded by :data:`MAX_REFERENCES`; :func:`sam_nearest` finds
+    the nearest one in a library of any size.
     """
     rows = bounded_rows(refs.select(name, spec), MAX_REFERENCES)
     if rows is None:
-        raise ValueError(f"more than {MAX_REFERENCES} references: use sam_nearest_tiled")
+        raise ValueError(f"more than {MAX_REFERENCES} references in one row of angles: use sam_nearest")
     table = {r[0]: r[1] for r in rows}
     if len(table) != len(rows):
         raise ValueError("reference names repeat")
@@ -89,30 +99,162 @@ def sam_classify(df: DataFrame, refs: DataFrame, spec: str = "spec", name: str =
     })
 
 
-def sam_nearest_tiled(df: DataFrame, refs: DataFrame, key: str, spec: str = "spec",
-                      name: str = "class_name", tile: int = 256, salts: int = 64) -> DataFrame:
-    """Nearest reference of a library too large to send to every task.
+def sam_nearest(df: DataFrame, refs: DataFrame, key: str, spec: str = "spec", name: str = "class_name",
+                few: int = MAX_REFERENCES, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
+    """(key, sam_class, angle_rad), a row per spectrum: its nearest reference of a library of any size, exactly.
 
-    The library is cut into tiles of about ``tile`` spectra; each spectrum meets each tile once
-    and keeps only that tile's best, so what is shuffled is (spectra x tiles), never all
-    pairs. Spectra are salted within a tile so that few tiles still use many tasks. Ties go to
-    the smaller name.
+    Up to ``few`` references become one matrix. A larger library is cut into tiles: angles obey the
+    triangle inequality, so the angles of a tile's references to a few pivots bound their angles to any
+    spectrum. Each spectrum first visits the most promising tile, then only those that may
+    hold a nearer reference; visits are dealt out by tile, crowded tiles in parts of at most :data:`VISITS`.
+    Angles alike to twelve digits are ties and go to the smaller name. A zero spectrum or reference is at
+    right angles to everything; a null spectrum has no class; null or empty references are left out.
     """
-    tiles = max(1, math.ceil(refs.count() / tile))
-    library = (
-        refs.select(F.pmod(F.xxhash64(F.col(name), F.col(spec)), F.lit(tiles)).alias("tile"),
-                    F.struct(F.col(name).alias("n"), F.col(spec).alias("s")).alias("r"))
-        .groupBy("tile").agg(F.collect_list("r").alias("refs"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    spread = df.select(
-        key, F.col(spec).alias("_s"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("tile"))
-    hits = F.transform(F.col("refs"), lambda r: F.struct(
-        angle(F.col("_s"), r["s"]).alias("angle_rad"), r["n"].alias("sam_class")))
-    return (
-        spread.join(library, ["tile", "salt"])
-        .select(key, F.array_min(hits).alias("_hit"))
-        .groupBy(key).agg(F.min("_hit").alias("_hit"))
-        .select(key, "_hit.sam_class", "_hit.angle_rad")
-    )
+    spark = df.sparkSession
+    rows = df.select(key, F.col(spec).cast("array<double>").alias("_s"))
+    # Of equal spectra only the smallest name can win.
+    known = refs.where(F.size(spec) > 0).groupBy(F.col(spec).cast("array<double>").alias("_r")).agg(F.min(name).alias("_n"))
+    known = materialise(known, "references")
+    kind = known.schema["_n"].dataType
+    found = bounded_rows(known, few)
+    width_ = known.select(F.max(F.size("_r")).alias("w"), F.min(F.size("_r")).alias("least")).first()
+    if width_["w"] is None:
+        raise ValueError("no references")
+    if width_["w"] != width_["least"]:
+        raise ValueError("references differ in width")
+    width = width_["w"]
+    if found is not None:
+        found = sorted(found, key=lambda r: r["_n"])
+        angles = angle_kernel(np.array([r["_r"] for r in found], float))(F.col("_s"))
+        rows = rows.withColumn("_a", angles).withColumn("_a", F.transform("_a", lambda x: F.round(x, 12)))
+        named = F.when(F.col("_a").isNotNull(), F.get(F.lit([r["_n"] for r in found]), V.argmin(F.col("_a"))))
+        return rows.select(key, named.cast(kind).alias("sam_class"), F.array_min("_a").alias("angle_rad"))
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "spectra")
+    good = rows.where((F.size("_s") == width) & F.forall("_s", lambda x: x.isNotNull()))
+    library, bounds, centres = _tiles(known, width, pivots, tile)
+    shared = spark.sparkContext.broadcast((centres, bounds))
+    first = _visit(good.mapInArrow(_to_tiles(shared, width, False), f"{_VISIT}"), library, width, kind)
+    first = materialise(first, "first-visits")
+    again = good.join(first.select("_row", "_tile", "_angle"), "_row").select("_row", "_s", "_tile", "_angle")
+    more = _visit(again.mapInArrow(_to_tiles(shared, width, True), f"{_VISIT}"), library, width, kind)
+    best = first.unionByName(more).groupBy("_row").agg(F.min(F.struct("_angle", "_name")).alias("_b"))
+    return rows.join(best, "_row", "left").select(key, F.col("_b._name").alias("sam_class"), F.col("_b._angle").alias("angle_rad"))
+
+
+_VISIT = "_row long, _tile int, _s array<double>"
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def far_points(m: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` unit vectors of ``m``, each as far as can be from those before."""
+    units = _unit(m[np.linalg.norm(m, axis=1) >= 1e-12])
+    if not len(units):
+        return np.eye(1, m.shape[1])
+    chosen, nearest = [0], _angles(units, units[:1])[:, 0]
+    while len(chosen) < count and nearest.max() > 1e-6:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _angles(units, units[chosen[-1:]])[:, 0])
+    return units[chosen]
+
+
+def _tiles(known: DataFrame, width: int, pivots: int, tile: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The library by tile, the least and largest angle of every tile to every pivot, and the pivots.
+
+    A tile holds neighbours of one pivot at like angles; their number is bounded by :data:`MAX_TILES`, so
+    the bounds that go to every task are, too.
+    """
+    spark, count = known.sparkSession, known.count()
+    tile = max(tile, math.ceil(count / MAX_TILES))
+    share = F.pmod(F.xxhash64("_r"), F.lit(1 << 32)) < math.ceil(min(1.0, PIVOT_SAMPLE / count) * (1 << 32))
+    sample, _ = kernels.to_matrix(known.where(share).select("_r").toArrow().column("_r").combine_chunks(), width)
+    centres = far_points(sample, pivots) if len(sample) else np.eye(pivots, width)
+
+    def place(batches):
+        for batch in batches:
+            m, ok = kernels.to_matrix(batch.column("_r"), width)
+            if not ok.all():
+                raise ValueError("a reference holds nulls")
+            d = _angles(m, centres)
+            d[np.linalg.norm(m, axis=1) < 1e-12] = math.pi / 2
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("_r", "_n")}, "_cell": pa.array(d.argmin(1), pa.int32()),
+                                              "_bin": pa.array((d.min(1) / math.pi * BINS).astype(np.int32)), "_d": pa.array(list(d), pa.list_(pa.float64()))})
+
+    # A reference of norm zero is at right angles to all, whatever the pivots say: it has a tile of its own.
+    placed = materialise(known.mapInArrow(place, T.StructType([*known.select("_r", "_n").schema.fields, *T._parse_datatype_string(
+        "_cell int, _bin int, _d array<double>").fields])), "placed")
+    zero = F.forall("_r", lambda x: x == 0)
+    counts = placed.groupBy("_cell", "_bin").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("_cell").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_cell", "_bin", F.floor(before / tile).alias("_ring"), F.ceil(F.col("c") / tile).alias("_parts"))
+    named = placed.join(counts, ["_cell", "_bin"]).select("_r", "_n", "_d", F.when(zero, F.lit(-1)).otherwise(F.col("_cell")).alias("_cell"), "_ring",
+                                                          F.pmod(F.xxhash64("_r"), F.col("_parts")).alias("_part"))
+    named = materialise(named, "tiles")
+    each = named.groupBy("_cell", "_ring", "_part").agg(
+        *[f(F.col("_d")[j]).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(len(centres))])
+    found = sorted(each.collect(), key=lambda r: (r["_cell"], r["_ring"], r["_part"]))
+    low, high = (np.array([[r[f"{f}{j}"] for j in range(len(centres))] for r in found], float).reshape(len(found), -1) for f in ("min", "max"))
+    for i, r in enumerate(found):
+        if r["_cell"] < 0:
+            low[i], high[i] = 0.0, math.pi  # never ruled out
+    numbers = spark.createDataFrame([(r["_cell"], r["_ring"], r["_part"], i) for i, r in enumerate(found)], "_cell int, _ring long, _part long, _tile int")
+    return materialise(named.join(numbers, ["_cell", "_ring", "_part"]).select("_tile", "_r", "_n"), "library"), (low, high), centres
+
+
+def _to_tiles(shared, width: int, again: bool):
+    """A row per spectrum and tile: the tile of least bound, or, ``again``, all others that can hold a nearer reference."""
+
+    def run(batches):
+        centres, (low, high) = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, max(1, (1 << 21) // low.size)):
+                part = batch.slice(lo, max(1, (1 << 21) // low.size))
+                m, _ = kernels.to_matrix(part.column("_s"), width)
+                d = _angles(m, centres)
+                bound = np.maximum(d[:, None, :] - high, low - d[:, None, :]).max(2)
+                bound[np.linalg.norm(m, axis=1) < 1e-12] = 0.0
+                if again:
+                    go = bound <= part.column("_angle").to_numpy()[:, None] + SLACK
+                    go[np.arange(len(m)), part.column("_tile").to_numpy()] = False
+                else:
+                    go = np.zeros(bound.shape, bool)
+                    go[np.arange(len(m)), bound.argmin(1)] = True
+                row, to = np.nonzero(go)
+                for at in range(0, len(row), VISITS):
+                    r = part.take(pa.array(row[at:at + VISITS]))
+                    yield pa.RecordBatch.from_pydict({"_row": r.column("_row"), "_tile": pa.array(to[at:at + VISITS], pa.int32()), "_s": r.column("_s")})
+
+    return run
+
+
+def _visit(visits: DataFrame, library: DataFrame, width: int, kind) -> DataFrame:
+    """(_row, _tile, _angle, _name): the best of each tile a spectrum visits."""
+    visits = materialise(visits, "visits")
+    parts = visits.groupBy("_tile").agg(F.ceil(F.count("*") / VISITS).alias("_parts"))
+    asked = visits.join(parts, "_tile").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts"))).drop("_parts")
+    offered = library.join(parts, "_tile").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    name = pa.string() if isinstance(kind, T.StringType) else to_arrow_type(kind)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = {"_row": [], "_angle": [], "_name": []}
+        if a.num_rows and b.num_rows:
+            b = b.take(pc.sort_indices(b.column("_n")))
+            m, _ = kernels.to_matrix(a.column("_s").combine_chunks(), width)
+            r, _ = kernels.to_matrix(b.column("_r").combine_chunks(), width)
+            flat = (np.linalg.norm(m, axis=1) < 1e-12)[:, None] | (np.linalg.norm(r, axis=1) < 1e-12)[None]
+            step = max(1, (1 << 22) // len(r))
+            for lo in range(0, len(m), step):
+                d = np.where(flat[lo:lo + step], math.pi / 2, _angles(m[lo:lo + step], r)).round(12)
+                at = d.argmin(1)
+                out["_row"].append(a.column("_row").to_numpy()[lo:lo + step])
+                out["_angle"].append(d[np.arange(len(d)), at])
+                out["_name"].append(at)
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        names = b.column("_n").take(pa.array(join(out["_name"], np.int64))).cast(name) if b.num_rows else pa.array([], name)
+        tile = pa.array(np.full(len(names), a.column("_tile")[0].as_py() if a.num_rows else 0), pa.int32())
+        return pa.table({"_row": pa.array(join(out["_row"], np.int64), pa.int64()), "_tile": tile, "_angle": pa.array(join(out["_angle"], float)), "_name": names})
+
+    schema = T.StructType([*T._parse_datatype_string("_row long, _tile int, _angle double").fields, T.StructField("_name", kind)])
+    return asked.groupBy("_tile", "_part").cogroup(offered.groupBy("_tile", "_part")).applyInArrow(best, schema)

@@ -84,10 +84,26 @@ def sam_with_mixed_reference(spark, sf):
 def sam_tiled_library(spark, sf):
     s = I.spectra(spark, sf)
     refs = channels.class_means(s, "label", "spec")
-    out = sam.sam_nearest_tiled(s, refs, "vec_id", name="label", tile=3, salts=8)
+    out = sam.sam_nearest(s, refs, "vec_id", name="label", few=0, pivots=4, tile=3)
     return out.withColumn("angle_rad", I.rounded("angle_rad"))
 
 
+TURNS = 20
+
+
+@query("J1", sql=f"""WITH {SPECTRA}, r AS (SELECT vec_id * 32 + k AS name, list_concat(spec[k + 1:], spec[:k]) AS ref, sqrt(list_dot_product(spec, spec)) AS rn
+  FROM s, range(1, {TURNS + 1}) AS t(k)),
+a AS (SELECT vec_id, name, list_dot_product(spec, ref) / (rn * sqrt(list_dot_product(spec, spec))) AS c FROM s CROSS JOIN r)
+SELECT vec_id, arg_min(name, (-round(c, 13), name)) AS sam_class, {rd('acos(greatest(-1.0, least(1.0, max(c))))')} AS angle_rad FROM a GROUP BY vec_id""")
+def sam_nearest_of_many(spark, sf):
+    """Nearest of twenty turns of every vector: a library of twenty times the table, too large to go to every task."""
+    s = I.spectra(spark, sf)
+    turned = s.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(TURNS))).alias("k"), "spec").select(
+        (F.col("vec_id") * 32 + F.col("k")).alias("name"),
+        F.concat(F.slice("spec", F.col("k") + 1, F.size("spec") - F.col("k")), F.slice("spec", F.lit(1), F.col("k"))).alias("spec"))
+    return sam.sam_nearest(s, turned, "vec_id", name="name").withColumn("angle_rad", I.rounded("angle_rad"))
+
+
 # ---------------------------------------------------------------- smoothing and hulls
 
 # Discrete orthogonal polynomials on eleven points give the fit at any window position.

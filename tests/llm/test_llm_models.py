@@ -42,7 +42,7 @@ def test_quality_is_learned(spark):
 def test_toxicity_is_learned(spark):
     y, s, p = scored(spark, "op10_toxicity", "toxic", 0.5, "/root/testdata/sf0.1")
     print('held out:', auc(y, s), (p == y).mean(), p[y == 1].mean())
-    assert auc(y, s) > 0.9 and (p == y).mean() > 0.93 and p[y == 0].mean() < 0.01  # 352 toxic texts to learn from
+    assert auc(y, s) > 0.9 and (p == y).mean() > 0.93 and p[y == 0].mean() < 0.02  # 352 toxic texts to learn from
 
 
 def test_one_class_left_gives_its_share(spark):

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spectrel import schema
 from spectrel.operators import channels, library, mixing, sam
@@ -8,7 +10,9 @@ GRID = schema.SPEC_GRID
 
 
 def spectra(spark, rows, name="id"):
-    return spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], f"{name} string, spec array<double>").repartition(3)
+    rows = [(k, None if v is None else [float(x) for x in v]) for k, v in rows]
+    kind = "long" if isinstance(rows[0][0], int) else "string"
+    return spark.createDataFrame(rows, f"{name} {kind}, spec array<double>").repartition(3)
 
 
 def test_angle_invariances(spark):
@@ -26,8 +30,8 @@ def test_classifier_matches_a_loop(spark):
     rows = {str(i): rng.uniform(size=20) for i in range(40)}
     rows["zero"] = np.zeros(20)
     out = sam.sam_classify(spectra(spark, rows.items()), spectra(spark, refs.items(), "class_name"))
-    tiled = {r["id"]: r for r in sam.sam_nearest_tiled(
-        spectra(spark, rows.items()), spectra(spark, refs.items(), "class_name"), "id", tile=2, salts=4).collect()}
+    tiled = {r["id"]: r for r in sam.sam_nearest(
+        spectra(spark, rows.items()), spectra(spark, refs.items(), "class_name"), "id", few=0, pivots=3, tile=2).collect()}
     for r in out.collect():
         s = rows[r["id"]]
         if r["id"] == "zero":
@@ -40,6 +44,54 @@ def test_classifier_matches_a_loop(spark):
         assert tiled[r["id"]]["sam_class"] == r["sam_class"] and np.isclose(tiled[r["id"]]["angle_rad"], a.min())
 
 
+def plain_nearest(rows, refs):
+    names, m = list(refs), np.array(list(refs.values()), float)
+    out = []
+    for i, s in rows:
+        scale = np.linalg.norm(m, axis=1) * np.linalg.norm(s)
+        d = np.where(scale < 1e-12, np.pi / 2, np.arccos(np.clip(m @ s / np.maximum(scale, 1e-300), -1, 1))).round(10)
+        out.append((i, min(n for n, x in zip(names, d) if x == d.min()), d.min()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few,pivots,tile,visits", [(0, 16, 64, 8_192), (0, 1, 7, 100), (0, 40, 1, 8_192), (10_000, 16, 256, 8_192)])
+def test_nearest_in_a_library_of_any_size(spark, monkeypatch, few, pivots, tile, visits):
+    monkeypatch.setattr(sam, "VISITS", visits)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(25, 8))
+    refs = {f"r{i:04}": centre[i % 25] + rng.normal(scale=.1, size=8) for i in range(900)}
+    refs |= {f"copy{i}": refs["r0003"] for i in range(300)} | {f"long{i}": refs["r0005"] * (i + 2) for i in range(50)} | {"zero": np.zeros(8)}
+    rows = [(i, centre[i % 25] + rng.normal(scale=.2, size=8)) for i in range(400)] + [(1_000, np.zeros(8)), (1_001, refs["r0003"]), (1_001, -refs["r0007"])]
+    rows += [(2_000 + i, centre[1]) for i in range(300)]
+    got = sam.sam_nearest(spectra(spark, [*rows, (9_000, None), (9_001, [1.0])]), spectra(spark, [*refs.items(), ("empty", []), ("none", None)], "class_name"),
+                          "id", few=few, pivots=pivots, tile=tile).collect()
+    got = sorted((r["id"], r["sam_class"], r["angle_rad"]) for r in got if r["id"] < 9_000 or r["sam_class"] is not None or r["angle_rad"] is not None)
+    want = plain_nearest(rows, refs)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        same = a[1] == b[1] or {a[1][:4], b[1][:4]} == {"r000", "long"}  # multiples differ in the last digits of an angle
+        assert a[0] == b[0] and same and np.isclose(a[2], b[2], atol=3e-8), (a, b)
+
+
+def test_a_spectrum_visits_few_tiles(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(60, 32))
+    refs = [(i, centre[i % 60] + rng.normal(scale=.15, size=32)) for i in range(10_000)]
+    rows = [(i, centre[i % 60] + rng.normal(scale=.15, size=32)) for i in range(1_000)]
+    known = spectra(spark, refs, "class_name").select(F.col("spec").alias("_r"), F.col("class_name").alias("_n"))
+    library_, bounds, centres = sam._tiles(known, 32, sam.PIVOTS, 64)
+    class Shared:
+        value = (centres, bounds)
+    m, r = (np.array([x for _, x in t]) for t in (rows, refs))
+    d = sam._angles(m, r)
+    batch = pa.record_batch({"_row": pa.array(range(1_000), pa.int64()), "_s": pa.array(list(m), pa.list_(pa.float64())), "_angle": d.min(1), "_tile": pa.array(np.zeros(1_000), pa.int32())})
+    visits = sum(b.num_rows for b in sam._to_tiles(Shared, 32, True)(iter([batch])))
+    assert len(bounds[0]) > 100 and visits < 0.5 * 1_000 * len(bounds[0]), (visits, len(bounds[0]))
+    print("visited", visits / 1_000 / len(bounds[0]))
+    got = {x["id"]: x["sam_class"] for x in sam.sam_nearest(spectra(spark, rows), spectra(spark, refs, "class_name"), "id", tile=64).collect()}
+    assert [got[i] for i in range(1_000)] == d.argmin(1).tolist()
+
+
 def test_class_order_must_fit_the_references(spark):
     refs = spectra(spark, [("a", [1, 2]), ("b", [2, 1])], "class_name")
     with pytest.raises(ValueError):
