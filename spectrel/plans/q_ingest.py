@@ -15,7 +15,7 @@ from ..sources import measurements as SM
 from ..sources import stores
 from ..streaming import ingest
 from . import inputs as I
-from .inputs import EVENTS, fr, rd
+from .inputs import EVENTS, SHOTS, fr, rd
 from .q_evaluation import FUSED_MEAN_SQL
 from .registry import query
 
@@ -140,7 +140,7 @@ def stored_report(spark, sf):
 # ---------------------------------------------------------------- wire frames
 
 
-def wire_lines(e: DataFrame) -> DataFrame:
+def wire_lines(e: DataFrame, *also: str) -> DataFrame:
     """One JSON line per event; the payload number decides what is wrong with it."""
     case = F.col("k") % 12
     v = F.format_string("%.4f", F.col("value") / 100.0)
@@ -159,8 +159,8 @@ def wire_lines(e: DataFrame) -> DataFrame:
         F.when(case == 10, F.concat(F.lit(',"swir":'), numbers(3))).otherwise(F.lit("")),
         F.when(F.col("event_type").isin("click", "view", "error"), truth).otherwise(F.lit("")), F.lit("}"))
     line = F.when(case == 0, F.lit("   ")).when(case == 1, F.lit("{bad")).when(case == 2, F.lit("[1]")).otherwise(good)
-    return e.select("event_id", F.col("user_id").cast("string").alias("session"), "event_type", "k", "value", line.alias("value_line")).select(
-        "event_id", "session", F.col("value_line").alias("value"))
+    return e.select("event_id", F.col("user_id").cast("string").alias("session"), "event_type", "k", "value", line.alias("value_line"), *also).select(
+        "event_id", "session", F.col("value_line").alias("value"), *also)
 
 
 _REASON = """CASE k % 12 WHEN 1 THEN 'malformed' WHEN 2 THEN 'malformed' WHEN 3 THEN 'version' WHEN 4 THEN 'integration_time_ms'
@@ -262,3 +262,61 @@ def streaming_ingest(spark, sf):
     ingest.run_ingest(wire_lines(event_stream(spark, sf)), frame_scorer(), path, f"{path}-checkpoint",
                       identity=["session", "event_id"], widths=WIDTHS).awaitTermination()
     return ingest.total_counters(spark, path).withColumn("accuracy", I.fine("accuracy"))
+
+
+IDLE = "6 hours"
+#: Sessions of the twin: a new one begins where the gap to the line before is longer than the idle time.
+_RUNS = """n AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM {table} WINDOW w AS (PARTITION BY {key} ORDER BY ts)),
+fr AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM n)"""
+
+
+def _until_closed(spark, sf):
+    """The event stream under a watermark, and a heartbeat after all of it that ends every session."""
+    lines = event_stream(spark, sf)
+    path = scratch_path(spark, "heartbeat")
+    last = I.table(spark, sf, "events").agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    last.select(*[F.col(c) if c == "ts" else F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in lines.columns]).write.parquet(path)
+    beat = spark.readStream.schema(lines.schema).parquet(path)
+    return ingest.with_arrival(lines.unionByName(beat), "ts", "1 hour", "user_id")
+
+
+_CLOSED = f"""{EVENTS}, fl AS (SELECT event_id, user_id::VARCHAR AS session, event_type, k, ts, round(value / 100.0, 4) AS lif, {_REASON} AS reason FROM e WHERE k % 12 <> 0),
+{_RUNS.format(table='fl', key='session')}"""
+
+
+@query("R4", "A20", sql=f"""WITH {_CLOSED} SELECT session, min(ts) AS started, max(ts) AS last_seen, count(*) AS received, count(*) FILTER (reason = '') AS valid,
+ count(*) FILTER (reason <> '') AS malformed, count(*) FILTER (reason = '' AND event_type IN ('click', 'view', 'error') AND {_HIT} = k % 6) AS truth_matches,
+ count(*) FILTER (reason = '' AND event_type IN ('click', 'view', 'error')) AS truth_total, 0::BIGINT AS state_rows FROM fr GROUP BY session, run""")
+def closed_session_counters(spark, sf):
+    """Sessions that end after six idle hours: emitted once, with nothing left in the state."""
+    path = scratch_path(spark, "closed")
+    lines = _until_closed(spark, sf)
+    checked = WF.validate_lines(wire_lines(lines, "ts"), widths=WIDTHS)
+    run = ingest.write_closed(ingest.closed_counters(_predicted(checked), "session", "ts", IDLE, F.col("predicted")), path, f"{path}-checkpoint")
+    run.awaitTermination()
+    times = {c: ingest.zoneless(c) for c in ("started", "last_seen")}
+    return spark.read.parquet(path).drop("batch_id", "accuracy").withColumns(times).withColumn("state_rows", F.lit(ingest.state_rows(run)).cast("long"))
+
+
+@query("R5", sql=f"""WITH {SHOTS}, {_RUNS.format(table='sh', key='user_id')}
+SELECT user_id, min(ts) AS started, max(ts) AS last_seen, count(*) AS fused_n, {fr('avg(p[1])')} AS first_class, {fr('least(greatest(avg(ilm), 0.0), 1.0)')} AS ilmenite_fraction,
+ 0::BIGINT AS state_rows FROM fr GROUP BY user_id, run""")
+def closed_fused_shots(spark, sf):
+    """Shots of a sample fused until it has been idle for six hours."""
+    path = scratch_path(spark, "closed")
+    shots = I.shots(_until_closed(spark, sf))
+    run = ingest.write_closed(ingest.closed_sums(shots, 5, "ts", IDLE, "user_id"), path, f"{path}-checkpoint")
+    run.awaitTermination()
+    n = F.col("fused_n")
+    return spark.read.parquet(path).select(
+        "user_id", *[ingest.zoneless(c).alias(c) for c in ("started", "last_seen")], "fused_n", I.fine(F.col("p0") / n).alias("first_class"),
+        I.fine(V.clip(F.col("ilmenite_sum") / n, 0.0, 1.0)).alias("ilmenite_fraction"), F.lit(ingest.state_rows(run)).cast("long").alias("state_rows"))
+
+
+@query("R3", sql=f"""WITH {_FRAMES} SELECT session, count(*) AS received, count(*) FILTER (reason = '') AS valid,
+count(*) FILTER (reason <> '') AS malformed, 0::BIGINT AS truth_matches, 0::BIGINT AS truth_total FROM fr GROUP BY session""")
+def dry_run_ingest(spark, sf):
+    """A dry run of the ingest itself over the event stream: lines are validated and counted, nothing else is kept."""
+    path = scratch_path(spark, "dry-run")
+    ingest.run_ingest(wire_lines(event_stream(spark, sf)), None, path, f"{path}-checkpoint", widths=WIDTHS).awaitTermination()
+    return ingest.total_counters(spark, path).drop("accuracy")

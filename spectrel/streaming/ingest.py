@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import features as FX
@@ -19,26 +20,26 @@ def score_frames(valid: DataFrame, scorer: scoring.Scorer) -> DataFrame:
     return scoring.score(valid.withColumn("features", FX.frame_vector()), scorer).drop("features")
 
 
-def session_counters(checked: DataFrame, session: str, predicted: Column | None = None) -> DataFrame:
+def session_counters(checked: DataFrame, session: str, predicted: Column | None = None, also: tuple[Column, ...] = ()) -> DataFrame:
     """Received, valid and malformed frames and truth matches of each session.
 
     ``checked`` holds all non-blank lines with their violations; ``predicted`` is the predicted
-    class name (omit it for a dry run).
+    class name (omit it for a dry run), ``also`` further keys.
     """
     ok = F.size("violations") == 0
     truth = F.col("_truth.mineral_class")
     judged = ok & truth.isNotNull() if predicted is not None else F.lit(False)
     hit = judged & (predicted == truth) if predicted is not None else F.lit(False)
-    return checked.groupBy(session).agg(
+    return checked.groupBy(session, *also).agg(
         F.count(F.lit(1)).alias("received"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("malformed"),
         F.count_if(hit).alias("truth_matches"), F.count_if(judged).alias("truth_total"),
     ).withColumn("accuracy", F.when(F.col("truth_total") > 0, F.col("truth_matches") / F.col("truth_total")))
 
 
 def fused_sums(scored: DataFrame, n_classes: int, sample: str = "sample_id", p: str = "probabilities",
-               ilmenite: str = "ilmenite_fraction") -> DataFrame:
+               ilmenite: str = "ilmenite_fraction", also: tuple[Column, ...] = ()) -> DataFrame:
     """Running per-sample sums whose ratio is the fused prediction: state is one row a sample."""
-    return scored.groupBy(sample).agg(
+    return scored.groupBy(sample, *also).agg(
         *[F.sum(F.get(p, F.lit(k))).alias(f"p{k}") for k in range(n_classes)],
         F.sum(ilmenite).alias("ilmenite_sum"), F.count(p).alias("fused_n"))
 
@@ -51,7 +52,58 @@ def finish_fusion(sums: DataFrame, n_classes: int, sample: str = "sample_id", t:
     return with_uncertainty(fused, "probabilities", t)
 
 
-def write_updates(aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def zoneless(moment: str) -> Column:
+    """A moment as the zone-less time it has in UTC, whatever the session's zone."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({moment}), {EPOCH})")
+
+
+def with_arrival(lines: DataFrame, arrival: str, delay: str, session: str) -> DataFrame:
+    """Lines under a watermark on their arrival time; lines without a session only move the watermark.
+
+    Such heartbeats end what is idle although nothing else arrives. The test is one expression that names the
+    arrival time: of two, the one on the session would be pushed below the watermark, which heartbeats then never reach. Zone-less times, which a watermark does not take, are read as UTC;
+    :func:`zoneless` turns results back.
+    """
+    if isinstance(lines.schema[arrival].dataType, T.TimestampNTZType):
+        lines = lines.withColumn(arrival, F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {arrival})")))
+    return lines.withWatermark(arrival, delay).where(F.least(F.col(session).isNotNull(), F.col(arrival).isNotNull()))
+
+
+def closed_counters(checked: DataFrame, session: str, arrival: str, idle: str, predicted: Column | None = None) -> DataFrame:
+    """Counters of each session that ends: a run of lines without a gap of ``idle``.
+
+    A session is emitted once, when the watermark has passed its end, and its state is dropped; a session name that
+    comes back later is a session of its own. ``checked`` has a watermark (:func:`with_arrival`).
+    """
+    found = session_counters(checked, session, predicted, (F.session_window(arrival, idle).alias("_ran"),))
+    return found.withColumns(_span(idle)).drop("_ran")
+
+
+def _span(idle: str) -> dict[str, Column]:
+    return {"started": F.col("_ran.start"), "last_seen": F.col("_ran.end") - F.expr(f"INTERVAL {idle}")}
+
+
+def closed_sums(scored: DataFrame, n_classes: int, arrival: str, idle: str, sample: str = "sample_id") -> DataFrame:
+    """Per-sample sums as :func:`fused_sums`, emitted and dropped once a sample has been idle."""
+    found = fused_sums(scored, n_classes, sample, also=(F.session_window(arrival, idle).alias("_ran"),))
+    return found.withColumns(_span(idle)).drop("_ran")
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state that a finished query has left behind."""
+    last = query.lastProgress
+    return sum(o["numRowsTotal"] for o in last["stateOperators"]) if last else 0
+
+
+def write_closed(aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Stream rows that are final, one folder per micro-batch; a replayed batch overwrites its own."""
+    return write_updates(aggregate, path, checkpoint, trigger, "append")
+
+
+def write_updates(aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "update") -> StreamingQuery:
     """Stream an aggregate's changed rows, one folder per micro-batch.
 
     A replayed batch overwrites its own folder, so restarts add nothing twice. Read the current
@@ -60,7 +112,7 @@ def write_updates(aggregate: DataFrame, path: str, checkpoint: str, trigger: dic
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (aggregate.writeStream.outputMode("update").foreachBatch(save)
+    return (aggregate.writeStream.outputMode(mode).foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 

@@ -114,3 +114,26 @@ def test_ingest_asks_for_an_identity(spark, tmp_path):
     s = spark.readStream.text(str(tmp_path / "in")).withColumn("session", F.lit("RUN"))
     with pytest.raises(ValueError, match="identity"):
         ingest.run_ingest(s, frame_scorer(), str(tmp_path / "o"), str(tmp_path / "c"))
+
+
+def test_idle_sessions_end_once_and_leave_no_state(spark):
+    src, out, check = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "check")
+    kinds = "session string, ts timestamp_ntz, violations array<string>"
+
+    def run(rows):
+        rows = [(s, f"2024-01-01 {t}", [] if ok else ["version"]) for s, t, ok in rows]
+        spark.createDataFrame(rows, "session string, ts string, violations array<string>").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src)
+        lines = ingest.with_arrival(spark.readStream.schema(kinds).parquet(src), "ts", "5 minutes", "session")
+        query = ingest.write_closed(ingest.closed_counters(lines, "session", "ts", "30 minutes"), out, check)
+        query.awaitTermination()
+        got = spark.read.parquet(out).select("session", ingest.zoneless("started").cast("string"), ingest.zoneless("last_seen").cast("string"), "received", "valid")
+        return ingest.state_rows(query), sorted((r[0], r[1][11:], r[2][11:], *r[3:]) for r in got.collect())
+
+    left, got = run([("a", "10:00:00", 1), ("a", "10:20:00", 0), ("b", "10:05:00", 1), ("a", "11:30:00", 1)])
+    first = [("a", "10:00:00", "10:20:00", 2, 1), ("b", "10:05:00", "10:05:00", 1, 1)]
+    assert (left, got) == (1, first)
+    # A line before the watermark is late; one from a name that has ended starts anew.
+    left, got = run([("b", "09:00:00", 1), ("b", "11:40:00", 1), (None, "11:41:00", 1)])
+    assert (left, got) == (2, first)
+    left, got = run([(None, "13:00:00", 1)])
+    assert (left, got) == (0, sorted([*first, ("a", "11:30:00", "11:30:00", 1, 1), ("b", "11:40:00", "11:40:00", 1, 1)]))
