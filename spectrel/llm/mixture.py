@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import textbytes as tb
+from .merkle import numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 8_192
@@ -122,13 +123,15 @@ def _fly(land: bool):
 
 def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), a row per document: how often the mix takes it."""
-    rows = materialise(sizes(docs), "sizes")
+    # Rows of one id and size are told apart by their place in the source's order: no block holds them all.
+    named = sizes(docs).withColumn("tree", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    rows = materialise(numbered(named, ["tree"], ["doc_id", "size"], "sizes").drop("tree", "n"), "sizes")
     goals = materialise(targets(rows, budget, cap, weights), "targets")
     most = goals.agg(F.max("n")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     same = rows["source"].eqNullSafe(goals["source"])
     units = rows.join(goals, same).select(
-        "doc_id", rows["source"], "size", "source_size", "target", "n", F.xxhash64("doc_id", "size").alias("unit"),
+        "doc_id", rows["source"], "size", "source_size", "target", "n", F.xxhash64("doc_id", "size", "slot").alias("unit"),
         F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("pi"))
     settled, flying, left = [], units, most
     while True:

@@ -5,7 +5,9 @@ the document's id and the shard's number. A rack's draw is the least of its shar
 the least of its racks', so a node's draw has the rate of its subtree's total weight and a document that
 descends to the least draw at each level lands in each shard with probability by weight. A changed
 weight changes draws in its own subtree only: a heavier or new shard takes documents into itself, a
-lighter one gives its own away, and nothing else moves.
+lighter one gives its own away, and nothing else moves. (Draws of each node's own would not do: a grown region's
+documents would be dealt anew inside it.) For even weights the descent ends where one flat minimum over all shards
+would; it costs a digest for each shard and row.
 
 The law is ``key``: the id and the tree decide. A null id is a key of its own; equal ids share a shard.
 Slots number the documents of a shard from 0 without gaps, by the key's hash, id, checksum and size;
@@ -14,10 +16,10 @@ rows equal in all of these take neighbouring slots. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from .merkle import numbered
 
 #: region -> rack -> {shard: weight}
 Tree = list[list[dict[int, float]]]
@@ -62,8 +64,8 @@ def descend(key: Column, tree: Tree) -> Column:
 def place(docs: DataFrame, tree: Tree, more: Tree | None = None, sub_buckets: int = 4_096) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, grown_shard), a row per document.
 
-    Slots are ranks inside (shard, sub-bucket) plus the sizes of the sub-buckets before, so no task
-    holds a shard; only shards x ``sub_buckets`` counts are added up.
+    Slots follow a range sort over (shard, sub-bucket, id, checksum, size), so no task holds a shard, or all
+    rows of one id; a sub-bucket is a hash of the id that keeps slots from following the ids.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -72,13 +74,8 @@ def place(docs: DataFrame, tree: Tree, more: Tree | None = None, sub_buckets: in
         F.crc32(text.cast("binary")).alias("text_crc32"), descend(key, tree).alias("shard"),
         (descend(key, more) if more else F.lit(None).cast("int")).alias("grown_shard"),
         F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(sub_buckets)).alias("sub"))
-    rows = materialise(rows, "placed")
-    counts = rows.groupBy("shard", "sub").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size")
-    return rows.join(offsets, ["shard", "sub"]).withColumn("slot", F.row_number().over(order) - 1 + F.col("offset")).select(
-        "doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    found = numbered(rows, ["shard"], ["sub", "doc_id", "text_crc32", "size"], "placed")
+    return found.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def place_sql(shards: int, sub_buckets: int = 4_096) -> str:

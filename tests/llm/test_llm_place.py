@@ -34,6 +34,21 @@ def test_shards(spark):
     assert mine == want
 
 
+def test_rows_of_one_key_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(0, 60_000, 1, 8).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same text' AS text", "'s' AS source")
+    got = shard_tree.place(d, shard_tree.even_tree(24))
+    assert got.agg(F.count_distinct("shard"), F.count_distinct("slot"), F.min("slot"), F.max("slot")).first() == (1, 60_000, 0, 59_999)
+    mixed = mixture.mix(d, block=4_096)
+    sizes = mixed.groupBy("copies").count().collect()
+    assert sum(r["count"] for r in sizes) == 60_000 and abs(sum(r["copies"] * r["count"] for r in sizes) - 90_000) <= 4
+    units = mixture.numbered(mixture.sizes(d).withColumn("tree", F.lit("-")), ["tree"], ["doc_id", "size"], "t").select(
+        F.pmod(F.xxhash64(F.xxhash64("doc_id", "size", "slot"), F.lit(60_000)), F.lit(15)).alias("b"))
+    per_block = sorted(r["count"] for r in units.groupBy("b").count().collect())
+    assert len(per_block) == 15 and per_block[-1] < 2 * per_block[7]
+
+
 def test_a_shard_depends_on_id_and_tree_alone(spark):
     tree, d = shard_tree.even_tree(24), shard_docs(spark)
     whole = {r.doc_id: r.shard for r in shard_tree.place(d, tree).collect()}
