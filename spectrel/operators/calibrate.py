@@ -3,85 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import reflectance as R
 from ..functions import vectors as V
 from ..session import materialise
+from .asof import latest_references
 from .channels import channel_moments, mean_of
 
 
-def _seconds(moment: Column, without_zone: bool) -> Column:
-    """Whole seconds on a scale that never runs backwards: a zone-less clock is read by its
-    fields, since moving it into a zone with summer time could reorder it."""
-    if not without_zone:
-        return F.unix_seconds(moment)
-    days = F.datediff(F.to_date(moment), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return days * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
-
-
 def asof_match(frames: DataFrame, refs: DataFrame, by: str, ts: str, kind: str,
-               kinds: tuple[str, ...], chunk_seconds: int = 600) -> DataFrame:
-    """For every distinct (by, ts) of ``frames``: the time of the latest reference of each kind
-    taken at or before it, in columns ``<kind>_ts`` (null when there is none).
-
-    Only narrow keys take part. They are cut into time chunks, so a session holding much of
-    the table is spread over many tasks; what earlier chunks leave behind is carried by one
-    summary row per (session, chunk).
-    """
-    moment = F.col(ts)
-    kind_of_time = frames.schema[ts].dataType
-    chunk = F.floor(_seconds(moment, isinstance(kind_of_time, T.TimestampNTZType)) / F.lit(chunk_seconds))
-    empty = [F.lit(None).cast(kind_of_time).alias(f"{k}_ts") for k in kinds]
-    marks = [F.when(F.col(kind) == k, moment).alias(f"{k}_ts") for k in kinds]
-    wanted = frames.select(by, ts).where(moment.isNotNull()).distinct().select(
-        by, ts, F.lit(True).alias("_frame"), *empty)
-    offered = refs.where(F.col(kind).isin(*kinds)).select(by, ts, F.lit(False).alias("_frame"), *marks)
-    events = wanted.unionByName(offered).withColumn("_chunk", chunk)
-
-    # An ordered window ends at the current row's peers, so a reference at the same instant counts.
-    inside = W.partitionBy(by, "_chunk").orderBy(ts)
-    local = events.select(by, ts, "_chunk", "_frame", *[
-        F.max(f"{k}_ts").over(inside).alias(f"{k}_ts") for k in kinds]).where("_frame")
-    before = W.partitionBy(by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        events.groupBy(by, "_chunk").agg(*[F.max(f"{k}_ts").alias(f"{k}_ts") for k in kinds])
-        .select(by, "_chunk", *[F.max(f"{k}_ts").over(before).alias(f"_{k}") for k in kinds])
-    )
-    return local.join(carried, [by, "_chunk"]).select(
-        by, ts, *[F.coalesce(f"{k}_ts", f"_{k}").alias(f"{k}_ts") for k in kinds])
+               kinds: tuple[str, ...], partitions: int | None = None) -> DataFrame:
+    """For every distinct (by, ts) of ``frames`` with a time: the time of the latest reference of each
+    kind taken at or before it, in columns ``<kind>_ts`` (null when there is none)."""
+    wanted = frames.select(by, ts).where(F.col(ts).isNotNull()).distinct()
+    found = latest_references(wanted, refs, by, ts, kind, kinds, (), partitions)
+    return found.select(by, ts, *[F.col(f"{k}.ts").alias(f"{k}_ts") for k in kinds])
 
 
 def attach_references(frames: DataFrame, refs: DataFrame, by: str = "session_id", ts: str = "ts",
-                      kind: str = "kind", chunk_seconds: int = 600) -> DataFrame:
-    """Frames with the latest dark and white frame of their session (null when none).
+                      kind: str = "kind", partitions: int | None = None) -> DataFrame:
+    """Frames with the latest dark and white frame of their session (null when none) and their times.
 
     ``refs`` holds (by, ts, kind, counts, integration_ms, temp_c). The wide frames are shuffled
-    once, on (session, time); references follow by broadcast when few, else by a second join,
-    where adaptive execution splits the frames of a reference that serves very many.
+    once, on (session, time), together with the references; see :func:`~spectrel.operators.asof.latest_references`.
     """
-    match = asof_match(frames, refs, by, ts, kind, ("dark", "white"), chunk_seconds)
-    out = frames.join(match, [by, ts], "left")
-    # Two references of one kind at one instant: keep a fixed one of them.
-    one = materialise(refs.where(F.col(kind).isin("dark", "white")).groupBy(by, kind, ts).agg(
-        F.max(F.struct("counts", "integration_ms", "temp_c")).alias("ref")), "references")
-    for k in ("dark", "white"):
-        side = one.where(F.col(kind) == k).select(by, F.col(ts).alias(f"{k}_ts"), F.col("ref").alias(k))
-        out = out.join(side, [by, f"{k}_ts"], "left")
-    return out
+    found = latest_references(frames, refs, by, ts, kind, ("dark", "white"), ("counts", "integration_ms", "temp_c"), partitions)
+    return found.withColumns({"dark_ts": F.col("dark.ts"), "white_ts": F.col("white.ts")})
 
 
 def calibrate(frames: DataFrame, refs: DataFrame, by: str = "session_id", ts: str = "ts",
               counts: str = "counts", exposure: str = "integration_time_ms",
-              temp: str = "ambient_temp_c", chunk_seconds: int = 600) -> DataFrame:
+              temp: str = "ambient_temp_c", partitions: int | None = None) -> DataFrame:
     """Counts to reflectance with each session's own references.
 
     Every frame comes out. One that cannot be calibrated has a null ``reflectance`` and says
     why in ``reason``.
     """
-    out = attach_references(frames, refs, by, ts, chunk_seconds=chunk_seconds)
+    out = attach_references(frames, refs, by, ts, partitions=partitions)
     reason = (
         F.when(F.col("dark").isNull(), F.lit("no_dark_reference"))
         .when(F.col("white").isNull(), F.lit("no_white_reference"))

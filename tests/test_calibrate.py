@@ -87,11 +87,11 @@ def random_session(seed, n_frames=60, n_refs=14):
     return frames, refs
 
 
-@pytest.mark.parametrize("chunk", [60, 3600, 10**7])
-def test_calibration_finds_the_latest_references_whatever_the_chunk(spark, chunk):
+@pytest.mark.parametrize("partitions", [None, 1, 3, 50])
+def test_calibration_finds_the_latest_references_whatever_the_ranges(spark, partitions):
     frames, refs = random_session(11)
     fdf = spark.createDataFrame(frames, FRAME).repartition(5)
-    got = {r["id"]: r for r in C.calibrate(fdf, spark.createDataFrame(refs, REF), chunk_seconds=chunk).collect()}
+    got = {r["id"]: r for r in C.calibrate(fdf, spark.createDataFrame(refs, REF), partitions=partitions).collect()}
     assert len(got) == len(frames)
     for i, session, ts, raw, ms, temp in frames:
         last = {}
@@ -118,16 +118,38 @@ def test_reference_at_the_same_instant_counts_and_frames_without_time_stay(spark
     assert got[1]["reason"] == got[2]["reason"] == "no_dark_reference"
 
 
-def test_many_references_take_the_shuffle_join(spark):
-    frames, refs = random_session(5)
-    fdf, rdf = spark.createDataFrame(frames, FRAME), spark.createDataFrame(refs, REF)
-    small = sorted(map(str, C.calibrate(fdf, rdf).select("id", "reason", "reflectance").collect()))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_a_crowded_session_and_a_crowded_instant_are_spread_over_tasks(spark):
+    """4,000 of 6,000 frames in one session, 1,500 of them at one instant, 7 rows a batch."""
+    rng = np.random.default_rng(7)
+    at = lambda s: T0 + timedelta(seconds=int(s))
+    frames = [(i, "hot" if i < 4000 else f"s{i % 90}", at(5000) if i < 1500 else at(rng.integers(0, 10_000))) for i in range(6000)]
+    refs = [("hot", at(s), k, [float(s)], 1.0, 1.0) for s, k in ((10, "dark"), (20, "white"), (4999, "dark"), (9000, "white"))]
+    refs += [(f"s{i % 60}", at(rng.integers(0, 10_000)), ("dark", "white", "other")[i % 3], [float(i)], 1.0, 1.0) for i in range(300)]
+    refs += [("hot", None, "dark", [0.0], 1.0, 1.0), (None, at(0), "dark", [0.0], 1.0, 1.0)]
+    frames += [(6000, None, at(9999)), (6001, "hot", None)]
+    fdf = spark.createDataFrame(frames, "id int, session_id string, ts timestamp")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert sorted(map(str, C.calibrate(fdf, rdf).select("id", "reason", "reflectance").collect())) == small
+        got = {r["id"]: r for r in C.attach_references(fdf, spark.createDataFrame(refs, REF), partitions=40).collect()}
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(got) == len(frames)
+    for i, session, ts in frames:
+        for k in ("dark", "white"):
+            past = [(r[1], r[3]) for r in refs if r[0] == session and r[2] == k and session and ts and r[1] and r[1] <= ts]
+            want = max(past, default=None)
+            assert (got[i][k] and (got[i][k]["ts"], got[i][k]["counts"])) == want
+            assert got[i][f"{k}_ts"] == (want and want[0])
+
+
+def test_no_frames_and_no_references(spark):
+    frames, refs = random_session(5)
+    fdf, rdf = spark.createDataFrame(frames, FRAME), spark.createDataFrame(refs, REF)
+    assert C.calibrate(fdf.limit(0), rdf).count() == 0
+    assert {r["reason"] for r in C.calibrate(fdf, rdf.limit(0)).collect()} == {"no_dark_reference"}
+    with pytest.raises(ValueError, match="named as a kind"):
+        C.attach_references(fdf.withColumn("dark", F.lit(1)), rdf)
 
 
 def test_dark_profiles_recover_the_lines(spark):
