@@ -105,28 +105,54 @@ def build_soils(endmembers: DataFrame, grid) -> DataFrame:
 
 
 def resample(points: DataFrame, grid, key: str = "spectrum_id", x: str = "nm", y: str = "reflectance",
-             out: str = "spec") -> DataFrame:
+             out: str = "spec", extremes: tuple[str, ...] = (), accept: Column | None = None) -> DataFrame:
     """Linear interpolation of ``(key, x, y)`` points onto ``grid``, ends held constant.
 
     Only the first and last point between two neighbouring grid values can matter, so points
     are first reduced to those two per grid cell: a spectrum of any length becomes at most
-    ``2 * (len(grid) + 1)`` points, and the reduction is a partial aggregate.
+    ``2 * (len(grid) + 1)`` points, and the reduction is a partial aggregate. Points with a null
+    coordinate take no part; a spectrum without others has no row. Of points at one x the largest
+    value holds there and to the right of it, the smallest to the left.
+
+    ``accept`` leaves out whole spectra in the same aggregate. It may use ``rows`` (points, null ones
+    included) and, for each column of ``extremes``, ``<column>_min`` and ``<column>_max`` over the spectrum.
     """
     nm = np.asarray(grid, dtype=float)
-    # Which of the cells between grid values a point falls in: the count of grid values at or below it.
-    cell = F.size(F.filter(V.literal(nm), lambda g: g <= F.col(x)))
-    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ends = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key, cell.alias("_cell")).agg(
-        F.min(point).alias("a"), F.max(point).alias("b"))
-    kept = ends.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("_p"))
+    # Which of the cells between grid values a point falls in: the count of grid values below it.
+    cell = F.size(F.filter(V.literal(nm), lambda g: g < F.col(x)))
+    point = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(),
+                   F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    sides = [(f(c), f"{c}_{side}") for c in extremes for side, f in (("min", F.min), ("max", F.max))]
+    ends = points.groupBy(key, cell.alias("_cell")).agg(
+        F.min(point).alias("a"), F.max(point).alias("b"), F.count(F.lit(1)).alias("rows"), *[c.alias(n) for c, n in sides])
+    folded = ends.groupBy(key).agg(
+        F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("a", "b")))))).alias("_p"),
+        F.sum("rows").alias("rows"), *[(F.min(n) if n.endswith("_min") else F.max(n)).alias(n) for _, n in sides])
+    kept = folded.where((F.size("_p") > 0) & (F.lit(True) if accept is None else accept))
+    order = np.argsort(nm, kind="stable")
+    ascending, width = nm[order], len(nm)
 
     @F.arrow_udf("array<double>")
     def interpolate(p: pa.Array) -> pa.Array:
         xs = p.flatten().field("x").to_numpy(zero_copy_only=False)
         ys = p.flatten().field("y").to_numpy(zero_copy_only=False)
-        ends_at = np.cumsum(p.value_lengths().to_numpy(zero_copy_only=False))
-        starts = np.concatenate([[0], ends_at[:-1]]).astype(int)
-        m = np.array([np.interp(nm, xs[s:e], ys[s:e]) for s, e in zip(starts, ends_at)])
+        lengths = p.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        after = np.cumsum(lengths)[:, None]
+        start = after - lengths[:, None]
+        # A point is at or below grid value j if at most j grid values are below it. Points by (spectrum, that
+        # count) are in order already, so one search finds, for every spectrum and grid value, the last such point.
+        spectrum = np.repeat(np.arange(len(p)), lengths)
+        filed = spectrum * (width + 1) + np.searchsorted(ascending, xs, side="left")
+        wanted = np.arange(len(p))[:, None] * (width + 1) + np.arange(width)
+        left = np.searchsorted(filed, wanted, side="right") - 1
+        low, high = np.clip(left, start, after - 1), np.clip(left + 1, start, after - 1)
+        x0, y0, y1 = xs[low], ys[low], ys[high]
+        flat = (low == high) | (y0 == y1) | (x0 == ascending)
+        gap = np.where(flat, 1.0, xs[high] - x0)
+        with np.errstate(invalid="ignore", over="ignore"):
+            between = (y1 - y0) / gap * (ascending - x0) + y0
+        m = np.empty((len(p), width))
+        m[:, order] = np.where(flat, y0, between)
         return kernels.from_matrix(m, np.ones(len(p), dtype=bool))
 
     return kept.select(key, interpolate("_p").alias(out))

@@ -181,6 +181,27 @@ def test_resampling_equals_interp_on_long_curves(spark):
         assert np.allclose(r["spec"], want[r["spectrum_id"]])
 
 
+def test_resampling_of_many_curves_on_any_grid(spark):
+    """Points on grid values, equal wavelengths, unsorted grids, null points; every curve against np.interp."""
+    rng = np.random.default_rng(9)
+    grid = [12.0, 10.0, 17.5, 11.0, 30.0, -3.0]
+    rows, want = [], {}
+    for k in range(200):
+        n = int(rng.integers(1, 30))
+        points = sorted({(float(a), float(b)) for a, b in zip(rng.integers(5, 25, n), rng.uniform(size=n))})
+        rows += [(k, *p) for p in points]
+        x, y = np.array(points).T
+        want[k] = np.interp(grid, x, y)
+    rows += [(0, None, 1.0), (1, 3.0, None), (777, None, None)]
+    df = spark.createDataFrame(rows, "spectrum_id int, nm double, reflectance double").repartition(3)
+    got = {r["spectrum_id"]: r["spec"] for r in library.resample(df, grid).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-13, atol=0) for k in want)
+    assert library.resample(df.limit(0), grid).count() == 0
+    some = library.resample(df, grid, extremes=("nm",), accept=F.expr("rows > 10 and nm_max < 24"))
+    sizes = {k: (sum(r[0] == k for r in rows), max((r[1] for r in rows if r[0] == k and r[1] is not None), default=99)) for k in want}
+    assert {r["spectrum_id"] for r in some.collect()} == {k for k, (n, top) in sizes.items() if n > 10 and top < 24}
+
+
 def test_grid_match_takes_the_first_point_inside_the_tolerance(spark):
     a, b = np.linspace(340, 850, 288), np.arange(300.0, 900, 1.3)
     left = spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], "i int, nm double")
