@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import features as FX
+from ..functions import mixing as MF
 from ..functions import vectors as V
 from ..operators import augment, models, scoring
-from ..session import materialise
-from ..sources import measurements
+from ..operators import evaluate as evaluation
+from ..session import materialise, scratch_path
+from ..sources import measurements, stores
 from . import inputs as I
 from .inputs import LONG, REFLECTANCE, digest_sql, rd
 from .registry import query
-from .train_evaluate import evaluate, train
+from .train_evaluate import evaluate, score_stored, store, train, train_ablation
 
 
 def _labelled(spark, sf):
@@ -91,6 +93,36 @@ def trained_test_report(spark, sf):
         "n", *[I.rounded(c).alias(c) for c in ("top1_acc", "accuracy_lo", "accuracy_hi", "ilm_rmse", "rmse_lo", "rmse_hi")])
 
 
+@query("S10", "S9", "M7", "A18")
+def run_from_registry(spark, sf):
+    """A multispectral run is trained, stored twice under one id beside another, and evaluated from its store."""
+    rows = materialise(I.measurements(spark, sf, "multispectral"), "trainable")
+    path = scratch_path(spark, "registry")
+    run = train(rows, "multispectral", seed=3, n_trees=50)
+    for run_id in ("other", "first", "first"):
+        store(run, path, run_id)
+    scored = score_stored(spark, path, "first", rows)
+    kept = stores.load_temperature(spark, f"{path}/temperature", "first").select(F.struct("*").alias("t")).scalar()
+    out = evaluation.metrics(scored, ("split",)).withColumn("t", kept).select("*", "t.*")
+    return out.select("split", "n", *[I.rounded(c).alias(c) for c in (
+        "top1_acc", "ilm_rmse", "ilm_r2", "temperature", "ece_before", "ece_after")])
+
+
+@query("A23", "J11", "M6", "S12")
+def trained_mixing_ablation(spark, sf):
+    """A baseline for the linear and for the albedo form of the vectors, each tested on both; held-out rows only."""
+    linear = _labelled(spark, sf).select(
+        F.col("vec_id").cast("string").alias("measurement_id"), F.col("vec_id").cast("string").alias("sample_id"),
+        F.col("class_index").cast("string").alias("mineral_class"), "features", "class_index", "ilmenite_fraction")
+    tables = {"linear": linear, "hapke": linear.withColumn("features", MF.to_albedo("features"))}
+    scored = train_ablation(tables, I.WIDTH, seed=0, n_trees=100)
+    path = scratch_path(spark, "ablation")
+    stores.write_ablation(evaluation.ablation(scored), path)
+    out = stores.read_ablation(spark, path)
+    return out.select("train_model", "test_model", "n", I.fine("top1_acc").alias("top1_acc"),
+                      *[I.rounded(c).alias(c) for c in ("ilm_rmse", "ilm_r2")])
+
+
 def _trainable(spark, sf):
     """All measurements in full mode: the 288-channel form of every vector."""
     return materialise(I.measurements(spark, sf, "full"), "trainable")

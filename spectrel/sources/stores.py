@@ -44,12 +44,21 @@ def load_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 RUN = "run_id string, model string, seed bigint, sensor_mode string, n_components int, n_trees int, val_frac double, test_frac double"
+TEMPERATURE = "run_id string, temperature double, ece_before double, ece_after double"
+
+
+def _replace_run(df: DataFrame, path: str) -> None:
+    """Put the rows of the runs in ``df`` in place of what the table holds of these runs; others stay.
+
+    A retried or repeated write therefore leaves each run once.
+    """
+    df.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def save_run(spark: SparkSession, path: str, **run) -> None:
-    """Append a run's settings (everything needed to find its split again)."""
+    """A run's settings (everything needed to find its split again)."""
     fields = [f.strip().split()[0] for f in RUN.split(",")]
-    spark.createDataFrame([tuple(run.get(f) for f in fields)], RUN).write.mode("append").parquet(path)
+    _replace_run(spark.createDataFrame([tuple(run.get(f) for f in fields)], RUN), path)
 
 
 def load_run(spark: SparkSession, path: str, run_id: str) -> dict:
@@ -59,15 +68,26 @@ def load_run(spark: SparkSession, path: str, run_id: str) -> dict:
     return row.asDict()
 
 
+def save_run_splits(splits: DataFrame, path: str, run_id: str) -> None:
+    """The split table a run was trained on."""
+    _replace_run(splits.withColumn("run_id", F.lit(run_id)), path)
+
+
+def load_run_splits(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    # Ids that look like numbers would be read as such, so the type is stated.
+    found = spark.read.parquet(path).schema
+    stated = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run_id" else f.dataType) for f in found.fields])
+    return spark.read.schema(stated).parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+
+
 def save_temperature(spark: SparkSession, path: str, run_id: str, temperature: float, ece_before: float, ece_after: float) -> None:
-    spark.createDataFrame([(run_id, float(temperature), float(ece_before), float(ece_after))],
-                          "run_id string, temperature double, ece_before double, ece_after double"
-                          ).write.mode("append").parquet(path)
+    """A run's calibration, in place of an earlier one."""
+    _replace_run(spark.createDataFrame([(run_id, float(temperature), float(ece_before), float(ece_after))], TEMPERATURE), path)
 
 
 def load_temperature(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """The stored calibrations of a run."""
-    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+    """The stored calibration of a run."""
+    return spark.read.schema(TEMPERATURE).parquet(path).where(F.col("run_id") == run_id).drop("run_id")
 
 
 def write_report(report: dict[str, DataFrame], path: str) -> None:
@@ -78,3 +98,9 @@ def write_report(report: dict[str, DataFrame], path: str) -> None:
 
 def write_ablation(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").csv(path, header=True)
+
+
+def read_ablation(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table of metrics by (train_model, test_model)."""
+    return spark.read.csv(path, header=True, schema="train_model string, test_model string, n bigint, "
+                          "top1_acc double, ilm_rmse double, ilm_r2 double")
