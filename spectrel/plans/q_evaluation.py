@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import mixing as MF
 from ..functions import uncertainty as U
 from ..functions import vectors as V
-from ..operators import channels, evaluate, fusion, ranking, sam, scoring
+from ..operators import bootstrap, channels, evaluate, fusion, ranking, sam, scoring
 from ..session import scratch_path
 from ..sources import stores
 from . import inputs as I
@@ -360,3 +360,10 @@ def classifier_disagreement(spark, sf):
 FROM events QUALIFY rank <= 10""")
 def latest_log_entries(spark, sf):
     return ranking.latest(I.table(spark, sf, "events").select("user_id", "event_id", "ts"), "ts", "event_id", 10, "user_id")
+
+
+@query("A13", "X3")
+def bootstrap_by_tree(spark, sf):
+    """Exactly as many draws as rows in each of 500 replicates; mean, spread, median and 90th percentile."""
+    out = bootstrap.bootstrap_exact(I.table(spark, sf, "customer"), "c_acctbal", {"median": 0.5, "p90": 0.9})
+    return out.select(*[I.rounded(c, 4).alias(c) for c in out.columns])

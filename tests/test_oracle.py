@@ -16,7 +16,7 @@ BRUTE = {
     "baseline_corrected_spectra": "test_kernels", "forest_predictions": "test_models", "trained_split_metrics": "test_models",
     "trained_test_report": "test_evaluation", "augmented_spectra": "test_models", "augmented_measurements": "test_models",
     "averaged_noisy_predictions": "test_models", "pls_eight_components": "test_models",
-    "run_from_registry": "test_runs", "trained_mixing_ablation": "test_runs",
+    "run_from_registry": "test_runs", "trained_mixing_ablation": "test_runs", "bootstrap_by_tree": "test_bootstrap",
 }
 
 
