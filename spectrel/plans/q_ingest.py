@@ -13,6 +13,7 @@ from ..sources import frames as WF
 from ..sources import library as SL
 from ..sources import measurements as SM
 from ..sources import stores
+from ..sources.lines import read_lines
 from ..streaming import ingest
 from . import inputs as I
 from .inputs import EVENTS, SHOTS, fr, rd
@@ -320,3 +321,22 @@ def dry_run_ingest(spark, sf):
     path = scratch_path(spark, "dry-run")
     ingest.run_ingest(wire_lines(event_stream(spark, sf)), None, path, f"{path}-checkpoint", widths=WIDTHS).awaitTermination()
     return ingest.total_counters(spark, path).drop("accuracy")
+
+
+@query("S4", "P10", "R1", "R2", sql=f"WITH {_FRAMES}, c AS ({_COUNTERS}) SELECT *, valid AS n_ids FROM c")
+def ingest_of_line_files(spark, sf):
+    """Frames written as text lines and ingested from there as a stream, in ranges of a megabyte. ``n_ids`` counts
+    the measurement ids that a batch read of the same files, in other ranges, arrives at too."""
+    folder, path = scratch_path(spark, "lines"), scratch_path(spark, "line-ingest")
+    wired = wire_lines(I.events(spark, sf))
+    wired.select(F.concat_ws("\t", F.col("session"), F.coalesce("value", F.lit("")))).write.text(folder)
+    text = F.substring_index("line", "\t", 1)
+    stream = read_lines(spark, folder, stream=True, range_bytes=1 << 20).select(
+        "source", "offset", text.alias("session"), F.expr("substring(line, instr(line, '\t') + 1)").alias("value"))
+    ingest.run_ingest(stream, frame_scorer(), path, f"{path}-checkpoint", widths=WIDTHS).awaitTermination()
+    again = read_lines(spark, folder, range_bytes=100_000).select(
+        F.sha2(F.concat_ws("|", "source", F.col("offset").cast("string")), 256).alias("measurement_id"))
+    ids = (spark.read.parquet(f"{path}/measurements").join(again, "measurement_id", "left_semi")
+           .groupBy(F.col("sample_id").alias("session")).agg(F.countDistinct("measurement_id").alias("n_ids")))
+    out = ingest.total_counters(spark, path).withColumn("accuracy", I.fine("accuracy"))
+    return out.join(ids, "session", "left").fillna(0, ["n_ids"])

@@ -170,10 +170,10 @@ def run_ingest(lines: DataFrame, scorer: scoring.Scorer | None, out: str, checkp
     scorer this is a dry run: frames are validated and counted, nothing else is kept.
 
     ``identity`` names the columns that tell a line from every other, equal ones included (source and
-    offset); a Kafka stream has them by itself, any other must say.
+    offset); a Kafka stream and :func:`~spectrel.sources.lines.read_lines` have them by themselves, any other must say.
     """
-    offsets = ["topic", "partition", "offset"]
-    ids = identity or (offsets if set(offsets) <= set(lines.columns) else None)
+    known = [c for c in (["topic", "partition", "offset"], ["source", "offset"]) if set(c) <= set(lines.columns)]
+    ids = identity or (known[0] if known else None)
     if ids is None and scorer is not None:
         raise ValueError("identity: name the columns that hold a line's source and offset")
     packing = F.lit("medium") if packing_density is None else packing_density
