@@ -323,6 +323,27 @@ def dry_run_ingest(spark, sf):
     return ingest.total_counters(spark, path).drop("accuracy")
 
 
+_REASONS = ["malformed", "version", "integration_time_ms", "ambient_temp_c", "spec_missing", "led_missing", "spec_width", "led_width",
+            "swir_width", "as7_width", "spec_not_finite", "led_not_finite", "swir_not_finite", "as7_not_finite", "lif_not_finite",
+            "truth_class", "truth_fraction"]
+
+
+@query("R2", "R3", "A20", sql=f"""WITH {_FRAMES}, l AS (SELECT unnest(['received', 'valid', 'rejected', {', '.join(f"'{r}'" for r in _REASONS)}]) AS counter)
+SELECT counter, (SELECT count(*) FILTER (CASE counter WHEN 'received' THEN true WHEN 'valid' THEN reason = '' WHEN 'rejected' THEN reason <> '' ELSE reason = counter END) FROM fr) AS observed,
+ CASE WHEN counter NOT IN ('received', 'valid') THEN (SELECT count(*) FILTER (CASE counter WHEN 'rejected' THEN reason <> '' ELSE reason = counter END) FROM fr) END AS stored FROM l""")
+def observed_line_counts(spark, sf):
+    """Lines counted in the very pass that appends the rejected ones to a table, beside what that table holds."""
+    path = scratch_path(spark, "observed")
+    checked = WF.validate_lines(wire_lines(event_stream(spark, sf)), widths=WIDTHS)
+    with ingest.observing(spark) as totals:
+        counts = totals.finish(ingest.append(WF.quarantine(ingest.observed_lines(checked)), path, f"{path}-checkpoint"))
+    why = spark.read.parquet(path).select(F.explode(F.split("reason", ",")).alias("counter"))
+    stored = why.groupBy("counter").agg(F.count("*").alias("stored")).unionByName(
+        spark.read.parquet(path).agg(F.count("*").alias("stored")).withColumn("counter", F.lit("rejected")))
+    seen = spark.createDataFrame(sorted(counts.items()), "counter string, observed long").join(stored, "counter", "left")
+    return seen.withColumn("stored", F.when(~F.col("counter").isin("received", "valid"), F.coalesce("stored", F.lit(0))))
+
+
 @query("S4", "P10", "R1", "R2", sql=f"WITH {_FRAMES}, c AS ({_COUNTERS}) SELECT *, valid AS n_ids FROM c")
 def ingest_of_line_files(spark, sf):
     """Frames written as text lines and ingested from there as a stream, in ranges of a megabyte. ``n_ids`` counts

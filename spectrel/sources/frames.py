@@ -39,9 +39,14 @@ def valid(checked: DataFrame) -> DataFrame:
     return rules.good(checked).drop(CORRUPT)
 
 
-def quarantine(checked: DataFrame, line: str = "value") -> DataFrame:
+def quarantine(checked: DataFrame, line: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Rejected lines: the text and why."""
-    return rules.quarantined(checked).select(F.col(line).alias("line"), F.array_join("violations", ",").alias("reason"))
+    return rules.quarantined(checked).select(F.col(line).alias("line"), F.array_join("violations", ",").alias("reason"), *(keep or []))
+
+
+def reasons() -> list[str]:
+    """Everything a line can be rejected for."""
+    return ["malformed", *rules.frame_rules()]
 
 
 def to_measurement(scored: DataFrame, sample_id: Column, packing_density: Column, identity: list[str],

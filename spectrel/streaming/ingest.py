@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import features as FX
 from ..functions import vectors as V
@@ -182,30 +186,114 @@ def run_ingest(lines: DataFrame, scorer: scoring.Scorer | None, out: str, checkp
         def put(df: DataFrame, name: str) -> None:
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
-        checked = WF.validate_lines(batch, widths=widths).persist()
+        checked = WF.validate_lines(batch, widths=widths)
         if scorer is None:
             put(session_counters(checked, session), "counters")
-        else:
-            scored = score_frames(WF.valid(checked), scorer)
-            rows = WF.to_measurement(scored, F.col(session), packing, ids, timestamp, keep=["_truth"])
-            put(rows, "measurements")
-            put(WF.quarantine(checked), "quarantine")
-            # Matches are counted on what was stored, so the model is not called again.
-            stored = batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/measurements/batch_id={batch_id}")
-            seen = session_counters(checked, session).drop("truth_matches", "truth_total", "accuracy")
-            put(seen.join(truth_counts(stored.withColumn(session, F.col("sample_id")), session), session, "left")
-                .fillna(0, ["truth_matches", "truth_total"]), "counters")
+            return
+        checked = checked.persist()
+        scored = score_frames(WF.valid(checked), scorer)
+        rows = WF.to_measurement(scored, F.col(session), packing, ids, timestamp, keep=["_truth"])
+        bad = WF.quarantine(checked, keep=[session])
+        for df, name in ((rows, "measurements"), (bad, "quarantine")):
+            put(df, name)
         checked.unpersist()
+        # Counted on a few columns of what was stored: neither the lines nor the model are gone through again.
+        stored = {name: batch.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}/batch_id={batch_id}")
+                  for df, name in ((rows, "measurements"), (bad, "quarantine"))}
+        kind = batch.schema[session].dataType
+        put(stored_counters(stored["measurements"].withColumn(session, F.col("sample_id").cast(kind)), stored["quarantine"], session), "counters")
 
     return (lines.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def truth_counts(measured: DataFrame, session: str) -> DataFrame:
-    """Frames that carried a true class, and how many were predicted right."""
+def stored_counters(measured: DataFrame, rejected: DataFrame, session: str) -> DataFrame:
+    """Counters of each session from stored measurements (with their ``_truth``) and stored rejected lines."""
     truth = F.col("_truth.mineral_class")
-    return measured.groupBy(session).agg(
-        F.count_if(truth == F.col("mineral_class")).alias("truth_matches"), F.count(truth).alias("truth_total"))
+    lines = measured.select(session, F.lit(True).alias("ok"), truth.isNotNull().alias("judged"), (truth == F.col("mineral_class")).alias("hit")).unionByName(
+        rejected.select(session, F.lit(False).alias("ok"), F.lit(False).alias("judged"), F.lit(False).alias("hit")))
+    return lines.groupBy(session).agg(
+        F.count(F.lit(1)).alias("received"), F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("malformed"),
+        F.count_if("hit").alias("truth_matches"), F.count_if("judged").alias("truth_total"))
+
+
+def observed_lines(checked: DataFrame, name: str = "lines") -> DataFrame:
+    """``checked`` as it is, with its lines counted on the way to whatever sink follows.
+
+    ``received``, ``valid``, ``rejected`` and every reason reach the driver as one row a micro-batch, whatever the
+    number of lines and sessions; a line that breaks several rules counts for each. :class:`ObservedTotals` adds them up.
+    The counts are those of the sink's own pass, so nothing between here and the sink may read the lines twice.
+    """
+    ok = F.size("violations") == 0
+    return checked.observe(
+        name, F.count(F.lit(1)).alias("received"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"),
+        *[F.count_if(F.array_contains("violations", r)).alias(r) for r in WF.reasons()])
+
+
+class ObservedTotals(StreamingQueryListener):
+    """Adds up what a stream observes under ``name``, micro-batch by micro-batch, while it runs.
+
+    A micro-batch that is run again (after a failure) replaces its own counts, so only the last one of each query is
+    kept apart from the sums. A new listener starts at zero, also when its query goes on from a checkpoint.
+    """
+
+    def __init__(self, name: str = "lines"):
+        self.name = name
+        self._before: dict[str, dict[str, int]] = {}
+        self._last: dict[str, tuple[int, dict[str, int]]] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.add(str(event.progress.id), event.progress.batchId, seen.asDict())
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def _end(self, run_id: str) -> threading.Event:
+        with self._lock:
+            return self._ended.setdefault(run_id, threading.Event())
+
+    def add(self, query_id: str, batch_id: int, counts: dict[str, int]) -> None:
+        with self._lock:
+            last, kept = self._last.get(query_id, (batch_id, {}))
+            if batch_id > last:
+                before = self._before.setdefault(query_id, {})
+                for c, n in kept.items():
+                    before[c] = before.get(c, 0) + n
+            self._last[query_id] = (batch_id, counts)
+
+    def counts(self) -> dict[str, int]:
+        """Totals so far, over all queries listened to."""
+        with self._lock:
+            out: dict[str, int] = {}
+            for part in [*self._before.values(), *(kept for _, kept in self._last.values())]:
+                for c, n in part.items():
+                    out[c] = out.get(c, 0) + n
+            return out
+
+    def finish(self, query: StreamingQuery, seconds: float = 60.0) -> dict[str, int]:
+        """Wait for the query to end and for its last progress to arrive; the totals then."""
+        query.awaitTermination()
+        if not self._end(str(query.runId)).wait(seconds):
+            raise TimeoutError("the end of the query was not reported")
+        return self.counts()
+
+
+@contextmanager
+def observing(spark: SparkSession, name: str = "lines") -> Iterator[ObservedTotals]:
+    """Listen to the session's streams for the length of a block."""
+    totals = ObservedTotals(name)
+    spark.streams.addListener(totals)
+    try:
+        yield totals
+    finally:
+        spark.streams.removeListener(totals)
 
 
 def total_counters(spark: SparkSession, out: str, session: str = "session") -> DataFrame:

@@ -137,3 +137,31 @@ def test_idle_sessions_end_once_and_leave_no_state(spark):
     assert (left, got) == (2, first)
     left, got = run([(None, "13:00:00", 1)])
     assert (left, got) == (0, sorted([*first, ("a", "11:30:00", "11:30:00", 1, 1), ("b", "11:40:00", "11:40:00", 1, 1)]))
+
+
+def test_lines_are_counted_on_their_way_to_the_sink(spark):
+    src, out, check = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "check")
+
+    def run(lines, totals):
+        spark.createDataFrame([(x,) for x in lines], "value string").repartition(3).write.mode("append").parquet(src)
+        checked = WF.validate_lines(spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(src))
+        return totals.finish(ingest.append(WF.quarantine(ingest.observed_lines(checked)), out, check))
+
+    with ingest.observing(spark) as totals:
+        got = run([*LINES, ""], totals)
+        assert (got["received"], got["valid"], got["rejected"]) == (17, 6, 11)
+        for reason in WF.reasons():
+            assert got[reason] == sum(reason in why.split(",") for why in LINES.values()), reason
+        # The query goes on from its checkpoint: what it has counted before is not counted again.
+        assert run(list(LINES)[:1], totals)["received"] == 18
+    with ingest.observing(spark) as totals:
+        assert run(["{bad"], totals) == dict.fromkeys(got, 0) | {"received": 1, "rejected": 1, "malformed": 1}
+    assert spark.read.parquet(out).count() == 12
+
+
+def test_a_batch_run_again_replaces_its_counts():
+    totals = ingest.ObservedTotals()
+    for batch, n in ((0, 5), (1, 7), (1, 7), (2, 1)):
+        totals.add("q", batch, {"received": n})
+    totals.add("other", 0, {"received": 2})
+    assert totals.counts() == {"received": 15}
