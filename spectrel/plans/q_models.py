@@ -63,7 +63,24 @@ def pls_two_components(spark, sf):
     return out.select("vec_id", I.rounded("prediction").alias("prediction"))
 
 
-@query("M5")
+def _pls_sql(n: int) -> str:
+    """Regression with ``n`` components: each one is found on what the ones before have left of ``x`` and ``y``."""
+    steps = [f"""x0 AS MATERIALIZED (SELECT vec_id, label / 10.0 - yb AS y, i, (v - mu) / sd AS x FROM l JOIN st USING (i) CROSS JOIN yb)"""]
+    for k in range(n):
+        steps.append(f"""d{k} AS MATERIALIZED (SELECT i, sum(x * y) AS w FROM x{k} GROUP BY i),
+w{k} AS MATERIALIZED (SELECT i, w / (SELECT sqrt(sum(w * w)) FROM d{k}) AS w FROM d{k}),
+t{k} AS MATERIALIZED (SELECT vec_id, any_value(y) AS y, sum(x * w) AS t FROM x{k} JOIN w{k} USING (i) GROUP BY vec_id),
+q{k} AS MATERIALIZED (SELECT sum(t * y) / sum(t * t) AS q, sum(t * t) AS tt FROM t{k}),
+p{k} AS MATERIALIZED (SELECT i, sum(x * t) / any_value(tt) AS p FROM x{k} JOIN t{k} USING (vec_id) CROSS JOIN q{k} GROUP BY i),
+x{k + 1} AS MATERIALIZED (SELECT x{k}.vec_id, x{k}.y - q * t AS y, x{k}.i, x - t * p AS x FROM x{k} JOIN t{k} USING (vec_id) JOIN p{k} USING (i) CROSS JOIN q{k})""")
+    parts = " UNION ALL ".join(f"SELECT vec_id, q * t AS part FROM t{k} CROSS JOIN q{k}" for k in range(n))
+    return f"""WITH {REFLECTANCE}, {LONG},
+st AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM l GROUP BY i), yb AS (SELECT avg(label / 10.0) AS yb FROM s),
+{', '.join(steps)}
+SELECT vec_id, {rd('least(greatest(any_value(yb) + sum(part), 0.0), 1.0)')} AS prediction FROM ({parts}) CROSS JOIN yb GROUP BY vec_id"""
+
+
+@query("M5", sql=_pls_sql(8))
 def pls_eight_components(spark, sf):
     df = _labelled(spark, sf)
     out = models.fit_pls(models.moments(df, I.WIDTH, target="ilmenite_fraction"), 8).predict(df)
@@ -223,13 +240,66 @@ def led_block(spark, sf):
     return led.agg(I.rounded(F.sum(V.total(F.col("led"))), 4).alias("total"), F.count("*").alias("n")).withColumns(counts)
 
 
-@query("F44", "W3")
+# ---------------------------------------------------------------- reproducible draws in SQL
+
+
+def _mix_sql(z: str) -> str:
+    """The 64-bit finaliser of the draws; products are taken in 128 bits and cut."""
+    word = "18446744073709551616::UHUGEINT"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = f"((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {word})::UBIGINT"
+    return f"xor({z}, {z} >> 31)"
+
+
+def _keys_sql(key: str, source: str, copies: int, columns: str) -> str:
+    """``k``: every copy of every row with the base of its draws."""
+    head = f"('0x' || substr(md5('0|' || {key} || '|' || copy), 1, 15))::UBIGINT"
+    return (f"k0 AS (SELECT {columns}, copy, {head} AS key FROM {source} CROSS JOIN (SELECT unnest(range({copies})) AS copy)), "
+            f"k AS (SELECT * EXCLUDE (key), {_mix_sql('key')} AS base FROM k0)")
+
+
+def _uniform_sql(stream: int, at: str = "0") -> str:
+    step, word = f"{0x9E3779B97F4A7C15}::UHUGEINT", "18446744073709551616::UHUGEINT"
+    place = f"(({at} + 1 + {stream << 32})::UHUGEINT * {step}) % {word}"
+    return f"((({_mix_sql(f'((base::UHUGEINT + {place}) % {word})::UBIGINT')}) >> 11)::DOUBLE + 0.5) / 9007199254740992.0"
+
+
+def _normal_sql(stream: int, at: str = "0") -> str:
+    return f"(sqrt(-2.0 * ln({_uniform_sql(2 * stream, at)})) * cos(2.0 * pi() * ({_uniform_sql(2 * stream + 1, at)})))"
+
+
+def _noisy_sql(a: str, sigma: float, stream: int, hi: str = "1.5") -> str:
+    return f"list_transform({a}, lambda v, n: least(greatest(v + {sigma} * {_normal_sql(stream, '(n - 1)')}, 0.0), {hi}))"
+
+
+def _augmented_sql(width: int, cfg: augment.AugmentConfig = augment.AugmentConfig()) -> str:
+    """``x``: ``spec`` of every row of ``k`` after the chain of gain, cubic drift, shift, noise and dropout."""
+    cubic = "c[1] + c[2] * t + c[3] * t * t + c[4] * t * t * t"
+    draws = ", ".join(f"2.0 * ({_uniform_sql(102, str(j))}) - 1.0" for j in range(4))
+    last = width - 1
+    return f"""k1 AS (SELECT *, ({_uniform_sql(100)}) < {cfg.p_apply} AS run, 1.0 + {cfg.intensity} * {_normal_sql(1)} AS gain, [{draws}] AS c,
+  floor(({_uniform_sql(103)}) * {2 * cfg.max_shift + 1})::BIGINT - {cfg.max_shift} AS moved FROM k),
+k2 AS (SELECT *, list_transform(list_transform(range({width}), lambda i: -1.0 + 2.0 * i / {last}.0), lambda t: {cubic}) AS cubic FROM k1),
+k3 AS (SELECT *, list_max(list_transform(cubic, lambda q: abs(q))) + 1e-12 AS most FROM k2),
+k4 AS (SELECT *, list_transform(spec, lambda v, n: v * gain + {cfg.baseline} * cubic[n] / most) AS drifted FROM k3),
+k5 AS (SELECT *, list_transform(spec, lambda v, n: drifted[least(greatest(n - 1 - moved, 0), {last}) + 1]) AS shifted FROM k4),
+k6 AS (SELECT *, list_transform(shifted, lambda v, n: (v + {cfg.noise} * {_normal_sql(4, '(n - 1)')}) * CASE WHEN ({_uniform_sql(105, '(n - 1)')}) >= {cfg.dropout} THEN 1.0 ELSE 0.0 END) AS out FROM k5),
+x AS (SELECT *, list_transform(CASE WHEN run THEN out ELSE spec END, lambda v: least(greatest(v, {cfg.lo}), {cfg.hi})) AS x FROM k6)"""
+
+
+@query("F44", "W3", sql=f"""WITH {I.REFLECTANCE}, {_keys_sql('vec_id', 's', 2, 'vec_id, spec')}, {_augmented_sql(I.WIDTH)}
+SELECT vec_id, CAST(copy AS INTEGER) AS copy, {digest_sql('x')} FROM x""")
 def augmented_spectra(spark, sf):
     out = augment.augment_spectra(I.reflectance(spark, sf), I.WIDTH, copies=2, key="vec_id")
     return I.digest(out, ["vec_id", "copy"], "spec")
 
 
-@query("F45")
+@query("F45", sql=f"""WITH {I.REFLECTANCE}, {LONG}, g AS (SELECT unnest(range(64)) AS i, unnest({I.doubles(I.GRID)}) AS nm), {_BANDS},
+m AS (SELECT s.vec_id, CASE WHEN label % 3 <> 1 THEN [spec[q % 64 + 1] for q in range(288)] END AS spec, led,
+  [spec[64] * 0.95, spec[64] * 0.88] AS swir, list_avg(spec) * 0.4 AS lif FROM s JOIN bp USING (vec_id)),
+{_keys_sql('vec_id', 'm', 1, 'vec_id, spec, led, swir, lif')}, {_augmented_sql(schema.SPEC_WIDTH)}
+SELECT vec_id::VARCHAR AS measurement_id, CAST(copy AS INTEGER) AS copy, {rd(f"list_sum({_noisy_sql('led', 0.012, 11)})")} AS led_total,
+ {rd(f"list_sum({_noisy_sql('swir', 0.012, 12)})")} AS swir_total, {rd(f"greatest(lif + 0.02 * {_normal_sql(13)}, 0.0)")} AS lif, {digest_sql('x')} FROM x""")
 def augmented_measurements(spark, sf):
     """Every measurement; the digest of a block its mode lacks is null."""
     out = augment.augment(I.measurements(spark, sf), copies=1)
@@ -237,7 +307,17 @@ def augmented_measurements(spark, sf):
                           I.rounded(V.total(F.col("swir"))).alias("swir_total"), I.rounded(schema.LIF).alias("lif")], "spec")
 
 
-@query("M9")
+_TTA = f"""WITH {I.REFLECTANCE}, {_keys_sql('vec_id', 's', 8, 'vec_id, spec')},
+n AS (SELECT vec_id, list_avg(CASE WHEN copy = 0 THEN spec ELSE {_noisy_sql('spec', 0.005, 21)} END) AS ilm FROM k),
+z AS (SELECT vec_id, ilm, list_transform(range(6), lambda j: -abs(ilm * 10.0 - j::DOUBLE)) AS z FROM n),
+w AS (SELECT vec_id, ilm, {I.softmax_sql('z')} AS p FROM z),
+a AS (SELECT vec_id, least(greatest(avg(ilm), 0.0), 1.0) AS ilm, [{', '.join(f'avg(p[{j}])' for j in range(1, 7))}] AS p, count(*) AS tta_n FROM w GROUP BY vec_id),
+u AS (SELECT vec_id, ilm, tta_n, {I.uncertainty_sql('p')} FROM a)
+SELECT vec_id, CAST(class_index AS INTEGER) AS class_index, tta_n, {rd('confidence')} AS confidence, {rd('ilm')} AS ilmenite_fraction,
+ {I.status_sql('confidence', 'entropy', 'margin')} AS status FROM u"""
+
+
+@query("M9", sql=_TTA)
 def averaged_noisy_predictions(spark, sf):
     lif = V.mean(F.col("features"))
     logits = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: -F.abs(lif * 10.0 - j.cast("double")))

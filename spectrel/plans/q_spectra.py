@@ -150,7 +150,36 @@ def continuum_removed_spectra(spark, sf):
     return I.long(preprocess.remove_continuum(I.reflectance(spark, sf), I.GRID), ["vec_id"], "spec")
 
 
-@query("F12")
+def _baseline_sql(width: int, lam: float = 1e5, p: float = 0.01, rounds: int = 10) -> str:
+    """Reweighted least squares: each round folds along the channels to factorise the banded system, then back to solve it."""
+    g0 = [1.0, 5.0, *[6.0] * (width - 4), 5.0, 1.0]
+    g1 = [-2.0, *[-4.0] * (width - 3), -2.0, 0.0]
+    g2 = [*[1.0] * (width - 2), 0.0, 0.0]
+    main, off1, off2 = (I.doubles([lam * x for x in g]) for g in (g0, g1, g2))
+    at = lambda name, back: f"coalesce(f.{name}[x.n - {back}], 0.0)"
+    a = f"(x.a - {at('l1', 1)} * {at('l1', 1)} * {at('d', 1)}) - {at('l2', 2)} * {at('l2', 2)} * {at('d', 2)}"
+    b = f"(x.b - {at('l1', 1)} * {at('z', 1)}) - {at('l2', 2)} * {at('z', 2)}"
+    c = f"(x.o1 - {at('l2', 1)} * {at('d', 1)} * {at('l1', 1)}) * CASE WHEN x.n < {width} THEN 1.0 ELSE 0.0 END"
+    none = "[]::DOUBLE[]"
+    cell = (f"{{'n': n, 'a': w[n] + ({main})[n], 'b': w[n] * v, 'o1': ({off1})[n], 'o2': ({off2})[n], "
+            f"'d': {none}, 'l1': {none}, 'l2': {none}, 'z': {none}}}")
+    empty = f"{{'n': 0::BIGINT, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'o1': 0.0::DOUBLE, 'o2': 0.0::DOUBLE, 'd': {none}, 'l1': {none}, 'l2': {none}, 'z': {none}}}"
+    fold = (f"list_reduce(list_transform(spec, lambda v, n: {cell}), lambda f, x: {{'n': x.n, 'a': x.a, 'b': x.b, 'o1': x.o1, 'o2': x.o2, "
+            f"'d': list_append(f.d, {a}), 'l1': list_append(f.l1, ({c}) / ({a})), 'l2': list_append(f.l2, x.o2 / ({a})), 'z': list_append(f.z, {b})}}, {empty})")
+    # Solved values are kept last channel first, so the two after channel n are the last two of the list.
+    step = "{'v': x.v, 'l1': x.l1, 'l2': x.l2, 'z': list_append(f.z, (x.v - x.l1 * coalesce(f.z[-1], 0.0)) - x.l2 * coalesce(f.z[-2], 0.0))}"
+    back = (f"list_reverse(list_reduce(list_transform(range({width}, 0, -1), lambda n: {{'v': f.z[n] / f.d[n], 'l1': f.l1[n], 'l2': f.l2[n], 'z': {none}}}), "
+            f"lambda f, x: {step}, {{'v': 0.0::DOUBLE, 'l1': 0.0::DOUBLE, 'l2': 0.0::DOUBLE, 'z': {none}}}).z)")
+    steps = ["r0 AS MATERIALIZED (SELECT vec_id, spec, spec AS base, list_transform(spec, lambda v: 1.0::DOUBLE) AS w FROM s)"]
+    for k in range(rounds):
+        steps.append(f"""f{k} AS MATERIALIZED (SELECT vec_id, spec, {fold} AS f FROM r{k}),
+b{k} AS MATERIALIZED (SELECT vec_id, spec, {back} AS base FROM f{k}),
+r{k + 1} AS MATERIALIZED (SELECT *, list_transform(spec, lambda v, n: CASE WHEN v > base[n] THEN {p} WHEN v < base[n] THEN 1.0 - {p} ELSE 0.0 END::DOUBLE) AS w FROM b{k})""")
+    return f"""WITH {I.REFLECTANCE}, {', '.join(steps)}
+SELECT vec_id, CAST(unnest(range({width})) AS INTEGER) AS i, unnest(list_transform(spec, lambda v, n: {rd('v - base[n]')})) AS v FROM r{rounds}"""
+
+
+@query("F12", sql=_baseline_sql(I.WIDTH))
 def baseline_corrected_spectra(spark, sf):
     return I.long(preprocess.baseline_correct(I.reflectance(spark, sf), I.WIDTH), ["vec_id"], "spec")
 

@@ -13,9 +13,7 @@ SQL = {n: q for n, q in entry.oracle_sql().items() if n in registry.QUERIES}
 
 #: Queries that SQL cannot state, and the tests that hold their operators against brute force.
 BRUTE = {
-    "baseline_corrected_spectra": "test_kernels", "forest_predictions": "test_models", "trained_split_metrics": "test_models",
-    "trained_test_report": "test_evaluation", "augmented_spectra": "test_models", "augmented_measurements": "test_models",
-    "averaged_noisy_predictions": "test_models", "pls_eight_components": "test_models",
+    "forest_predictions": "test_models", "trained_split_metrics": "test_models", "trained_test_report": "test_evaluation",
     "run_from_registry": "test_runs", "trained_mixing_ablation": "test_runs", "bootstrap_by_tree": "test_bootstrap",
 }
 
