@@ -166,10 +166,10 @@ def _baseline_sql(width: int, lam: float = 1e5, p: float = 0.01, rounds: int = 1
     empty = f"{{'n': 0::BIGINT, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'o1': 0.0::DOUBLE, 'o2': 0.0::DOUBLE, 'd': {none}, 'l1': {none}, 'l2': {none}, 'z': {none}}}"
     fold = (f"list_reduce(list_transform(spec, lambda v, n: {cell}), lambda f, x: {{'n': x.n, 'a': x.a, 'b': x.b, 'o1': x.o1, 'o2': x.o2, "
             f"'d': list_append(f.d, {a}), 'l1': list_append(f.l1, ({c}) / ({a})), 'l2': list_append(f.l2, x.o2 / ({a})), 'z': list_append(f.z, {b})}}, {empty})")
-    # Solved values are kept last channel first, so the two after channel n are the last two of the list.
-    step = "{'v': x.v, 'l1': x.l1, 'l2': x.l2, 'z': list_append(f.z, (x.v - x.l1 * coalesce(f.z[-1], 0.0)) - x.l2 * coalesce(f.z[-2], 0.0))}"
+    # Solved values are kept last channel first, so the two after a channel are the last two of the list.
+    step = "{'v': x.v, 'l1': x.l1, 'l2': x.l2, 'z': list_append(g.z, (x.v - x.l1 * coalesce(g.z[-1], 0.0)) - x.l2 * coalesce(g.z[-2], 0.0))}"
     back = (f"list_reverse(list_reduce(list_transform(range({width}, 0, -1), lambda n: {{'v': f.z[n] / f.d[n], 'l1': f.l1[n], 'l2': f.l2[n], 'z': {none}}}), "
-            f"lambda f, x: {step}, {{'v': 0.0::DOUBLE, 'l1': 0.0::DOUBLE, 'l2': 0.0::DOUBLE, 'z': {none}}}).z)")
+            f"lambda g, x: {step}, {{'v': 0.0::DOUBLE, 'l1': 0.0::DOUBLE, 'l2': 0.0::DOUBLE, 'z': {none}}}).z)")
     steps = ["r0 AS MATERIALIZED (SELECT vec_id, spec, spec AS base, list_transform(spec, lambda v: 1.0::DOUBLE) AS w FROM s)"]
     for k in range(rounds):
         steps.append(f"""f{k} AS MATERIALIZED (SELECT vec_id, spec, {fold} AS f FROM r{k}),
