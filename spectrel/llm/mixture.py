@@ -152,15 +152,21 @@ def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tuple[f
 
 
 def take(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: every document as often as :func:`mix` says, with the columns of ``docs``."""
+    """The mix itself: every document as often as :func:`mix` says, with the columns of ``docs``.
+
+    Rows that share id, source and size are exchangeable. Where several do, they are numbered by a range sort, as
+    their places in the mix are, so that no task holds all of them.
+    """
+    word = lambda c, kind="string": F.coalesce(F.col(c).cast(kind).cast("string"), F.lit("\0"))
+    named = lambda size: [word("doc_id", "long").alias("__id"), word("source").alias("__source"), size.alias("__size")]
     key = ["__id", "__source", "__size"]
-    counted = mix(docs, **parameters).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
     words = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), words.cast("long").alias("__size"))
-    # Rows with one key are told apart by their place; which takes which is all the same.
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key]).orderBy(*by))
-    a = rows.withColumn("__nth", nth(F.xxhash64("text")))
-    b = counted.withColumn("__nth", nth("copies")).where("copies > 0")
-    on = [F.coalesce(a[c].cast("string"), F.lit("\0")) == F.coalesce(b[c].cast("string"), F.lit("\0")) for c in key]
-    joined = a.join(b, [*on, a["__nth"] == b["__nth"]]).withColumn("__copy", F.explode(F.sequence(F.lit(1), b["copies"].cast("int"))))
-    return joined.select(*[a[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), *named(words.cast("long")))
+    counted = materialise(mix(docs, **parameters).select(*named(F.col("size")), "copies"), "mixed")
+    alike = counted.groupBy(*key).agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
+    once = rows.join(alike.where("rows = 1 AND copies > 0").drop("rows"), key).select("__doc", "copies")
+    crowd = materialise(alike.where("rows > 1").select(*key), "crowds")
+    place = lambda t, name: numbered(t.join(crowd, key, "left_semi"), ["__source"], ["__id", "__size"], name).drop("n", "__id", "__size")
+    many = place(rows, "crowded").join(place(counted, "places").where("copies > 0"), ["__source", "slot"]).select("__doc", "copies")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return once.unionByName(many).withColumn("__copy", copies).select("__doc.*")

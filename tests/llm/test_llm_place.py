@@ -109,6 +109,21 @@ def test_mix(spark, block):
     assert Counter((r.doc_id, r.source) for r in mixed.collect()) == sum((Counter({(r.doc_id, r.source): r.copies}) for r in got), Counter())
 
 
+def test_take_of_rows_that_share_id_source_and_size(spark):
+    rows = [(None, "a", "x y", 1, 2, 3)] * 4_000 + [(None, "a", "u v", 1, 2, 3)] * 500 + [(None, None, None, 0, 0, 0)] * 300
+    rows += [(i, "b", "p q r " * (1 + i % 5), i, i, i) for i in range(400)] + [(7, "b", "k l m " * 3, 7, 7, 7)] * 50
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, n long, slot long, size long").repartition(6)
+    want = Counter()
+    for r in mixture.mix(d).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = mixture.take(d)
+    assert got.columns == d.columns
+    found = got.collect()
+    assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in found) == +want
+    given = Counter(rows)
+    assert all(n <= 2 * given[tuple(r)] for r, n in Counter(found).items())
+
+
 def test_mix_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixture.mix(d).count() == 0 and mixture.take(d).count() == 0
