@@ -92,6 +92,27 @@ def test_a_spectrum_visits_few_tiles(spark):
     assert [got[i] for i in range(1_000)] == d.argmin(1).tolist()
 
 
+def test_a_spectrum_travels_once_to_a_group_of_tiles(spark, monkeypatch):
+    """Vectors without any order, where the bounds rule nothing out."""
+    rng = np.random.default_rng(12)
+    refs = [(i, rng.normal(size=24)) for i in range(3_000)]
+    rows = [(i, rng.normal(size=24)) for i in range(200)] + [(i, refs[i][1] * 1.0) for i in range(200, 220)]
+    travelled, put = [], sam.materialise
+
+    def counted(df, name="stage"):
+        out = put(df, name)
+        if name == "visits":
+            travelled.append(out.count())
+        return out
+
+    monkeypatch.setattr(sam, "materialise", counted)
+    got = {x["id"]: (x["sam_class"], x["angle_rad"]) for x in sam.sam_nearest(
+        spectra(spark, rows), spectra(spark, refs, "class_name"), "id", few=0, tile=32).collect()}
+    d = sam._angles(np.array([x for _, x in rows]), np.array([x for _, x in refs]))
+    assert [got[i][0] for i in range(220)] == d.argmin(1).tolist() and np.allclose([got[i][1] for i in range(220)], d.min(1), atol=3e-8)
+    assert sum(travelled) <= 2 * 220  # one group holds all tiles
+
+
 def test_class_order_must_fit_the_references(spark):
     refs = spectra(spark, [("a", [1, 2]), ("b", [2, 1])], "class_name")
     with pytest.raises(ValueError):
