@@ -11,8 +11,9 @@ grows the whole subtree down to leaves that are pure or cannot be split. A table
 no passes. What is shipped is bounded a task by ``local_rows``, and in all by rows x trees; trees go in
 groups, so that at most ``ship_rows`` rows are under way at once.
 
-A forest is a table of pieces: the upper part of a tree, and its subtrees. Rows are scored with as many
-pieces at once as fit ``SHIP_BYTES``; a larger forest is passed over in several rounds that add up.
+A forest is a table of pieces: the upper part of a tree, and its subtrees. A forest of up to ``SHIP_BYTES`` is
+sent to every task. Of a larger one only the upper parts pass through the driver: rows and packed pieces meet by
+groups of trees (or parts of a large tree) in tasks that hold ``MEET_BYTES`` of either, and the shares are added up by row.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ LOCAL_ROWS = 65_536
 SHIP_ROWS = 50_000_000
 SAMPLE_ROWS = 10_000
 HIST_BYTES = 128 << 20
-SHIP_BYTES = 128 << 20
+SHIP_BYTES = 16 << 20
+MEET_BYTES = 32 << 20  # of packed pieces, and half of that of binned rows, in one task
+NODE_BYTES = 16  # a packed node, with its share of the mixed leaves
 FOLD_SALTS = 64
 NODE_CELLS = 1 << 21  # nodes x features whose orders are made at once
 U64 = np.uint64
@@ -251,6 +254,64 @@ class Piece:
             going = going[self.feature[at[going]] >= 0]
         return at
 
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        return self.value[self.route(x)]
+
+
+PACKED = "tree int, root long, feature binary, bin binary, left binary, right binary, mixed binary"
+
+
+def _pack(classes: int):
+    """Pieces with small numbers, and instead of a value for every node the class of a pure leaf or the place of a mixed one."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                p = Piece.of(r, classes)
+                leaf = p.feature < 0
+                pure = leaf & (p.value.max(1, initial=0.0) == 1.0)
+                mixed = leaf & ~pure
+                right = np.where(pure, p.value.argmax(1), p.right)
+                right[mixed] = classes + np.arange(np.count_nonzero(mixed))
+                small = {"feature": p.feature.astype("<i4" if p.feature.max() >= 1 << 15 else "<i2"), "bin": p.bin.astype(np.uint8),
+                         "left": p.left.astype("<i4"), "right": right.astype("<i4"), "mixed": p.value[mixed].astype("<f8")}
+                yield pa.RecordBatch.from_pydict({"tree": pa.array([r["tree"]], pa.int32()), "root": pa.array([r["root"]], pa.int64()),
+                                                  **{c: pa.array([v.tobytes()], pa.binary()) for c, v in small.items()}})
+
+    return run
+
+
+@dataclass
+class Packed(Piece):
+    """A packed piece: ``right`` of a leaf is the row of ``value`` that holds its shares."""
+
+    @classmethod
+    def of(cls, row, classes: int) -> Packed:
+        left = np.frombuffer(row["left"], "<i4")
+        feature = np.frombuffer(row["feature"], "<i2" if len(row["feature"]) == 2 * len(left) else "<i4")
+        value = np.concatenate([np.eye(classes), np.frombuffer(row["mixed"], "<f8").reshape(-1, classes)])
+        return cls(feature, np.frombuffer(row["bin"], np.uint8), left, np.frombuffer(row["right"], "<i4"), value)
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        return self.value[self.right[self.route(x)]]
+
+
+def _add_shares(total: np.ndarray, x: np.ndarray, top: Piece | None, subtrees: dict[int, Piece]) -> None:
+    """Add the shares that a tree gives to binned rows: those of leaves of its upper part, and of the subtrees at hand."""
+    if top is None:
+        for piece in subtrees.values():
+            total += piece.shares(x)
+        return
+    at = top.route(x)
+    leaf = np.flatnonzero(top.left[at] == -1)
+    total[leaf] += top.value[at[leaf]]
+    rows = np.flatnonzero(top.left[at] != -1)
+    rows = rows[np.argsort(at[rows], kind="stable")]
+    found, first = np.unique(at[rows], return_index=True)
+    for root, mine in zip(found.tolist(), np.split(rows, first[1:])):
+        if root in subtrees:
+            total[mine] += subtrees[root].shares(x[mine])
+
 
 # ---------------------------------------------------------------- bins
 
@@ -386,51 +447,79 @@ class Forest:
 
     def score(self, df: DataFrame, features: str = "features", out: str = "probabilities", ship_bytes: int = SHIP_BYTES) -> DataFrame:
         """Rows with the mean class shares over all trees; null where the features are null or of another width."""
-        spark, width, classes, edges = df.sparkSession, len(self.edges), self.classes, self.edges
-        size = self.pieces.agg(F.sum(F.col("nodes") * (16 + 8 * classes))).first()[0] or 0
-        rounds = max(1, ceil(size / ship_bytes))
+        size = self.pieces.agg(F.sum(F.col("nodes") * (16 + 8 * self.classes))).first()[0] or 0
         trees = self.pieces.select(F.count_distinct("tree")).first()[0]
-        tops = {r["tree"]: Piece.of(r, classes) for r in self.pieces.where("root = -1").toLocalIterator()}
-        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-        rows = df.withColumn(out, F.lit(None).cast("array<double>"))
-        for k in range(rounds):
-            part = self.pieces.where("root >= 0").where(F.pmod(F.xxhash64("tree", "root"), F.lit(rounds)) == k)
-            held: dict[int, dict[int, Piece]] = {}
-            for r in part.toLocalIterator():
-                held.setdefault(r["tree"], {})[r["root"]] = Piece.of(r, classes)
-            shared = spark.sparkContext.broadcast((edges, tops, held))
-
-            def run(batches, shared=shared):
-                edges_, tops_, held_ = shared.value
-                for batch in batches:
-                    x, good = kernels.to_matrix(batch.column(batch.schema.get_field_index(features)), width)
-                    b = binned(x, edges_)
-                    total = np.zeros((len(b), classes))
-                    for tree, subtrees in held_.items():
-                        at = tops_[tree].route(b) if tree in tops_ else np.zeros(len(b), np.int64)
-                        if len(subtrees) == 1 and tree not in tops_:
-                            piece = subtrees[0]
-                            total += piece.value[piece.route(b)]
-                            continue
-                        for root in np.unique(at).tolist():
-                            if root in subtrees:
-                                rows_ = np.flatnonzero(at == root)
-                                total[rows_] += subtrees[root].value[subtrees[root].route(b[rows_])]
-                    at_column = batch.schema.get_field_index(out)
-                    if k == 0:  # leaves of the upper parts
-                        for tree, top in tops_.items():
-                            leaf = top.route(b)
-                            total += top.value[leaf] * (top.left[leaf] == -1)[:, None]
-                    else:
-                        total += kernels.to_matrix(batch.column(at_column), classes)[0] * trees
-                    columns = list(batch.columns)
-                    columns[at_column] = kernels.from_matrix(total / trees, good)
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-            rows = rows.mapInArrow(run, schema)
-            if k + 1 < rounds:
-                rows = materialise(rows, "forest-round")
-        return rows
+        tops = {r["tree"]: Piece.of(r, self.classes) for r in self.pieces.where("root = -1").collect()}
+        if size > ship_bytes:
+            return self._score_by_groups(df, features, out, trees, tops, ship_bytes)
+        held: dict[int, dict[int, Piece]] = {}
+        for r in self.pieces.where("root >= 0").collect():
+            held.setdefault(r["tree"], {})[r["root"]] = Piece.of(r, self.classes)
+        width, classes = len(self.edges), self.classes
+        shared = df.sparkSession.sparkContext.broadcast((self.edges, tops, held))
+
+        def run(batches):
+            edges, tops_, held_ = shared.value
+            for batch in batches:
+                x, good = kernels.to_matrix(batch.column(batch.schema.get_field_index(features)), width)
+                b = binned(x, edges)
+                total = np.zeros((len(b), classes))
+                for tree in sorted({*tops_, *held_}):
+                    _add_shares(total, b, tops_.get(tree), held_.get(tree, {}))
+                yield pa.RecordBatch.from_arrays([*batch.columns, kernels.from_matrix(total / trees, good)], names=[*batch.schema.names, out])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+    def _score_by_groups(self, df: DataFrame, features: str, out: str, trees: int, tops: dict[int, Piece], ship_bytes: int) -> DataFrame:
+        spark, width, classes = df.sparkSession, len(self.edges), self.classes
+        rows = materialise(df.withColumn("_forest_row", F.monotonically_increasing_id()), "forest-rows")
+        n = rows.count()
+        most = self.pieces.groupBy("tree").agg(F.sum("nodes").alias("nodes")).agg(F.max("nodes")).first()[0]
+        room = max(1, min(MEET_BYTES, ship_bytes) // NODE_BYTES)
+        per, parts = max(1, room // most), ceil(most / room)  # trees in a group, parts of a tree
+        last = self.pieces.agg(F.max("tree")).first()[0]
+        runs = max(1, ceil(n / parts * width / (MEET_BYTES // 2)))  # the rows of a group are dealt out
+        shared = spark.sparkContext.broadcast((self.edges, tops))
+
+        def send(batches):
+            """A row for each group of trees, or for each tree and the part that holds its subtree."""
+            edges, tops_ = shared.value
+            for batch in batches:
+                x, good = kernels.to_matrix(batch.column("x"), width)
+                b, ids = binned(x, edges), _numpy(batch, "_forest_row")[good]
+                bins = pa.array([r.tobytes() for r in b], pa.binary())
+                for group in range(last // per + 1):
+                    part = np.zeros(len(b), np.int64)
+                    if parts > 1 and group in tops_:
+                        at = tops_[group].route(b)
+                        part = np.where(tops_[group].left[at] == -1, 0, at % parts)
+                    yield pa.RecordBatch.from_pydict({
+                        "_group": pa.array(np.full(len(b), group), pa.int32()), "_part": pa.array(part), "_run": pa.array(ids % runs),
+                        "_forest_row": pa.array(ids), "bins": bins})
+
+        def add(a: pa.Table, b: pa.Table) -> pa.Table:
+            total, ids = np.zeros((a.num_rows, classes)), _numpy(a, "_forest_row")
+            if a.num_rows:
+                x, group, part = _matrix(a.column("bins"), width), a.column("_group")[0].as_py(), a.column("_part")[0].as_py()
+                held: dict[int, dict[int, Piece]] = {}
+                for i in range(b.num_rows):
+                    r = {c: b.column(c)[i].as_py() for c in b.column_names}
+                    held.setdefault(r["tree"], {})[r["root"]] = Packed.of(r, classes)
+                for tree in range(group * per, (group + 1) * per):
+                    _add_shares(total, x, shared.value[1].get(tree), held.pop(tree, {}))
+            return pa.table({"_forest_row": ids, **{f"s{k}": total[:, k] for k in range(classes)}})
+
+        schema = "_forest_row long, " + ", ".join(f"s{k} double" for k in range(classes))
+        keys = ["_group", "_part", "_run"]
+        sent = rows.select("_forest_row", F.col(features).alias("x")).mapInArrow(send, "_group int, _part long, _run long, _forest_row long, bins binary")
+        packed = self.pieces.where("root >= 0").mapInArrow(_pack(classes), PACKED).select(
+            "*", F.floor(F.col("tree") / per).cast("int").alias("_group"), F.pmod("root", F.lit(parts)).alias("_part"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("_run"))
+        count = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        shares = sent.repartition(count, *keys).groupBy(*keys).cogroup(packed.repartition(count, *keys).groupBy(*keys)).applyInArrow(add, schema)
+        whole = materialise(shares.groupBy("_forest_row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(classes)]), "forest-shares")
+        mean = F.when(F.col("s0").isNotNull(), F.array(*[F.col(f"s{k}") / F.lit(float(trees)) for k in range(classes)]))
+        return rows.join(whole, "_forest_row", "left").select(*[F.col(f"`{c}`") for c in df.columns], mean.alias(out))
 
     def save(self, path: str) -> None:
         spark = self.pieces.sparkSession

@@ -95,6 +95,30 @@ def test_same_trees_on_any_partitions_and_by_passes(spark):
     assert all(np.allclose(only_passes[i], want[i]) for i in want)
 
 
+def _sent_to_driver(monkeypatch, forest, df, **kw):
+    """Scores, and how many subtrees the driver was handed on the way."""
+    seen, of = [], fo.Piece.of.__func__
+    monkeypatch.setattr(fo.Piece, "of", classmethod(lambda cls, row, classes: seen.append(row["root"]) or of(cls, row, classes)))
+    got = scores(forest, df, **kw)
+    monkeypatch.undo()
+    return got, sum(r >= 0 for r in seen)
+
+
+@pytest.mark.parametrize("local_rows,ship,meet", [(10_000, 4_000, 1 << 20), (60, 4_000, 1 << 20), (60, 4_000, 3_000), (10_000, 60_000, 4_000)])
+def test_subtrees_of_a_large_forest_stay_off_the_driver(spark, monkeypatch, local_rows, ship, meet):
+    """Groups of trees, single trees and parts of a tree, with rows of a group in one task and in several."""
+    x, y = rows_of(500, seed=5)
+    x[250:], y[250:] = x[:250], y[::-1][250:]  # equal rows of other classes: mixed leaves
+    df = frame(spark, x, y)
+    forest = fo.fit_forest(df, 9, n_trees=7, seed=1, key="id", local_rows=local_rows)
+    want = scores(forest, df, ship_bytes=1 << 40)
+    odd = df.unionByName(spark.createDataFrame([(-1, None, 0), (-2, [1.0], 0)], df.schema))
+    monkeypatch.setattr(fo, "MEET_BYTES", meet)
+    got, subtrees = _sent_to_driver(monkeypatch, forest, odd, ship_bytes=ship)
+    assert subtrees == 0 and got.pop(-1) is None and got.pop(-2) is None and len(got) == 500
+    assert all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+
+
 def test_accuracy_as_mllib(spark):
     x, y = rows_of(3_000, seed=4, noise=0.2)
     df = frame(spark, x, y)
