@@ -16,6 +16,8 @@ from ..functions import vectors as V
 from .splits import ranked
 
 NAN = float("nan")
+#: Draws made, and joined to their rows, in one task.
+PART_DRAWS = 1 << 21
 
 
 # ---------------------------------------------------------------- point metrics
@@ -106,16 +108,21 @@ def bootstrap_draws(df: DataFrame, key: str, stats: dict[str, Column], n: int =
     Draw ``j`` of replicate ``b`` takes the row whose rank is a hash of (seed, b, j). Each
     replicate draws exactly as many rows as there are. Costs ``n`` times the table in shuffled
     rows; :func:`bootstrap_moments` avoids that for statistics built from sums.
+
+    Draws are made and meet their rows in parts of about :data:`PART_DRAWS`, whatever the session's number of
+    partitions, and only the rows of a part are held for that, so no task's memory grows with the table.
     """
     hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_all", F.lit(0))
     rows = ranked(hashed, "_all", "_h").drop("_h", "_all", "n")
     total = df.count()
     # Draw number i is draw i % total of replicate i // total.
-    draws = df.sparkSession.range(total * n).select(
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total * n / PART_DRAWS))
+    draws = df.sparkSession.range(0, total * n, 1, parts).select(
         F.floor(F.col("id") / F.lit(max(total, 1))).alias("_b"), F.pmod("id", F.lit(max(total, 1))).alias("_j"))
     word = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_b", "_j")), 1, 15)
     picked = draws.select("_b", (F.pmod(F.conv(word, 16, 10).cast("long"), F.lit(max(total, 1))) + 1).alias("rank"))
-    replicates = picked.join(rows, "rank").groupBy("_b").agg(*[s.alias(k) for k, s in stats.items()])
+    met = picked.repartition(parts, "rank").join(rows.repartition(parts, "rank").hint("shuffle_hash"), "rank")
+    replicates = met.groupBy("_b").agg(*[s.alias(k) for k, s in stats.items()])
     return _interval(replicates, list(stats))
 
 

@@ -230,6 +230,18 @@ def test_bad_rows_fail_the_temperature_fit(spark, row):
         E.temperature_loss(df, 2).collect()
 
 
+def test_bootstrap_draws_meet_their_rows_in_bounded_parts(spark, monkeypatch):
+    df = scored(spark, 300)[0]
+    stats = {"mean": F.avg("value_true"), "median": F.median("value_true")}
+    want = list(E.bootstrap_draws(df, "id", stats, n=40).first())
+    monkeypatch.setattr(E, "PART_DRAWS", 500)
+    out = E.bootstrap_draws(df, "id", stats, n=40)
+    assert np.allclose(list(out.first()), want, rtol=1e-12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # 300 x 40 draws in 24 parts, without a sort of the draws.
+    assert plan.count(", 24), REPARTITION_BY_NUM") >= 2 and "ShuffledHashJoin" in plan
+
+
 def test_bootstrap_draws_do_not_depend_on_partitions(spark):
     df = scored(spark, 300)[0]
     a, b = (list(E.intervals(df.repartition(n), "id", n=100).first()) for n in (1, 8))
