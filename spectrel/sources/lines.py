@@ -4,7 +4,8 @@ Each row is ``(source, offset, line)``: the file's name inside the folder, the b
 text without the newline. A line has the same place whenever and however it is read, so ids made from
 it (:func:`~spectrel.sources.frames.to_measurement` with ``identity=["source", "offset"]``) survive a replay.
 
-Large files are read in byte ranges, a task each; a range owns the lines that start in it. Files whose names
+Large files are read in byte ranges; a range owns the lines that start in it. A task reads one range or several that follow
+each other: as many as it takes to have ``tasks`` of them, but no more than ``TASK_BYTES`` where a range is smaller. Files whose names
 begin with ``_`` or ``.`` are passed over. Bytes that are no UTF-8 are replaced. The stream hands out whole lines
 only; the batch reader also the last line of a file without a newline. A file may grow but not change:
 the stream fails on a file that became shorter or, after a restart, went. A stream's offset names every file of the folder.
@@ -25,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 NAME = "spectrel_lines"
 SCHEMA = "source string, offset bigint, line string"
 RANGE_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
+TASKS = 64
 BATCH_LINES = 4_096
 
 
@@ -37,6 +40,27 @@ class ByteRange(InputPartition):
     hi: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """The ranges of a task."""
+
+    ranges: list[ByteRange]
+
+
+def _dealt(ranges: list[ByteRange], size: int, tasks: int) -> list[Ranges]:
+    """Ranges that follow each other share a task, so that starting tasks costs no more than reading."""
+    whole = sum(r.hi - r.lo for r in ranges)
+    most = max(size, min(TASK_BYTES, whole // max(1, tasks)))
+    out, held = [Ranges([])], 0
+    for r in ranges:
+        if out[-1].ranges and held + r.hi - r.lo > most:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.hi - r.lo
+    return out
+
+
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path
@@ -95,20 +119,20 @@ def _batch(source: str, places: list[int], lines: list[str]) -> pa.RecordBatch:
 
 
 class _Batch(DataSourceReader):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, tasks: int):
+        self.path, self.size, self.tasks = path, size, tasks
 
     def partitions(self):
         parts = [p for source, end in _sizes(self.path).items() for p in _ranges(source, 0, end, self.size)]
-        return parts or [ByteRange("", 0, 0)]
+        return _dealt(parts, self.size, self.tasks)
 
     def read(self, partition):
-        return _read(self.path, partition) if partition.source else iter(())
+        return (batch for part in partition.ranges for batch in _read(self.path, part))
 
 
 class _Stream(DataSourceStreamReader):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, tasks: int):
+        self.path, self.size, self.tasks = path, size, tasks
         self.seen: dict[str, tuple[int, int]] = {}  # size looked at, whole lines in it
 
     def initialOffset(self):
@@ -127,17 +151,17 @@ class _Stream(DataSourceStreamReader):
         if shorter:
             raise ValueError(f"files became shorter or went: {shorter[:5]}")
         parts = [p for s, hi in after.items() for p in _ranges(s, before.get(s, 0), hi, self.size)]
-        return parts or [ByteRange("", 0, 0)]
+        return _dealt(parts, self.size, self.tasks)
 
     def read(self, partition):
-        return _read(self.path, partition) if partition.source else iter(())
+        return (batch for part in partition.ranges for batch in _read(self.path, part))
 
     def commit(self, end):
         pass
 
 
 class LineSource(DataSource):
-    """Options: ``path``, a folder that all executors can read, and ``rangeBytes``."""
+    """Options: ``path``, a folder that all executors can read, ``rangeBytes`` and ``tasks``."""
 
     @classmethod
     def name(cls):
@@ -149,7 +173,7 @@ class LineSource(DataSource):
     def _settings(self):
         if not self.options.get("path"):
             raise ValueError("the line source needs a path")
-        return self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES))
+        return self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)), int(self.options.get("tasks", TASKS))
 
     def reader(self, schema):
         return _Batch(*self._settings())
@@ -162,4 +186,5 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False, range_bytes
     """``(source, offset, line)`` of the folder, as a table or as a stream."""
     spark.dataSource.register(LineSource)
     reader = spark.readStream if stream else spark.read
-    return reader.format(NAME).option("path", path).option("rangeBytes", range_bytes).load()
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return reader.format(NAME).option("path", path).option("rangeBytes", range_bytes).option("tasks", tasks).load()

@@ -51,3 +51,15 @@ def test_a_stream_over_growing_files_hands_out_whole_lines_once_and_replays_the_
     (folder / "a.log").write_bytes(b"f\n")
     with pytest.raises(Exception, match="shorter"):
         step(ck, out)
+
+
+@pytest.mark.parametrize("tasks,most", [(1, L.TASK_BYTES), (10, 1_000), (1_000, 100)])
+def test_short_ranges_share_a_task(tmp_path, tasks, most):
+    (tmp_path / "a.log").write_bytes(b"0123456789\n" * 800)
+    (tmp_path / "b.log").write_bytes(b"0123456789\n" * 200)
+    ends = {"files": '{"a.log": 8800, "b.log": 2200}'}
+    for parts in (L._Batch(str(tmp_path), 100, tasks).partitions(), L._Stream(str(tmp_path), 100, tasks).partitions({"files": "{}"}, ends)):
+        ranges = [(r.source, r.lo, r.hi) for p in parts for r in p.ranges]
+        assert ranges == [(s, lo, lo + 100) for s, n in (("a.log", 8_800), ("b.log", 2_200)) for lo in range(0, n, 100)]
+        assert len(parts) <= max(1.25 * tasks, 11_000 / most) and max(sum(r.hi - r.lo for r in p.ranges) for p in parts) <= max(most, 1_100)
+    assert [p.ranges for p in L._Batch(str(tmp_path), 1 << 20, 8).partitions()] == [[L.ByteRange("a.log", 0, 8_800), L.ByteRange("b.log", 0, 2_200)]]
