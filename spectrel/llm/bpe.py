@@ -18,10 +18,12 @@ from __future__ import annotations
 import base64
 import heapq
 from bisect import bisect_left
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,7 +35,9 @@ from . import textbytes as tb
 CHUNK_CHARS = 1 << 15
 OVERLAP = 256
 AHEAD = 3  # characters after a pre-token that the pattern may look at
-CACHE = 1 << 18  # pre-tokens in each of the two generations that a worker remembers
+CACHE = 1 << 16  # pre-tokens in each of the two generations that a worker remembers
+RUN_CHARS = 1 << 20  # of texts pre-tokenised together
+DECODED = 1 << 16  # ids decoded together
 WIDTHS = (6, 8, 10, 12, 16, 24, 40, 64)  # pre-tokens of like length are merged as rows of one matrix
 NONE = np.iinfo(np.int64).max
 
@@ -171,7 +175,8 @@ class Model:
         return list(map(self.known(pretokens).__getitem__, pretokens))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        ids = np.frombuffer(ids, "<u4")
+        return b"".join(b"".join(map(self.bytes_of.__getitem__, ids[lo:lo + DECODED].tolist())) for lo in range(0, len(ids), DECODED))
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -195,8 +200,28 @@ def chunk_tokens(m: Model, text: str, base: int, last: bool) -> tuple[np.ndarray
     return at + base, m.encode(tokens)
 
 
-def stitch(m: Model, text: str, chunks: list[tuple[list[int], list[bytes]]]) -> list[bytes]:
-    """Ids of the pre-tokens of ``text`` from what its chunks found."""
+class Chunks:
+    """What the chunks of a text found, taken apart one at a time: a long text has millions of pre-tokens."""
+
+    def __init__(self, group: pa.Table):
+        self.group = group.take(pc.sort_indices(group.column("no")))
+
+    def __len__(self) -> int:
+        return self.group.num_rows
+
+    def text(self) -> str:
+        return "".join(self.group.column("body").to_pylist())
+
+    def __getitem__(self, k: int) -> tuple[list[int], list[bytes]]:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        bounds, counts, ids = (self.group.column(c)[k].as_py() for c in ("bounds", "counts", "ids"))
+        ends = np.cumsum(np.frombuffer(counts, np.int32)).tolist()
+        return np.frombuffer(bounds, np.int64).tolist(), [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def stitch(m: Model, text: str, chunks: Sequence[tuple[list[int], list[bytes]]]) -> list[bytes]:
+    """Ids of ``text`` in runs of pre-tokens, from what its chunks found."""
     out, at = [], 0
 
     def walk() -> None:
@@ -218,7 +243,7 @@ def stitch(m: Model, text: str, chunks: list[tuple[list[int], list[bytes]]]) ->
             later = chunks[k + 1][0]
             shared = set(bounds[bisect_left(bounds, max(at, later[0])):]).intersection(later)
             j = bisect_left(bounds, min(shared)) if shared else j
-        out.extend(ids[i:j])
+        out.append(b"".join(ids[i:j]))
         at = bounds[j]
     while at < len(text):
         walk()
@@ -234,11 +259,14 @@ def _whole(path, pattern):
     def run(batches):
         m = model(path, pattern)
         for batch in batches:
-            texts = [m.find.findall(t or "") for t in batch.column(1).to_pylist()]
-            known = m.known(chain.from_iterable(texts))
-            ids = [b"".join(map(known.__getitem__, t)) for t in texts]
-            yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()),
-                                   "decoded": pa.array([m.decode(x) for x in ids], pa.binary())})
+            rows = batch.column(1).to_pylist()
+            ends = np.append(0, np.cumsum([len(t or "") for t in rows], dtype=np.int64))
+            for lo, hi in tb.slices(ends, RUN_CHARS):
+                texts = [m.find.findall(t or "") for t in rows[lo:hi]]
+                known = m.known(chain.from_iterable(texts))
+                ids = [b"".join(map(known.__getitem__, t)) for t in texts]
+                yield pa.record_batch({"doc_id": batch.column(0).slice(lo, hi - lo), "ids": pa.array(ids, pa.binary()),
+                                       "decoded": pa.array([m.decode(x) for x in ids], pa.binary())})
 
     return run
 
@@ -274,13 +302,9 @@ def _chunked(path, pattern, chars):
 
 def _joined(path, pattern):
     def run(group: pa.Table) -> pa.Table:
-        m, chunks = model(path, pattern), []
-        rows = sorted(group.to_pylist(), key=lambda r: r["no"])
-        for r in rows:
-            ids, ends = r["ids"], np.cumsum(np.frombuffer(r["counts"], np.int32)).tolist()
-            chunks.append((np.frombuffer(r["bounds"], np.int64).tolist(), [ids[a:b] for a, b in zip([0, *ends], ends)]))
-        flat = b"".join(stitch(m, "".join(r["body"] for r in rows), chunks))
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "ids": pa.array([flat], pa.binary()),
+        m, chunks = model(path, pattern), Chunks(group)
+        flat = b"".join(stitch(m, chunks.text(), chunks))
+        return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()], pa.int64()), "ids": pa.array([flat], pa.binary()),
                          "decoded": pa.array([m.decode(flat)], pa.binary())})
 
     return run
