@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from spectrel.llm import bpe, mixture, perm_index, quality, queries, secret_scan, simhash, toxicity
@@ -212,3 +214,22 @@ def test_pipeline_stage_by_stage(spark):
 
 def test_whole_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_texts_are_taken_in_runs_and_chunks_one_at_a_time(monkeypatch):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = [None, "", "one two  three\n" * 9, "caf\u00e9 " * 40, "x", None, "the end"]
+    m = bpe.model(path, pattern)
+    want = [b"".join(bpe._packed(m.merged(p.encode())) for p in m.find.findall(t or "")) for t in texts]
+    monkeypatch.setattr(bpe, "RUN_CHARS", 100)
+    out = list(bpe._whole(path, pattern)(iter([pa.record_batch({"doc_id": pa.array(range(7), pa.int64()), "text": pa.array(texts, pa.string())})])))
+    assert len(out) == 4 and pa.Table.from_batches(out).to_pydict() == {
+        "doc_id": list(range(7)), "ids": want, "decoded": [(t or "").encode() for t in texts]}
+    text, taken, get = "caf\u00e9 au lait, s'il vous pla\u00eet " * 60, [], bpe.Chunks.__getitem__
+    rows = [{"tag": 1, "doc_id": 5, "no": k, "last": at + 350 >= len(text), "body": text[at:at + 300], "ahead": text[at + 300:at + 350]}
+            for k, at in enumerate(range(0, len(text), 300))]
+    found = pa.Table.from_batches(list(bpe._chunked(path, pattern, 300)(iter([pa.RecordBatch.from_pylist(rows[::-1])]))))
+    monkeypatch.setattr(bpe.Chunks, "__getitem__", lambda self, k: taken.append(k) or get(self, k))
+    joined = bpe._joined(path, pattern)(found).to_pylist()
+    assert joined == [{"doc_id": 5, "ids": b"".join(bpe._packed(m.merged(p.encode())) for p in m.find.findall(text)), "decoded": text.encode()}]
+    assert max(map(taken.count, range(len(rows)))) == 2  # as itself, and as the next of the one before
