@@ -113,6 +113,52 @@ def test_a_spectrum_travels_once_to_a_group_of_tiles(spark, monkeypatch):
     assert sum(travelled) <= 2 * 220  # one group holds all tiles
 
 
+def test_many_spectra_are_compared_with_many_tiles_at_once(spark):
+    """A library of 40,000 tiles: slices of a batch do not shrink to a few spectra, and the bounds stay right."""
+    rng = np.random.default_rng(21)
+    centres = np.linalg.qr(rng.normal(size=(32, 16)))[0].T
+    low = rng.uniform(.2, 1.5, size=(40_000, 16))
+    high = low + rng.uniform(0, .6, size=low.shape)
+    m = np.concatenate([rng.normal(size=(599, 32)), np.zeros((1, 32))])
+
+    class Shared:
+        value = (centres, (low, high))
+
+    batch = pa.record_batch({"_row": pa.array(range(600), pa.int64()), "_s": pa.array(list(m), pa.list_(pa.float64()))})
+    out = list(sam._to_tiles(Shared, 32, False)(iter([batch])))
+    assert len(out) <= 8 and [r for b in out for r in b.column("_row").to_pylist()] == list(range(600))
+    d = sam._angles(m, centres)
+    want = np.array([np.maximum(x - high, low - x).max(1) for x in d])
+    want[-1] = 0.0
+    got = [t for b in out for t in b.column("_tile").to_pylist()]
+    assert np.allclose(want[range(600), got], want.min(1), atol=4e-6)
+    bound = sam._bounds(m[-50:], centres, low, high)
+    assert (bound <= want[-50:]).all() and np.allclose(bound, want[-50:], atol=4e-6)
+
+
+@pytest.mark.parametrize("count,partitions", [(0, 1), (7, 7), (50, 13)])
+def test_meetings_are_dealt_out_evenly(spark, count, partitions):
+    keys = sam.dealt_keys(spark, count, partitions)
+    assert len(set(keys.tolist())) == count
+    df = spark.createDataFrame([(i, int(k)) for i, k in enumerate(keys)], "i int, k long").repartition(partitions, "k")
+    assert all(r["p"] == r["i"] % partitions for r in df.select("i", F.spark_partition_id().alias("p")).collect())
+
+
+def test_parts_of_groups_and_spectra_that_are_null(spark, monkeypatch):
+    """Several groups met in several parts each; spectra of which none can be compared."""
+    monkeypatch.setattr(sam, "LEAST_CELLS", 1 << 9)
+    rng = np.random.default_rng(22)
+    refs = [(i, rng.normal(size=16)) for i in range(1_500)]
+    rows = [(i, rng.normal(size=16)) for i in range(300)]
+    got = {x["id"]: (x["sam_class"], x["angle_rad"]) for x in sam.sam_nearest(
+        spectra(spark, [*rows, (900, None)]), spectra(spark, refs, "class_name"), "id", few=0, tile=16).collect()}
+    d = sam._angles(np.array([x for _, x in rows]), np.array([x for _, x in refs]))
+    assert [got[i][0] for i in range(300)] == d.argmin(1).tolist() and np.allclose([got[i][1] for i in range(300)], d.min(1), atol=3e-8)
+    assert got[900] == (None, None)
+    none = sam.sam_nearest(spectra(spark, [(1, None)]), spectra(spark, refs, "class_name"), "id", few=0, tile=16).collect()
+    assert [tuple(r) for r in none] == [(1, None, None)]
+
+
 def test_class_order_must_fit_the_references(spark):
     refs = spectra(spark, [("a", [1, 2]), ("b", [2, 1])], "class_name")
     with pytest.raises(ValueError):
